@@ -43,13 +43,19 @@ def _remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(conf).delete(at, True)
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new folder's path in the shared folder, which drop_scratch() deletes."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/cubelume-{app}/{tag}-{uuid.uuid4().hex[:12]}"
+    _live.setdefault(app, []).append(path)
+    return path
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: its lineage is cut and a lost executor costs nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cubelume-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    _live.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
