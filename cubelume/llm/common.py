@@ -58,9 +58,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes the tables written so far; only when no DataFrame over them is still to be read."""
-    for path in _live.pop(spark.sparkContext.applicationId, []):
+def scratch_mark(spark: SparkSession) -> int:
+    return len(_live.get(spark.sparkContext.applicationId, []))
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables written since a mark but for the last `keep`; only when no DataFrame over them is still to be read."""
+    paths = _live.get(spark.sparkContext.applicationId, [])
+    gone = paths[since : len(paths) - keep]
+    del paths[since : len(paths) - keep]
+    for path in gone:
         with contextlib.suppress(Exception):
             _remove(spark, path)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, mix64, ready, slices, table, written
+from .common import col, drop_scratch, mix64, ready, scratch_mark, slices, table, written
 from .components import connected_components
 from .words import shingles, word_hashes
 
@@ -172,7 +172,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float,
 
 def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id: every document (distinct non-null doc_id) that has words, and the least doc_id of its near-duplicates."""
-    least = LEAST_AGREED
+    least, spark = LEAST_AGREED, docs.sparkSession
+    mark = scratch_mark(spark)
     made = written(sketches(docs, words), "mh-sketches")
     reps = written(made.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "mh-reps")
     banded = reps.select("rep", F.explode("bands").alias("code"))
@@ -197,7 +198,10 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
         links = links.unionByName(_verified(docs, across, words, similarity, "mh-across"))
         parts = connected_components(links, "mh")
     of_rep = reps.join(parts, reps["rep"] == parts["node"], "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("class_id"))
-    return made.select("doc_id", "k1", "k2", "n").join(of_rep, ["k1", "k2", "n"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    out = made.select("doc_id", "k1", "k2", "n").join(of_rep, ["k1", "k2", "n"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    out = written(out, "mh-classes")
+    drop_scratch(spark, mark, keep=1)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -209,6 +213,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
+def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Rows of docs that stay: one document of each class, one row of each doc_id, and all rows without doc_id."""
+    gone = near_duplicates(docs, words, similarity).where("NOT kept").select(F.col("doc_id").alias("__gone"))
+    gone = written(gone, "mh-gone")
+    side = F.broadcast(gone) if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else gone
+    out = docs.join(side, col(docs, "doc_id") == F.col("__gone"), "left_anti")
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out
+    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

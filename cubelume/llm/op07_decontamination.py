@@ -268,19 +268,21 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out
 
 
+def _leaked(shared):
+    @F.pandas_udf("boolean")
+    def leaked(s: pd.Series) -> pd.Series:
+        hit = {x[0] for x in shared.value.leaks(s.tolist())}
+        return pd.Series([i in hit for i in range(len(s))], dtype="bool")
+
+    return leaked
+
+
 def is_leaked(text: Column, items: DataFrame) -> Column:
     """Whether a text holds any item."""
     spark = ready(items.sparkSession)
     out = F.lit(False)
     for index in indexes(items):
-        shared = spark.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def leaked(s: pd.Series, shared=shared) -> pd.Series:
-            hit = {x[0] for x in shared.value.leaks(s.tolist())}
-            return pd.Series([i in hit for i in range(len(s))], dtype="bool")
-
-        out = out | leaked(text)
+        out = out | _leaked(spark.sparkContext.broadcast(index))(text)
     return out
 
 
