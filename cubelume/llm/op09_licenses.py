@@ -18,11 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import col, table
+from .common import col, table, written
 
 K = 3
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-A_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Diagonals this near are one span; least share of a template's 3-grams; most length of a span against the template's.
 NEAR, LEAST_SHARE, MOST_LENGTH = 3, 0.6, 1.5
 #: Templates of fewer words must stand there as they are.
@@ -55,26 +54,34 @@ def _templates() -> list[tuple[int, str, bool, list[str]]]:
 
 
 def _positions(spark: SparkSession) -> DataFrame:
-    rows = [(i, p, label, base, len(w), *w[p : p + K]) for i, label, base, w in _templates() for p in range(len(w) - K + 1)]
-    t = spark.createDataFrame(rows, "template int, at int, label string, base boolean, words int, t0 string, t1 string, t2 string")
+    """Every 3-gram of every template; nth counts the places of one 3-gram from 1."""
+    rows, seen = [], {}
+    for i, label, base, w in _templates():
+        for p in range(len(w) - K + 1):
+            g = tuple(w[p : p + K])
+            seen[g] = seen.get(g, 0) + 1
+            rows.append((i, p, label, base, len(w), seen[g], *g))
+    t = spark.createDataFrame(rows, "template int, at int, label string, base boolean, words int, nth int, t0 string, t1 string, t2 string")
     return t.withColumn("h", F.xxhash64("t0", "t1", "t2"))
 
 
-def hits(docs: DataFrame) -> DataFrame:
-    """key, doc_id, template, label, base, words, at, pos: all 3-grams that documents and templates share. docs: doc_id, key, text."""
+def votes(docs: DataFrame) -> DataFrame:
+    """One row of each document (head: true), with n_words, and one of every 3-gram that it shares with a template (template not null):
+    doc_id, key, n_words, head, template, label, base, words, nth, at, pos. docs: doc_id, key, text."""
     words = docs.select("doc_id", "key", F.split(F.lower("text"), SEPARATORS).alias("w"))
-    n = F.greatest(F.size("w"), F.lit(0))
-    zipped = words.select("doc_id", "key", F.when(F.col("w")[0] == "", 1).otherwise(0).alias("skipped"), F.arrays_zip(F.col("w").alias("w0"), F.slice("w", 2, n).alias("w1"), F.slice("w", 3, n).alias("w2")).alias("g"))
-    grams = zipped.select("doc_id", "key", "skipped", F.posexplode("g").alias("i", "g")).select("doc_id", "key", (F.col("i") - F.col("skipped")).alias("pos"), "g.w0", "g.w1", "g.w2")
-    grams = grams.withColumn("h", F.xxhash64("w0", "w1", "w2"))
-    found = grams.join(F.broadcast(_positions(docs.sparkSession)), "h").where("w0 = t0 AND w1 = t1 AND w2 = t2")
-    return found.select("doc_id", "key", "template", "label", "base", "words", "at", "pos")
+    n, blank = F.size("w"), [F.when(F.element_at("w", i) == "", 1).otherwise(0) for i in (1, -1)]
+    zipped = words.select("doc_id", "key", F.greatest(n - blank[0] - blank[1], F.lit(0)).cast("long").alias("n_words"), blank[0].alias("skipped"), F.arrays_zip(F.col("w").alias("w0"), F.slice("w", 2, n).alias("w1"), F.slice("w", 3, n).alias("w2")).alias("g"))
+    grams = zipped.select("doc_id", "key", "n_words", "skipped", F.posexplode("g").alias("i", "g"))
+    grams = grams.select("doc_id", "key", "n_words", (F.col("i") == 0).alias("head"), (F.col("i") - F.col("skipped")).alias("pos"), "g.w0", "g.w1", "g.w2").withColumn("h", F.xxhash64("w0", "w1", "w2"))
+    t = F.broadcast(_positions(docs.sparkSession))
+    same = (grams["h"] == t["h"]) & (grams["w0"] == t["t0"]) & (grams["w1"] == t["t1"]) & (grams["w2"] == t["t2"])
+    return grams.join(t, same, "left").where("head OR template IS NOT NULL").select("doc_id", "key", "n_words", "head", "template", "label", "base", "words", "nth", "at", "pos")
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, key, label, base, first, last (words), share: verified spans."""
+def spans(hits: DataFrame) -> DataFrame:
+    """doc_id, key, label, base, first, last (words), share: verified spans of the votes that are hits."""
     who = ["doc_id", "key", "template", "label", "base", "words"]
-    diagonals = hits(docs).groupBy(*who, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count_distinct("at").alias("votes"), F.min("pos").alias("first"), (F.max("pos") + K - 1).alias("last"))
+    diagonals = hits.groupBy(*who, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count_distinct("at").alias("votes"), F.min("pos").alias("first"), (F.max("pos") + K - 1).alias("last"))
     grams = F.col("words") - (K - 1)
     whole = diagonals.where((F.col("base") | (F.col("words") < SHORT)) & (F.col("votes") == grams)).select(*who, "first", "last", F.lit(1.0).alias("share"))
     order = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
@@ -94,7 +101,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     text = F.coalesce(col(docs, "text"), F.lit(""))
     rows = docs.select(col(docs, "doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    found = spans(rows).groupBy("doc_id", "key").agg(
+    voted = written(votes(rows), "license-votes")
+    found = spans(voted.where("template IS NOT NULL")).groupBy("doc_id", "key").agg(
         F.count_if("base").alias("n_base"),
         F.min(F.when(F.col("base"), F.col("first"))).cast("long").alias("first_word"),
         F.max(F.when(F.col("base"), F.col("first"))).cast("long").alias("last_word"),
@@ -102,7 +110,8 @@ def scan(docs: DataFrame) -> DataFrame:
         _joined(F.collect_set("label")).alias("labels"),
         F.max("share").alias("score"),
     )
-    counted = rows.select("doc_id", "key", F.regexp_count("text", F.lit(A_WORD)).cast("long").alias("n_words"))
+    # the head's row may be there once for each template that has its 3-gram
+    counted = voted.where(F.col("head") & (F.col("template").isNull() | (F.col("nth") == 1))).select("doc_id", "key", "n_words")
     same = counted["doc_id"].eqNullSafe(found["doc_id"]) & (counted["key"] == found["key"])
     out = counted.join(found, same, "left").select(counted["doc_id"], "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", *[F.coalesce(c, F.lit("")).alias(c) for c in ("base_labels", "labels")], F.coalesce("score", F.lit(0.0)).alias("score"))
     return out
