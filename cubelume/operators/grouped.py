@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gif, lzw
@@ -158,19 +158,30 @@ def rasters(indexed: DataFrame) -> DataFrame:
     return indexed.groupBy("f").agg(F.unhex(F.array_join(F.transform(items, lambda e: F.lpad(F.hex(e["idx"].cast("long")), 2, "0")), "")).alias("indices"))
 
 
-@F.pandas_udf("binary")
-def lzw_encoded(s: pd.Series) -> pd.Series:
-    return s.map(lambda b: None if b is None else lzw.encode(bytes(b)))
+def _bytes_udf(f, kind: str = "binary"):
+    def each(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: None if b is None else f(bytes(b)))
 
+    return F.pandas_udf(each, kind)
 
-@F.pandas_udf("binary")
-def lzw_decoded(s: pd.Series) -> pd.Series:
-    return s.map(lambda b: None if b is None else lzw.decode(bytes(b)))
 
+def lzw_encoded(data: Column) -> Column:
+    return _bytes_udf(lzw.encode)(data)
 
-@F.pandas_udf("valid boolean, reason string, width int, height int, frames int, global_colours int, local_tables int, loops int, trailer boolean, bytes long")
-def gif_report(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([gif.report(bytes(b or b"")) for b in s]).astype({c: "Int64" for c in ("width", "height", "frames", "global_colours", "local_tables", "loops", "bytes")})
+
+def lzw_decoded(data: Column) -> Column:
+    return _bytes_udf(lzw.decode)(data)
+
+
+REPORT = "valid boolean, reason string, width int, height int, frames int, global_colours int, local_tables int, loops int, trailer boolean, bytes long"
+
+
+def gif_report(data: Column) -> Column:
+    def each(s: pd.Series) -> pd.DataFrame:
+        whole = ("width", "height", "frames", "global_colours", "local_tables", "loops", "bytes")
+        return pd.DataFrame([gif.report(bytes(b or b"")) for b in s]).astype({c: "Int64" for c in whole})
+
+    return F.pandas_udf(each, REPORT)(data)
 
 
 def gifs(rasters_: DataFrame, by: list[str], palette: list[tuple[int, int, int]], width: int, height: int, delay: int = 4) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ready
+
 SIDE, CELL = 81, 9
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +59,7 @@ def _pattern(name: str, f: Column, y: Column, x: Column) -> tuple[Column, Column
 def dense_cube(spark: SparkSession, pattern: str = "gradient", side: int = SIDE) -> DataFrame:
     """f, y, x, r, g, b of every place of a cube, by arithmetic over a range: no data, any parallelism."""
     i = F.col("id")
-    keys = spark.range(side**3).select(F.floor(i / (side * side)).cast("int").alias("f"), (F.floor(i / side) % side).cast("int").alias("y"), (i % side).cast("int").alias("x"))
+    keys = ready(spark).range(side**3).select(F.floor(i / (side * side)).cast("int").alias("f"), (F.floor(i / side) % side).cast("int").alias("y"), (i % side).cast("int").alias("x"))
     r, g, b = _pattern(pattern, F.col("f"), F.col("y"), F.col("x"))
     return keys.withColumns({"r": r.cast("int"), "g": g.cast("int"), "b": b.cast("int")})
 
