@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,20 +14,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from ..runtime import ready
+
 MASK = (1 << 64) - 1
 _live: dict[str, list[str]] = {}
 
 
-def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package wherever the driver found it."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join(p for p in [ROOT, *paths] if p)
-    return spark
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one of our own only where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -103,6 +95,12 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, between batches in Python workers."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """[start, end) ranges of about `most` characters at most, one text at least."""
     start = size = 0

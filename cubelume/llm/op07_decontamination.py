@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, ready, slices, table
+from .common import col, ready, slices, table, trim
 from .words import word_hashes
 
 SCORE, OVERLAP = 0.7, 0.8
@@ -187,7 +187,7 @@ class Index:
     def leaks(self, texts: list, least: float = SCORE, overlap: float = OVERLAP) -> list[tuple[int, int, float, float, float]]:
         """(text's place, item_id, score, shares of question and answer), one for each pair, of its best passage."""
         best: dict[tuple[int, int], tuple] = {}
-        for lo, hi in slices(texts, 2_000_000):
+        for lo, hi in slices(texts, 500_000):
             h, counts = word_hashes(texts[lo:hi])
             if not len(h):
                 continue
@@ -230,6 +230,7 @@ class Index:
                         key, value = (lo + d, self.ids[item]), (score, qs, an)
                         if key not in best or value > best[key]:
                             best[key] = value
+        trim()
         return [(*k, *x) for k, x in sorted(best.items())]
 
 

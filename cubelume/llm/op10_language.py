@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import col, id_crc, ready, table
+from .common import col, id_crc, ready, table, trim
 
 FIT_PER_LANGUAGE = 600
 FIT_ROWS = 20_000
@@ -145,6 +145,7 @@ def with_language(docs: DataFrame, model: Model, label: str = "lang_pred", score
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             labels, scores = shared.value.predict(s.tolist())
+            trim()
             yield pd.DataFrame({"label": labels, "score": scores})
 
     p = predicted(col(docs, "text"))

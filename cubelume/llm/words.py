@@ -16,7 +16,7 @@ _IN_WORD[[*range(48, 58), *range(97, 123), *range(65, 91)]] = True
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P^i and P^-i modulo 2^64 for i < n at least."""
     if not _powers or len(_powers[0]) < n:
         n = max(n, 1 << 20)
@@ -36,7 +36,7 @@ def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
     inside = _IN_WORD[b]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     start, end = edge[::2], edge[1::2]
-    power, inverse = _power_tables(len(b))
+    power, inverse = power_tables(len(b))
     sums = np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)])
     h = mix64((sums[end - 1] - sums[start - 1]) * inverse[start])
     last = np.cumsum([len(x) + 1 for x in data]) if data else np.zeros(0, np.int64)
