@@ -117,7 +117,7 @@ def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
 
 
 def delta_e2000(one: tuple, two: tuple) -> Column:
-    """CIEDE2000 of two Lab colours, by the published formula (Sharma et al.)."""
+    """CIEDE2000 of two Lab colours, by the published formula (Sharma et al.). Give it plain columns: it names each many times."""
     (l1, a1, b1), (l2, a2, b2) = one, two
     c1, c2 = F.sqrt(a1 * a1 + b1 * b1), F.sqrt(a2 * a2 + b2 * b2)
     c7 = F.pow((c1 + c2) / 2, F.lit(7))

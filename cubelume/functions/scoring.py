@@ -27,7 +27,7 @@ def perceptual_score(ssim: Column, delta_e: Column) -> Column:
 
 
 def user_score(rating: Column, edited: Column, accepted: Column) -> Column:
-    base = F.coalesce(clamp(rating.cast("double"), 1.0, 5.0) / 5.0, F.lit(REWARD["no_rating"]))
+    base = F.when(rating.isNotNull(), clamp(rating.cast("double"), 1.0, 5.0) / 5.0).otherwise(REWARD["no_rating"])
     return clamp(base * F.when(edited, REWARD["edited"]).otherwise(1.0) * F.when(accepted, REWARD["accepted"]).otherwise(REWARD["declined"]), 0.0, 1.0)
 
 
