@@ -14,12 +14,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ready
+from ..runtime import ready as _ready
 
-MASK = (1 << 64) - 1
+ROWS_A_BATCH = 1_000
 _live: dict[str, list[str]] = {}
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package, and hands them texts in batches that stay small for long ones."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) or 10_000) > ROWS_A_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+    return _ready(spark)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one of our own only where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,9 +6,11 @@ document. A document keeps the darts that fall under its elements' weights and u
 darts in all, and of those the earliest for each of the k coordinates; if a coordinate has none, the rank is doubled. Two
 documents agree in a coordinate with a probability equal to their (weighted) Jaccard similarity. Weights are 1 here: sets.
 
-BANDS bands of ROWS coordinates are buckets. In each bucket everyone is compared with the bucket's least document (a star, no
-pairs within it). Then, only in buckets that still hold several components, documents of different components are compared,
-so that no link between components is lost however large a bucket is. Before a pair's sets are fetched the signatures must agree in
+BANDS bands of ROWS coordinates are buckets. In each bucket everyone is compared with one document, chosen by a hash of it and
+the bucket (a star, no pairs within it): a group of near copies shares many buckets, so its members meet many centres. Then, only in
+buckets that still hold several components, documents of different components are compared, by a join on their rarest shingles that
+loses no link and passes over what many documents share. So no link between components is lost however large a bucket is. Before a
+star's sets are fetched the signatures must agree in
 LEAST_AGREED coordinates, four standard deviations below the threshold. Links have exact Jaccard >= 0.8.
 
 A pair at the threshold misses all bands with probability (1 - 0.8^ROWS)^BANDS, 3e-6.
@@ -23,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import col, drop_scratch, mix64, ready, scratch_mark, slices, table, written
+from .common import col, drop_scratch, mix64, ready, scratch_mark, slices, table, trim, written
 from .components import connected_components
 from .words import shingles, word_hashes
 
@@ -121,7 +123,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_numpy()
-            for lo, hi in slices(texts, 2_000_000):
+            for lo, hi in slices(texts, 1_000_000):
                 h, n = distinct_shingles(texts[lo:hi], words)
                 has = np.flatnonzero(n)
                 if not len(has):
@@ -136,6 +138,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     band = mix64(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::ROWS])
                 band = mix64(band + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel())) for x in (band, _packed(sig))]
+                trim()
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][has]), pa.array(counts), pa.array(k1), pa.array(k2), *lists], ["doc_id", "n", "k1", "k2", "bands", "sig"])
 
     rows = docs.select(col(docs, "doc_id").cast("long").alias("doc_id"), col(docs, "text").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -149,7 +152,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, keys = b.column("text").to_pylist(), b.column("doc")
-            for lo, hi in slices(texts, 2_000_000):
+            for lo, hi in slices(texts, 1_000_000):
                 h, n = distinct_shingles(texts[lo:hi], words)
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.astype(np.int64)))], ["doc", "elements"])
@@ -160,16 +163,37 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(made, "doc long, elements array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, tag: str) -> DataFrame:
+def _sets_of(docs: DataFrame, ids: DataFrame, words: int, tag: str) -> DataFrame:
+    return written(_sets(docs, written(ids.distinct(), f"{tag}-ids"), words).dropDuplicates(["doc"]), f"{tag}-sets")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, similarity: float, tag: str) -> DataFrame:
     """Of pairs (a, b) those of at least that Jaccard similarity."""
-    ids = written(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), f"{tag}-ids")
-    sets = written(_sets(docs, ids, words).dropDuplicates(["doc"]), f"{tag}-sets")
     left, right = (sets.select(F.col("doc").alias(c), F.col("elements").alias(f"e{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("ea", "eb"))
     return written(both.where(common >= similarity * (F.size("ea") + F.size("eb") - common) - 1e-9).select("a", "b"), f"{tag}-links")
 
 
+def _across(sets: DataFrame, part: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of documents of different components (part: doc, part) that may reach the similarity: all that do are there.
+
+    Elements stand in one order, rarest first. Documents of n elements that reach t share at least t n, so they share one of
+    their first n - ceil(t n) + 1; and from the first that they share on, each must have t / (1 + t) of both's elements left.
+    Elements of one document alone can't be shared: they only take places. Passages of many documents come last in the order."""
+    e = sets.select("doc", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    common = e.groupBy("e").agg(F.count("*").alias("c")).where("c > 1")
+    w = Window.partitionBy("doc")
+    shared = e.join(common, "e").withColumn("k", F.row_number().over(w.orderBy("c", "e"))).withColumn("s", F.count("*").over(w))
+    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.col("s"))
+    prefix = shared.where(F.col("k") <= first).select("doc", "e", "n", (F.col("s") - F.col("k") + 1).alias("left")).join(part, "doc")
+    prefix = written(prefix, "mh-prefix")
+    x, y = (prefix.select("e", *[F.col(v).alias(f"{v}_{c}") for v in ("doc", "n", "left", "part")]) for c in "ab")
+    enough = F.least("left_a", "left_b") >= (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-9
+    met = x.join(y, (x["e"] == y["e"]) & (F.col("part_a") < F.col("part_b")) & enough)
+    return met.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id: every document (distinct non-null doc_id) that has words, and the least doc_id of its near-duplicates."""
     least, spark = LEAST_AGREED, docs.sparkSession
@@ -177,25 +201,27 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     made = written(sketches(docs, words), "mh-sketches")
     reps = written(made.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "mh-reps")
     banded = reps.select("rep", F.explode("bands").alias("code"))
-    leads = written(banded.groupBy("code").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1"), "mh-leads")
-    inside = written(banded.join(leads, "code").select("code", "rep", "lead"), "mh-members")
-
-    # first round: everyone against the least of the bucket
-    star = inside.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    left, right = (reps.select(F.col("rep").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab")
-    star = written(star.join(left, "a").join(right, "b").where(agreed(F.col("sa"), F.col("sb")) >= least).select("a", "b"), "mh-stars")
-    links = _verified(docs, star, words, similarity, "mh-star")
+    shared = written(banded.groupBy("code").agg(F.count("*").alias("size")).where("size > 1").select("code"), "mh-codes")
+    inside = written(banded.join(shared, "code").select("code", "rep"), "mh-members")
+
+    sides = [reps.select(F.col("rep").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab"]
+
+    # first round: everyone against one document of the bucket, another one in each bucket that a group shares
+    lead = inside.groupBy("code").agg(F.min_by("rep", F.xxhash64("rep", "code")).alias("lead"))
+    star = inside.join(lead, "code").where("rep != lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    star = written(star.join(sides[0], "a").join(sides[1], "b").where(agreed(F.col("sa"), F.col("sb")) >= least).select("a", "b"), "mh-star")
+    ids = star.select(F.col("a").alias("doc")).unionByName(star.select(F.col("b").alias("doc")))
+    links = _verified(_sets_of(docs, ids, words, "mh-star"), star, similarity, "mh-star")
     parts = connected_components(links, "mh")
 
-    # second round: buckets that still hold several components
-    labelled = inside.join(parts, inside["rep"] == parts["node"], "left").select("code", "rep", "lead", F.coalesce("component", "rep").alias("part"))
-    mixed = labelled.groupBy("code").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo < hi AND size > 2").select("code")
-    rest = written(labelled.where("rep != lead").join(mixed, "code").join(reps.select("rep", "sig"), "rep"), "mh-rest")
-    a, b = (rest.select(F.col("code"), F.col("rep").alias(c), F.col("part").alias(f"p{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
-    across = a.join(b, (a["code"] == b["code"]) & (F.col("pa") < F.col("pb")) & (agreed(F.col("sa"), F.col("sb")) >= least))
-    across = written(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "mh-across")
+    # second round: documents of buckets that still hold several components, against those of other components
+    label = inside.join(parts, inside["rep"] == parts["node"], "left").select("code", F.col("rep").alias("doc"), F.coalesce("component", "rep").alias("part"))
+    mixed = label.groupBy("code").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo < hi AND size > 2").select("code")
+    rest = written(label.join(mixed, "code").select("doc", "part").distinct(), "mh-rest")
+    sets = _sets_of(docs, rest.select("doc"), words, "mh-rest")
+    across = written(_across(sets, rest, similarity).join(star, ["a", "b"], "left_anti"), "mh-across")
     if not across.isEmpty():
-        links = links.unionByName(_verified(docs, across, words, similarity, "mh-across"))
+        links = links.unionByName(_verified(sets, across, similarity, "mh-across"))
         parts = connected_components(links, "mh")
     of_rep = reps.join(parts, reps["rep"] == parts["node"], "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("class_id"))
     out = made.select("doc_id", "k1", "k2", "n").join(of_rep, ["k1", "k2", "n"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))

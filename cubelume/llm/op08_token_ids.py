@@ -31,7 +31,7 @@ VOCABULARY = "word_bpe_49k.json"
 END = 2
 SEGMENT = 1 << 20
 #: Slots of the words that a worker remembers (16 B each), and the ids of them at which it starts anew (4 B each).
-SLOTS, REMEMBERED = 1 << 22, 24_000_000
+SLOTS, REMEMBERED = 1 << 21, 8_000_000
 FILE = "part int, seg int, n_ids long, doc_ids array<long>, n_tokens array<int>, payload binary"
 _words: dict[str, Words] = {}
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -49,7 +49,7 @@ class Words:
         self.tag = np.zeros(SLOTS, np.uint64)
         self.first = np.zeros(SLOTS, np.int32)
         self.size = np.zeros(SLOTS, np.int32)
-        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.ids, self.used = np.zeros(REMEMBERED + (1 << 20), np.uint32), 0
         self.ends_word = np.zeros(max(self.tok.get_vocab(True).values()) + 1, bool)
         self.ends_word[[i for t, i in self.tok.get_vocab(True).items() if t.endswith("</w>")]] = True
 
