@@ -184,7 +184,7 @@ def q_digest_hist(spark, d):
     return voxels(spark, d).groupBy(C.at("f").alias("t"), F.least(F.lit(8), F.floor(light)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("q_weight_entropy", f"WITH {CELLS}, p AS (SELECT w, w::DOUBLE / sum(w) OVER () AS p FROM cells) SELECT round(avg(w), 4) AS mean, CAST((SELECT w FROM cells ORDER BY w LIMIT 1 OFFSET 364) AS BIGINT) AS upper_median, min(w) AS least, max(w) AS most, round(stddev_pop(w), 4) AS deviation, round(-sum(p * log2(p)), 8) AS entropy, round(-sum(p * log2(p)) / log2(count(*)), 8) AS balance FROM p")
+@query("q_weight_entropy", f"WITH {CELLS}, p AS (SELECT w, w::DOUBLE / sum(w) OVER () AS p FROM cells) SELECT round(avg(w), 4) AS mean, CAST(list_sort(list(w))[CAST(floor(count(*) / 2) AS INT) + 1] AS BIGINT) AS upper_median, min(w) AS least, max(w) AS most, round(stddev_pop(w), 4) AS deviation, round(-sum(p * log2(p)), 8) AS entropy, round(-sum(p * log2(p)) / log2(count(*)), 8) AS balance FROM p")
 def q_weight_entropy(spark, d):
     s = W.shares(cells(spark, d), "w")
     ordered = F.sort_array(F.collect_list("w"))  # 729 numbers at most
@@ -192,7 +192,7 @@ def q_weight_entropy(spark, d):
     return s.agg(F.round(F.avg("w"), 4).alias("mean"), F.element_at(ordered, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("upper_median"), F.min("w").alias("least"), F.max("w").alias("most"), F.round(F.stddev_pop("w"), 4).alias("deviation"), F.round(h, 8).alias("entropy"), F.round(h / F.log2(F.count("*")), 8).alias("balance"))
 
 
-@query("q_thresholds", f"WITH {CELLS} SELECT t, round(avg(r), 6) AS mean, CAST(list_sort(list(r))[41] AS INT) AS median, CAST(list_sort(list(r))[CAST(floor(count(*) * 0.75) AS INT) + 1] AS INT) AS percentile, round(avg(r) + 1.5 * stddev_pop(r), 6) AS mean_plus FROM cells GROUP BY t")
+@query("q_thresholds", f"WITH {CELLS} SELECT t, round(avg(r), 6) AS mean, CAST(list_sort(list(r))[CAST(floor(count(*) / 2) AS INT) + 1] AS INT) AS median, CAST(list_sort(list(r))[CAST(floor(count(*) * 0.75) AS INT) + 1] AS INT) AS percentile, round(avg(r) + 1.5 * stddev_pop(r), 6) AS mean_plus FROM cells GROUP BY t")
 def q_thresholds(spark, d):
     ordered = F.sort_array(F.collect_list("r"))  # 81 numbers a slice
     n = F.count("*")
