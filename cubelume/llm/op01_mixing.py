@@ -41,8 +41,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
     before, after, every = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy(F.lit(1))
     left = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    s = s.withColumn("level", left / F.sum("w").over(after))
-    s = s.withColumn("free", F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", F.col("level").alias("level")))).over(every))
+    s = s.withColumn("level", left / F.sum("w").over(after)).withColumn("place", F.row_number().over(order))
+    s = s.withColumn("free", F.min(F.when(F.col("ratio") > F.col("level"), F.struct("place", F.col("level").alias("level")))).over(every))
     target = F.coalesce(F.least(F.col("cap").cast("double"), F.col("free.level") * F.col("w")), F.lit(0.0))
     return s.select("source", "source_size", target.alias("target"))
 
@@ -90,8 +90,9 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, (source_size * 3)::BIGINT AS cap FROM s),
 r AS (SELECT *, cap::DOUBLE / w AS ratio FROM w),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
-  / sum(w) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
-f AS (SELECT arg_min(level, ratio) AS level FROM l WHERE ratio > level),
+  / sum(w) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+  row_number() OVER (ORDER BY ratio, source ASC NULLS LAST) AS place FROM r),
+f AS (SELECT arg_min(level, place) AS level FROM l WHERE ratio > level),
 t AS (SELECT source, source_size, coalesce(least(cap::DOUBLE, (SELECT level FROM f) * w), 0.0)::DOUBLE AS target FROM l),
 q AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
   ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS u

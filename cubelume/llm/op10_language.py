@@ -46,9 +46,9 @@ def _is_letter() -> np.ndarray:
 
 def grams(text: str | None, flags: np.ndarray) -> np.ndarray:
     """Numbers of the n-grams that the text has, ascending; none if it has no letter. flags: WIDTH zeros, left as zeros."""
-    letter, any_letter, text = _is_letter(), False, (text or "").lower()
+    letter, any_letter, text = _is_letter(), False, f" {(text or '').lower()} "
     for a in range(0, len(text), _PIECE):
-        c = np.frombuffer(f" {text[max(0, a - 2) : a + _PIECE]} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.frombuffer(text[max(0, a - 2) : a + _PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
         is_letter = letter[c]
         any_letter = any_letter or bool(is_letter.any())
         c = np.where(is_letter, c, np.uint32(0))
