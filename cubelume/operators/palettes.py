@@ -155,3 +155,18 @@ def ramp_palette(spark: SparkSession, name: str) -> DataFrame:
     p = spark.range(SIZE).select(F.col("id").cast("int").alias("idx"))
     r, g, b = ramp(name, F.col("idx"))
     return p.select("idx", r.cast("int").alias("r"), g.cast("int").alias("g"), b.cast("int").alias("b"))
+
+
+def conveyor(cube: DataFrame, palette_size: int, shift: int = 1) -> DataFrame:
+    """Indices moved on by the frame's number: a palette that runs through the frames."""
+    return cube.withColumn("idx", ((F.col("idx") + F.col("f") * shift) % palette_size).cast("int"))
+
+
+def override_frames(errors: DataFrame, threshold: float, most: int) -> DataFrame:
+    """f of the frames that get a palette of their own: the first `most`, in order, whose error is over the threshold."""
+    return errors.where(F.col("error") > threshold).withColumn("turn", F.row_number().over(Window.orderBy("f"))).where(F.col("turn") <= most).select("f")
+
+
+def sources_of_cells(cells: DataFrame) -> DataFrame:
+    """cell with the ranges of frames, rows and columns it is made of (both ends in)."""
+    return cells.select("cell", *[x for c, n in (("t", "f"), ("y", "y"), ("x", "x")) for x in ((F.col(c) * 9).cast("int").alias(f"{n}_first"), (F.col(c) * 9 + 8).cast("int").alias(f"{n}_last"))])

@@ -65,3 +65,22 @@ def test_exports(spark, sf_dir, tmp_path):
     assert files.load_json(spark, str(tmp_path / "j"), "event_id long").count() == 5
     df = spark.createDataFrame([("var a = [1, 2,x, 3];",)], "t string")
     assert df.select(files.named_array(F.col("t"), "a").alias("a")).first().a == [1, 2, None, 3]
+
+
+def test_gif_stream_sink(spark, tmp_path):
+    from cubelume.functions import gif
+    from cubelume.operators.grouped import rasters
+    from cubelume.sources.cubes import dense_cube
+    from cubelume.streaming import gif_sink
+
+    cube = dense_cube(spark, "wave", 9).withColumn("idx", (F.col("r") % 64).cast("int"))
+    frames = rasters(cube).withColumns({"clip": F.lit("a"), "delay": F.lit(3)})
+    frames.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    stream.writeStream.foreachBatch(gif_sink.appender(out, 9, 9)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    r = gif_sink.end(spark, out, [(i, i, i) for i in range(256)], 9, 9).first()
+    assert r.frames == 9 and gif.report(bytes(r.gif))["valid"]
+    want = {x.f: bytes(x.indices) for x in frames.collect()}
+    assert [f.indices for f in gif.read(bytes(r.gif)).frames] == [want[i] for i in range(9)]
+    assert gif_sink.intact(spark, out, frames).count() == 0
