@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ready as _ready
@@ -102,6 +102,16 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
+def first_by_hash(rows: DataFrame, group: str, key: str, k: Column) -> DataFrame:
+    """rows with `turn`, 1 to k in each group by a hash of key. Of large groups only the rows of small hashes (4 k + 50 are
+    expected) go into the ranking, so that no task ranks a group however large it is; that fewer than k are among these
+    has a chance below 1e-9."""
+    h = F.xxhash64(key)
+    sized = rows.join(rows.groupBy(group).agg(F.count("*").alias("__n")), group)
+    some = sized.where(h.cast("double") / float(1 << 64) + 0.5 < (4 * k + 50) / F.col("__n")).drop("__n")
+    return some.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(h, key))).where(F.col("turn") <= k)
+
+
 def trim() -> None:
     """Gives freed memory back to the system, between batches in Python workers."""
     with contextlib.suppress(OSError, AttributeError):

@@ -25,10 +25,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, id_crc, ready, table, written
+from .common import col, first_by_hash, id_crc, ready, table, written
 
 FIT_TOXIC, FIT_CLEAN = 2500, 5000
 #: Weights below this aren't kept; at most LEXICON of them, the largest first.
@@ -230,9 +230,9 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = FIT_TOXIC, most_
     spark = ready(docs.sparkSession)
     lm = language_model(count_trigrams(docs))
     known = labels.select(col(labels, "doc_id").alias("doc_id"), col(labels, "toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
-    turn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = docs.select(col(docs, "doc_id").alias("doc_id")).where("doc_id IS NOT NULL")
-    picked = known.join(ids, "doc_id", "left_semi").withColumn("turn", turn).where(F.col("turn") <= F.when(F.col("toxic") == 1, most_toxic).otherwise(most_clean)).drop("turn")
+    most = F.when(F.col("toxic") == 1, most_toxic).otherwise(most_clean)
+    picked = first_by_hash(known.join(ids, "doc_id", "left_semi"), "toxic", "doc_id", most).drop("turn")
     shared = spark.sparkContext.broadcast(lm)
 
     def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

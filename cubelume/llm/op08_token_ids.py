@@ -140,7 +140,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterato
         texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
         if len(keys):
             part = batch.column("part")[0].as_py()
-        for a, b in slices(texts, 1_500_000):
+        for a, b in slices(texts, 600_000):
             got, ends = encode_texts(texts[a:b], path, end)
             at = 0
             while at < b - a:  # whole documents up to about SEGMENT ids

@@ -20,10 +20,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, id_crc, ready, table, trim
+from .common import col, first_by_hash, id_crc, ready, table, trim
 
 FIT_PER_LANGUAGE = 600
 FIT_ROWS = 20_000
@@ -123,8 +123,7 @@ def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: f
 def train(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, most: int = FIT_ROWS, landmarks: int = LANDMARKS) -> Model:
     """Learns from rows with text and lang."""
     d = docs.select(col(docs, "doc_id").alias("doc_id"), col(docs, "text").alias("text"), col(docs, "lang").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    by_hash = F.xxhash64("doc_id")
-    picked = d.select("doc_id", "lang").withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(by_hash, "doc_id"))).where(F.col("turn") <= per_language)
+    picked = first_by_hash(d.select("doc_id", "lang"), "lang", "doc_id", F.lit(per_language))
     picked = picked.orderBy("turn", "lang").limit(most).select(F.col("doc_id").alias("picked"))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
