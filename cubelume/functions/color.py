@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: sqrt(3) * 255, the largest distance of two colours, as the scores take it.
@@ -116,35 +116,40 @@ def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return 116 * y - 16, 500 * (x - y), 200 * (y - z)
 
 
-def delta_e2000(one: tuple, two: tuple) -> Column:
-    """CIEDE2000 of two Lab colours, by the published formula (Sharma et al.). Give it plain columns: it names each many times."""
-    (l1, a1, b1), (l2, a2, b2) = one, two
-    c1, c2 = F.sqrt(a1 * a1 + b1 * b1), F.sqrt(a2 * a2 + b2 * b2)
-    c7 = F.pow((c1 + c2) / 2, F.lit(7))
-    g = 0.5 * (1 - F.sqrt(c7 / (c7 + 25.0**7)))
-    p1, p2 = a1 * (1 + g), a2 * (1 + g)
-    d1, d2 = F.sqrt(p1 * p1 + b1 * b1), F.sqrt(p2 * p2 + b2 * b2)
+def with_delta_e2000(df: DataFrame, one: tuple[str, str, str], two: tuple[str, str, str], out: str) -> DataFrame:
+    """df with the CIEDE2000 of two Lab colours (column names), by the published formula (Sharma et al.).
+
+    Each step is a projection of its own: what later steps name many times is computed once, and the generated code stays small."""
+    (l1, a1, b1), (l2, a2, b2) = (tuple(F.col(c) for c in side) for side in (one, two))
+    c = lambda n: F.col(f"__{n}")
+    keep = df.columns
+
+    def step(d: DataFrame, **new: Column) -> DataFrame:
+        return d.withColumns({f"__{n}": v for n, v in new.items()})
 
     def angle(b: Column, p: Column) -> Column:
-        t = F.degrees(F.atan2(b, p))
-        return F.when((b == 0) & (p == 0), 0.0).when(t < 0, t + 360).otherwise(t)
-
-    h1, h2 = angle(b1, p1), angle(b2, p2)
-    grey, apart = d1 * d2 == 0, h2 - h1
-    dh = F.when(grey, 0.0).when(F.abs(apart) <= 180, apart).when(apart > 180, apart - 360).otherwise(apart + 360)
-    dl, dc, dbig = l2 - l1, d2 - d1, 2 * F.sqrt(d1 * d2) * F.sin(F.radians(dh / 2))
-    lm, cm, s = (l1 + l2) / 2, (d1 + d2) / 2, h1 + h2
-    hm = F.when(grey, s).when(F.abs(apart) <= 180, s / 2).when(s < 360, (s + 360) / 2).otherwise((s - 360) / 2)
+        return F.when((b == 0) & (p == 0), 0.0).otherwise((F.degrees(F.atan2(b, p)) + 360) % 360)
+
     cos = lambda x: F.cos(F.radians(x))
-    t = 1 - 0.17 * cos(hm - 30) + 0.24 * cos(2 * hm) + 0.32 * cos(3 * hm + 6) - 0.20 * cos(4 * hm - 63)
-    turn = 30 * F.exp(-F.pow((hm - 275) / 25, F.lit(2)))
-    cm7 = F.pow(cm, F.lit(7))
-    rc = 2 * F.sqrt(cm7 / (cm7 + 25.0**7))
-    off = F.pow(lm - 50, F.lit(2))
-    sl, sc, sh = 1 + 0.015 * off / F.sqrt(20 + off), 1 + 0.045 * cm, 1 + 0.015 * cm * t
-    rt = -F.sin(F.radians(2 * turn)) * rc
-    x, y, z = dl / sl, dc / sc, dbig / sh
-    return F.sqrt(F.greatest(F.lit(0.0), x * x + y * y + z * z + rt * y * z))
+    d = step(df, c7=F.pow((F.sqrt(a1 * a1 + b1 * b1) + F.sqrt(a2 * a2 + b2 * b2)) / 2, F.lit(7)))
+    d = step(d, g=0.5 * (1 - F.sqrt(c("c7") / (c("c7") + 25.0**7))))
+    d = step(d, p1=a1 * (1 + c("g")), p2=a2 * (1 + c("g")))
+    d = step(d, d1=F.sqrt(c("p1") * c("p1") + b1 * b1), d2=F.sqrt(c("p2") * c("p2") + b2 * b2), h1=angle(b1, c("p1")), h2=angle(b2, c("p2")))
+    d = step(d, grey=c("d1") * c("d2") == 0, apart=c("h2") - c("h1"), sum=c("h1") + c("h2"), cm=(c("d1") + c("d2")) / 2)
+    dh = F.when(c("grey"), 0.0).when(F.abs(c("apart")) <= 180, c("apart")).when(c("apart") > 180, c("apart") - 360).otherwise(c("apart") + 360)
+    hm = F.when(c("grey"), c("sum")).when(F.abs(c("apart")) <= 180, c("sum") / 2).when(c("sum") < 360, (c("sum") + 360) / 2).otherwise((c("sum") - 360) / 2)
+    d = step(d, dh=dh, hm=hm, cm7=F.pow(c("cm"), F.lit(7)), off=F.pow((l1 + l2) / 2 - 50, F.lit(2)))
+    h = c("hm")
+    d = step(d, t=1 - 0.17 * cos(h - 30) + 0.24 * cos(2 * h) + 0.32 * cos(3 * h + 6) - 0.20 * cos(4 * h - 63), turn=30 * F.exp(-F.pow((h - 275) / 25, F.lit(2))))
+    d = step(
+        d,
+        x=(l2 - l1) / (1 + 0.015 * c("off") / F.sqrt(20 + c("off"))),
+        y=(c("d2") - c("d1")) / (1 + 0.045 * c("cm")),
+        z=2 * F.sqrt(c("d1") * c("d2")) * F.sin(F.radians(c("dh") / 2)) / (1 + 0.015 * c("cm") * c("t")),
+        rt=-F.sin(F.radians(2 * c("turn"))) * 2 * F.sqrt(c("cm7") / (c("cm7") + 25.0**7)),
+    )
+    square = c("x") * c("x") + c("y") * c("y") + c("z") * c("z") + c("rt") * c("y") * c("z")
+    return d.select(*[F.col(f"`{n}`") for n in keep], F.sqrt(F.greatest(F.lit(0.0), square)).alias(out))
 
 
 def relative_luminance(r: Column, g: Column, b: Column) -> Column:

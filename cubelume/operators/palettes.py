@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.color import bucket332, bucket_centre, delta_e2000, lab, luma_milli, pack, unpack
+from ..functions.color import bucket332, bucket_centre, lab, luma_milli, pack, unpack, with_delta_e2000
 
 SIZE = 256
 
@@ -69,8 +69,9 @@ def similar_pairs(a: DataFrame, b: DataFrame, most: float = 5.0) -> DataFrame:
         return p.select(F.col("argb").alias(s), *[v.alias(f"{s}{i}") for i, v in enumerate(lab(*rgb))])
 
     one, two = in_lab(a, "a"), in_lab(b.limit(SIZE), "b")
-    d = delta_e2000(*[tuple(F.col(f"{s}{i}") for i in range(3)) for s in "ab"])
-    return one.crossJoin(F.broadcast(two)).withColumn("delta", d).where(F.col("delta") < most).select("a", "b", "delta")
+    met = with_delta_e2000(one.crossJoin(F.broadcast(two)), ("a0", "a1", "a2"), ("b0", "b1", "b2"), "delta")
+    # the minimum of one row keeps the condition from being pushed into the join with all of the formula
+    return met.groupBy("a", "b").agg(F.min("delta").alias("delta")).where(F.col("delta") < most)
 
 
 def transitions(df: DataFrame) -> DataFrame:

@@ -171,8 +171,8 @@ def q_delta_e(spark, d):
     """Mean CIEDE2000 between each cell and the one before in time."""
     s = C.step(cells(spark, d), "t").where("pr IS NOT NULL")
     s = s.select("t", *[v.alias(f"{n}{i}") for i, side in enumerate(("", "p")) for v, n in zip(K.lab(*C.rgb(side)), "lab", strict=True)])
-    e = K.delta_e2000(*[tuple(F.col(f"{n}{i}") for n in "lab") for i in (0, 1)])
-    return s.groupBy("t").agg(F.round(F.avg(e), 6).alias("delta_e"))
+    s = K.with_delta_e2000(s, ("l0", "a0", "b0"), ("l1", "a1", "b1"), "delta")
+    return s.groupBy("t").agg(F.round(F.avg("delta"), 6).alias("delta_e"))
 
 
 @query("q_lab", """WITH v AS (SELECT CAST(i AS INT) AS i, i * 37 % 256 AS r, i * 59 % 256 AS g, i * 83 % 256 AS b FROM range(256) t(i)),

@@ -20,7 +20,7 @@ from cubelume.sources.cubes import PATTERNS, dense_cube
 ])
 def test_ciede2000(spark, one, two, want):
     df = spark.createDataFrame([(*map(float, one), *map(float, two))], "l1 double, a1 double, b1 double, l2 double, a2 double, b2 double")
-    got = df.select(color.delta_e2000(*[tuple(F.col(f"{c}{i}") for c in "lab") for i in (1, 2)]).alias("d")).first().d
+    got = color.with_delta_e2000(df, ("l1", "a1", "b1"), ("l2", "a2", "b2"), "d").first().d
     assert got == pytest.approx(want, abs=1e-4)
 
 
