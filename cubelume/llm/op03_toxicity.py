@@ -170,8 +170,8 @@ def keys(word: str) -> list[str]:
 
 
 def _weight(t: Column, c: Column, n_t: Column, n_c: Column) -> Column:
-    """Log odds of occurring in toxic texts, less 1.5 standard errors."""
-    return F.log((t + 0.5) / (n_t + 1)) - F.log((c + 0.5) / (n_c + 1)) - 1.5 * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+    """Log odds of occurring in toxic texts, less 2.5 standard errors."""
+    return F.log((t + 0.5) / (n_t + 1)) - F.log((c + 0.5) / (n_c + 1)) - 2.5 * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
 
 
 @dataclass
