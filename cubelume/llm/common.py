@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..runtime import ready as _ready
 
 ROWS_A_BATCH = 1_000
+#: Sizes of up to this many groups (languages, labels) are broadcast.
+GROUPS_BROADCAST = 10_000
 _live: dict[str, list[str]] = {}
 
 
@@ -106,8 +108,9 @@ def first_by_hash(rows: DataFrame, group: str, key: str, k: Column) -> DataFrame
     """rows with `turn`, 1 to k in each group by a hash of key. Of large groups only the rows of small hashes (4 k + 50 are
     expected) go into the ranking, so that no task ranks a group however large it is; that fewer than k are among these
     has a chance below 1e-9."""
-    h = F.xxhash64(key)
-    sized = rows.join(rows.groupBy(group).agg(F.count("*").alias("__n")), group)
+    h, sizes = F.xxhash64(key), rows.groupBy(group).agg(F.count("*").alias("__n"))
+    few = sizes.limit(GROUPS_BROADCAST + 1).count() <= GROUPS_BROADCAST  # else a shuffle join
+    sized = rows.join(F.broadcast(sizes) if few else sizes, group)
     some = sized.where(h.cast("double") / float(1 << 64) + 0.5 < (4 * k + 50) / F.col("__n")).drop("__n")
     return some.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(h, key))).where(F.col("turn") <= k)
 
