@@ -1,9 +1,9 @@
 """Near-duplicate embeddings by cross-polytope hashing.
 
 Equal vectors are one first. A vector is rotated by three rounds of random signs and a fast Hadamard transform; its hash is the
-coordinate of largest size, with its sign. WIDE hashes make a bucket, TABLES buckets of other rotations make
-the index, and each vector also stands in PROBES - 1 further buckets of each table, with the second largest coordinate in place of the
-largest where that is closest. Vectors that share a bucket are compared by cosine in double precision; a pair that meets in
+coordinate of largest size, with its sign. Two to four hashes make a bucket (wide), buckets of other rotations make
+the index, and each vector also stands in further buckets of each table, with the second largest coordinate in place of the
+largest where that is closest. More hashes come with more tables and probes (INDEX), so that recall doesn't fall with the number of vectors. Vectors that share a bucket are compared by cosine in double precision; a pair that meets in
 several buckets counts in the least of them. Buckets of more than BLOCK vectors are split in blocks, every two of which meet in a task of
 their own, so that no task holds more than 2 BLOCK vectors and no link is lost.
 
@@ -27,6 +27,8 @@ from .components import connected_components
 
 COSINE = 0.9
 TABLES, PROBES = 6, 3
+#: Tables and probes by the number of hashes: pairs at COSINE are found at least as often as with two, in 64 and in 384 dimensions.
+INDEX = {2: (TABLES, PROBES), 3: (10, 6), 4: (18, 9)}
 BLOCK = 1024
 SMALL = 48
 
@@ -47,8 +49,9 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def codes(x: np.ndarray, k: int, tables: int = TABLES, probes: int = PROBES, seed: int = 7) -> np.ndarray:
+def codes(x: np.ndarray, k: int, tables: int | None = None, probes: int | None = None, seed: int = 7) -> np.ndarray:
     """Bucket codes of unit vectors: n x (tables * probes), the probes of a table side by side, the first its own bucket."""
+    tables, probes = tables or INDEX[k][0], probes or INDEX[k][1]
     n, d = x.shape
     d2 = 1 << max(1, (d - 1).bit_length())
     padded = np.zeros((n, d2), np.float32)
@@ -94,7 +97,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _pairs(unit: np.ndarray, group: np.ndarray, bucket: np.ndarray, side: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(unit: np.ndarray, group: np.ndarray, bucket: np.ndarray, side: np.ndarray, own: np.ndarray, probes: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one group (rows are sorted by group) that link, each only in the least bucket that the two share.
     side: 0, or in a meeting of two blocks the block (1 or 2): there only pairs across count. own: codes of the rows."""
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -117,10 +120,10 @@ def _pairs(unit: np.ndarray, group: np.ndarray, bucket: np.ndarray, side: np.nda
     keep = (side[i] == 0) | (side[i] != side[j])
     i, j = i[keep], j[keep]
     least_shared = np.full(len(i), np.iinfo(np.int64).max)
-    for t in range(0, own.shape[1], PROBES):
-        for p in range(t, t + PROBES):
+    for t in range(0, own.shape[1], probes):
+        for p in range(t, t + probes):
             a = own[i, p]
-            for q in range(t, t + PROBES):
+            for q in range(t, t + probes):
                 least_shared = np.where(a == own[j, q], np.minimum(least_shared, a), least_shared)
     keep = least_shared == bucket[i]
     return i[keep], j[keep]
@@ -154,7 +157,7 @@ def links(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     good = v.where(F.coalesce(sound, F.lit(False)))
     reps = written(good.groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vec-reps")
     k = wide(reps.count())
-    n_codes = TABLES * PROBES
+    n_codes, probes = INDEX[k][0] * INDEX[k][1], INDEX[k][1]
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,7 +193,7 @@ def links(vectors: DataFrame, least: float = COSINE) -> DataFrame:
                 unit = _unit(_matrix(e.take(pa.array(m))))
                 group = np.cumsum(np.concatenate([[0], (bucket[m][1:] != bucket[m][:-1]) | (low[m][1:] != low[m][:-1]) | (high[m][1:] != high[m][:-1])])) if len(m) else m
                 own = codes(unit, k) * 131 + int(d)
-                i, j = _pairs(unit, group, bucket[m], side[m], own, least)
+                i, j = _pairs(unit, group, bucket[m], side[m], own, probes, least)
                 if not len(i):
                     continue
                 r, c = rep[m], copies[m]

@@ -139,3 +139,35 @@ def test_recall_at_the_threshold():
     for k in (2, 3):
         x, y = O6.codes(a, k), O6.codes(b, k)
         assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(x, y, strict=True)]) > 0.9
+
+
+def at_the_threshold(n, d, seed):
+    r = np.random.default_rng(seed)
+    a, b = r.normal(size=(2, n, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    return a, 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("d", [64, 384])
+def test_recall_stays_with_more_hashes(d):
+    a, b = at_the_threshold(2000, d, 8)
+
+    def recall(k):
+        return np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(O6.codes(a, k), O6.codes(b, k), strict=True)])
+
+    two = recall(2)
+    assert two > 0.96 and recall(3) > two - 0.005 and recall(4) > two - 0.005
+
+
+@pytest.mark.parametrize("k", [3, 4])
+def test_links_with_more_hashes_against_brute_force(spark, monkeypatch, k):
+    monkeypatch.setattr(O6, "wide", lambda n: k)
+    a, b = at_the_threshold(400, 64, 9)
+    x = np.concatenate([a, b * 1.0001 + a * 0.001]).astype(np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {g.vec_id: g.n_links for g in O6.links(df).collect()}
+    assert near.sum() >= 800 and all(got[i] <= near[i].sum() for i in got)
+    assert sum(got.values()) >= 0.99 * near.sum()
