@@ -1,9 +1,9 @@
 """Toxicity scores after noisy-channel deobfuscation.
 
-Channel: a writer hides a word by signs that look like letters, by blanks or signs between its letters, and by letters
-repeated. A suspicious stretch is turned into a lattice of what each place may stand for, and Viterbi's algorithm finds the
-reading of least cost under a character trigram model, which is counted over all documents. Plain words are their own only
-reading, so they skip the search. The restored words (and the stretch's own) are then scored: a word's weight is the lower bound of
+Channel: a writer hides a word by signs that look like letters, by blanks or signs between its letters or between pieces of up
+to PIECE letters, and by letters repeated. A suspicious stretch is turned into a lattice of what each place may stand for, and Viterbi's algorithm finds the
+reading of least cost under a character trigram model, which is counted over all documents. Words of letters alone, none
+of them doubled and without a sign at either end that may be a letter, are their own only reading, so they skip the search. The restored words (and the stretch's own) are then scored: a word's weight is the lower bound of
 the log odds that it, or its first 4, 5 or 6 letters, occur in toxic rather than in other training texts; a document's
 score is a logistic function of its largest weight and of its number of weighted words, fitted with every training text's
 own counts left out.
@@ -21,6 +21,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -40,8 +41,15 @@ REMEMBERED = 400_000
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
 _LEET_COST, _DROP_COST, _REPEAT_COST, _BREAK_COST = 0.7, 0.3, 0.3, 0.7
 _EDGE = " .,;:!?\"'()[]{}<>-_*~`|/\\&%#=+…“”„«»‘’¡¿"
+_NO_LETTER = "".join(c for c in _EDGE if c not in LEET)
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~]{1,2}[^\W_@$!]){2,}(?![^\W_])")
-_RUN = re.compile(r"([^\W\d_])\1\1")
+#: Stretches of short pieces; those of single letters lie within them.
+PIECE = 4
+_PIECES = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+(€]){1,%d}(?:[ .\-_*~]{1,2}(?:[^\W_]|[@$!|+(€]){1,%d})+(?![^\W_])" % (PIECE, PIECE))
+_PART = re.compile(r"(?:[^\W_]|[@$!|+(€])+")
+#: Longer stretches hardly ever return, so that their readings aren't kept.
+_KEPT = 16
+_DOUBLED = re.compile(r"([^\W\d_])\1")
 _HIDDEN = re.compile(r"[^\W\d_]")
 SYMBOLS = 64
 _symbols: list[np.ndarray] = []
@@ -109,59 +117,132 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def viterbi(stretch: str, lm: np.ndarray) -> str:
-    """The reading of least cost; ties go to the first in order of the readings."""
-    table_ = _symbol_table()
-    live: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def best_reading(stretch: str, costs: list[float]) -> str:
+    """The reading of least cost; ties go to the first in order of the readings. costs: the language model, row by row."""
+    live: dict[int, tuple[float, str]] = {0: (0.0, "")}
     for choices in [*lattice(stretch), [(" ", 0.0)]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for state, (cost, said) in live.items():
-            for what, channel in choices:
-                (a, b), total = state, cost + channel
-                for c in what:
-                    s = int(table_[ord(c)])
-                    if s or b:  # a second blank changes nothing
-                        total += float(lm[a, b, s])
-                    a, b = (b, s) if s else (0, 0)
-                found = (total, said + what)
-                if (a, b) not in after or found < after[a, b]:
-                    after[a, b] = found
+        after: dict[int, tuple[float, str]] = {}
+        for what, channel in choices:
+            symbols = [_symbol(c) for c in what]
+            for state, (cost, said) in live.items():
+                total = cost + channel
+                for s in symbols:
+                    if s:
+                        total += costs[state << 6 | s]
+                        state = (state << 6 | s) & 4095
+                    else:
+                        if state & 63:  # a second blank changes nothing
+                            total += costs[state << 6]
+                        state = 0
+                best = after.get(state)
+                if best is None or total < best[0] or (total == best[0] and said + what < best[1]):
+                    after[state] = (total, said + what)
         live = after
     return min(live.values())[1]
 
 
+@cache
+def _symbol(c: str) -> int:
+    return int(_symbol_table()[ord(c)])
+
+
+def viterbi(stretch: str, lm: np.ndarray) -> str:
+    return best_reading(stretch, lm.ravel().tolist())
+
+
 @dataclass
 class Restorer:
     """Restored words of tokens and texts."""
 
     lm: np.ndarray
     known: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    stretches: dict[str, list[str]] = field(default_factory=dict)
+    gaps: dict[tuple[str, int, str], bool] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.costs: list[float] = self.lm.ravel().tolist()
 
     def token(self, token: str) -> tuple[str, ...]:
         """token: lower case, without blanks."""
         bare = token.strip(_EDGE)
-        plain = bare.isalpha()
-        if plain and not _RUN.search(bare):
+        if self._settled(bare) and token.strip(_NO_LETTER) == bare:
             return (bare,)
         if not _HIDDEN.search(token):
             return ()
         words = [w for w in re.split(r"[^\w]+|[\d_]+", bare) if w]
-        if any(c in LEET for c in token.strip(" .,;:!?\"'")) or _RUN.search(bare) or not plain:
-            words += viterbi(token.strip(" .,;:?\"'").rstrip("!"), self.lm).split()
+        whole = token.strip(" .,;:?\"'")
+        for stretch in dict.fromkeys((whole.rstrip("!"), whole)):  # a last ! may be an i
+            if not self._settled(stretch):
+                words += best_reading(stretch, self.costs).split()
         return tuple(dict.fromkeys(words))
 
+    @staticmethod
+    def _settled(word: str) -> bool:
+        return word.isalpha() and not _DOUBLED.search(word)
+
+    def pieces(self, run: str) -> set[str]:
+        """Words of a stretch of short pieces besides its plain pieces, which are words of tokens anyhow: as a whole, of the single
+        letters in it, and of every two and three pieces, as the best reading of the whole may join a word with its neighbours.
+        Where pieces have two letters or more and only one reading, these fix the model's state on either side of a gap, so that
+        gaps are decided one by one."""
+        spans = [m.span() for m in _PART.finditer(run)]
+        said = [run[a:b] for a, b in spans]
+        plain = [len(p) > 1 and self._settled(p) for p in said]
+        joins: list[bool | None] = []
+        for i in range(len(said) - 1):
+            a, b = spans[i][1], spans[i + 1][0]
+            joins.append(self._joins(said[i][-2:], b - a, said[i + 1][:2]) if plain[i] and plain[i + 1] and "*" not in run[a:b] else None)
+        out: set[str] = set()
+        for n in {2, 3, len(said)}:
+            for i in range(len(said) - n + 1):
+                gaps = joins[i : i + n - 1]
+                if None in gaps:
+                    out.update(self._reading(run[spans[i][0] : spans[i + n - 1][1]]))
+                elif True in gaps:
+                    words = said[i : i + 1]
+                    for k, together in enumerate(gaps, i + 1):
+                        if together:
+                            words[-1] += said[k]
+                        else:
+                            words.append(said[k])
+                    out.update(words)
+        if None in joins:
+            for m in _SPACED.finditer(run):
+                out.update(self._reading(m[0]))
+        return out.difference(p for p, alone in zip(said, plain, strict=True) if alone)
+
+    def _reading(self, stretch: str) -> list[str]:
+        if (got := self.stretches.get(stretch)) is None:
+            got = best_reading(stretch, self.costs).split()
+            if len(stretch) <= _KEPT:
+                if len(self.stretches) >= REMEMBERED:
+                    self.stretches.clear()
+                self.stretches[stretch] = got
+        return got
+
+    def _joins(self, left: str, n: int, right: str) -> bool:
+        if (got := self.gaps.get((left, n, right))) is None:
+            a, b = (_symbol(left[0]) << 6 | _symbol(left[1])), _symbol(right[0])
+            to = _symbol(right[1])
+            c = self.costs
+            joined = n * _DROP_COST + c[a << 6 | b] + c[(a & 63) << 12 | b << 6 | to]
+            apart = _BREAK_COST + (n - 1) * _DROP_COST + c[a << 6] + c[b] + c[b << 6 | to]
+            got = self.gaps[left, n, right] = joined < apart
+        return got
+
     def words(self, text: str | None) -> set[str]:
-        """Restored words of a text: of its tokens and of stretches of single letters."""
+        """Restored words of a text: of its tokens and of stretches of short pieces."""
         text = (text or "").lower()
         out: set[str] = set()
         for t in set(text.split()):
             if (got := self.known.get(t)) is None:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
+                    self.gaps.clear()
                 got = self.known[t] = self.token(t)
             out.update(got)
-        for m in _SPACED.finditer(text):
-            out.update(viterbi(m[0], self.lm).split())
+        for run in {m[0] for m in _PIECES.finditer(text)}:
+            out.update(self.pieces(run))
         return out
 
 
@@ -180,6 +261,7 @@ class Model:
     lexicon: dict[str, float]
     beta: tuple[float, float, float] | None
     _weights: dict[str, float] = field(default_factory=dict)
+    _runs: dict[str, tuple] = field(default_factory=dict)
     _restorer: Restorer | None = None
 
     def word_weight(self, word: str) -> float:
@@ -201,12 +283,21 @@ class Model:
                 if len(weights) >= REMEMBERED:
                     weights.clear()
                     r.known.clear()
+                    r.gaps.clear()
                 got = r.known[t] = tuple(self.token_weights(r.token(t)))
                 w = weights[t] = float(len(got))
             if w:
                 hits.update(r.known[t])
-        for m in _SPACED.finditer(text):
-            hits.update(self.token_weights(viterbi(m[0], self.lm).split()))
+        runs = self._runs
+        for run in {m[0] for m in _PIECES.finditer(text)}:
+            found = runs.get(run)
+            if found is None:
+                found = tuple(self.token_weights(r.pieces(run)))
+                if len(run) <= _KEPT:
+                    if len(runs) >= REMEMBERED:
+                        runs.clear()
+                    runs[run] = found
+            hits.update(found)
         top = max(hits.values(), default=0.0)
         b = self.beta
         return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, b[0] + b[1] * top + b[2] * math.log1p(len(hits))))))

@@ -32,6 +32,32 @@ def test_restores_spaced_letters_and_leaves_plain_words():
     assert r.words(None) == set() and r.words("!!! 123") == set()
 
 
+@pytest.mark.parametrize("hidden, word", [("+rash", "trash"), ("(lown", "clown"), ("|diot", "idiot"), ("*diot", "idiot"), ("alib!", "alibi"), ("(|diot)", "idiot"), ("stuupid", "stupid"), ("mooron", "moron"), ("stuppid!", "stupid")])
+def test_restores_signs_at_the_ends_and_doubled_letters(hidden, word):
+    assert word in O3.Restorer(model_of([*WORDS, "trash", "clown", "alibi"])).token(hidden)
+
+
+@pytest.mark.parametrize("text, word", [("you id iot there", "idiot"), ("the stu pid house", "stupid"), ("the mor on table", "moron"), ("st u pid", "stupid"), ("a stup id river", "stupid"), ("the 1d iot", "idiot"), ("people $tu pid", "stupid")])
+def test_restores_words_in_short_pieces(text, word):
+    m = model_of(WORDS)
+    assert word in O3.Restorer(m).words(text)
+    scored = O3.Model(m, {word: 3.0}, (-2.0, 2.0, 0.0))
+    assert scored.score(text) > 0.9 > 0.5 > scored.score("the green river") and scored.score(text) == scored.score(text)
+
+
+def test_gaps_one_by_one_read_as_viterbi_does():
+    lm, r = model_of(WORDS), random.Random(5)
+    restorer = O3.Restorer(lm)
+    for _ in range(300):
+        run = r.choice("aeimnoprstu") + r.choice("ido")
+        for _ in range(r.randrange(1, 4)):
+            run += r.choice([" ", " ", "-", ". "]) + "".join(r.sample("stupidmorne", r.randrange(1, 5)))
+        parts = [m[0] for m in O3._PART.finditer(run)]
+        want = set(O3.viterbi(run, lm).split())
+        assert want <= restorer.pieces(run) | set(parts)
+        assert len(parts) > 2 or restorer.pieces(run) <= want
+
+
 def test_viterbi_is_the_least_cost_path():
     lm, r = model_of(WORDS), random.Random(3)
     table = O3._symbol_table()
