@@ -49,6 +49,17 @@ def q_hybrid_palettes(spark, d):
     return P.override_frames(e, 30.0, 4)
 
 
+@query("q_conveyor_whole")
+def q_conveyor_whole(spark, d):
+    return P.conveyor(N.nearest(voxels(spark, d), palette(spark, d)), 64, 3).groupBy("f", "idx").agg(F.count("*").alias("n"))
+
+
+@query("q_hybrid_palettes_whole")
+def q_hybrid_palettes_whole(spark, d):
+    e = N.nearest(voxels(spark, d), palette(spark, d)).groupBy("f").agg(F.avg(F.sqrt(F.col("dist").cast("double"))).alias("error"))
+    return P.override_frames(e, 30.0, 4)
+
+
 def boards(spark, d):
     rgb = [F.col(c) for c in "rgb"]
     m = C.motion(cells(spark, d)).withColumns({"light": brightness(*rgb), "saturation": saturation(*rgb)})

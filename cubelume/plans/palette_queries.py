@@ -48,6 +48,11 @@ def q_nearest(spark, d):
     return N.nearest(early(spark, d).select("r", "g", "b").distinct(), palette(spark, d))
 
 
+@query("q_nearest_whole")
+def q_nearest_whole(spark, d):
+    return N.nearest(voxels(spark, d).select("r", "g", "b").distinct(), palette(spark, d))
+
+
 @query("q_lut_map", f"WITH {LUT} SELECT f, idx, count(*) AS n FROM voxel v JOIN lut l ON v.r // 16 = kr AND v.g // 16 = kg AND v.b // 16 = kb GROUP BY f, idx")
 def q_lut_map(spark, d):
     return N.by_lookup(voxels(spark, d), palette(spark, d)).groupBy("f", "idx").agg(F.count("*").alias("n"))
@@ -60,6 +65,13 @@ def q_lut_vs_nn(spark, d):
     return N.by_lookup(exact, p).agg(F.count("*").alias("colours"), F.count_if(F.col("idx") != F.col("exact")).alias("differ"))
 
 
+@query("q_lut_vs_nn_whole")
+def q_lut_vs_nn_whole(spark, d):
+    p = palette(spark, d)
+    exact = N.nearest(voxels(spark, d).select("r", "g", "b").distinct(), p).withColumnRenamed("idx", "exact")
+    return N.by_lookup(exact, p).agg(F.count("*").alias("colours"), F.count_if(F.col("idx") != F.col("exact")).alias("differ"))
+
+
 @query("q_reconstruct_error", f"""WITH {NEAR}, e AS (SELECT abs(v.r - p.r) AS er, abs(v.g - p.g) AS eg, abs(v.b - p.b) AS eb FROM voxel v JOIN nn USING (r, g, b) JOIN pal p ON nn.idx = p.idx WHERE f < 9)
  SELECT count(*) AS n, round(sum(er * er + eg * eg + eb * eb)::DOUBLE / (3.0 * count(*)), 6) AS mse, round(10 * log10(65025.0::DOUBLE / (sum(er * er + eg * eg + eb * eb)::DOUBLE / (3.0 * count(*)))), 6) AS psnr,
  round(sum(er + eg + eb)::DOUBLE / (3.0 * count(*)), 6) AS mean_error, max(greatest(er, eg, eb)) AS largest, round(count(*) FILTER (greatest(er, eg, eb) <= 25)::DOUBLE / count(*), 6) AS close FROM e""")
@@ -68,12 +80,24 @@ def q_reconstruct_error(spark, d):
     return N.errors(N.reconstructed(N.nearest(early(spark, d), p), p))
 
 
+@query("q_reconstruct_error_whole")
+def q_reconstruct_error_whole(spark, d):
+    p = palette(spark, d)
+    return N.errors(N.reconstructed(N.nearest(voxels(spark, d), p), p))
+
+
 @query("q_quantisation_error", f"WITH {NEAR} SELECT f, round(avg(sqrt(dist::DOUBLE)), 6) AS error, avg(sqrt(dist::DOUBLE)) > 20 AS over FROM voxel JOIN nn USING (r, g, b) WHERE f < 9 GROUP BY f")
 def q_quantisation_error(spark, d):
     e = N.nearest(early(spark, d), palette(spark, d)).groupBy("f").agg(F.avg(F.sqrt(F.col("dist").cast("double"))).alias("e"))
     return e.select("f", F.round("e", 6).alias("error"), (F.col("e") > 20).alias("over"))
 
 
+@query("q_quantisation_error_whole")
+def q_quantisation_error_whole(spark, d):
+    e = N.nearest(voxels(spark, d), palette(spark, d)).groupBy("f").agg(F.avg(F.sqrt(F.col("dist").cast("double"))).alias("e"))
+    return e.select("f", F.round("e", 6).alias("error"), (F.col("e") > 20).alias("over"))
+
+
 @query("q_cell_mode", f"""WITH {LUT}, k AS (SELECT v.f // 9 * 81 + v.y // 9 * 9 + v.x // 9 AS cell, idx, count(*) AS k FROM voxel v JOIN lut l ON v.r // 16 = kr AND v.g // 16 = kg AND v.b // 16 = kb GROUP BY ALL),
  o AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY k DESC, idx) AS rank, sum(k) OVER (PARTITION BY cell) AS n FROM k)
  SELECT CAST(cell AS INT) AS cell, CAST(n AS BIGINT) AS n, max(idx) FILTER (rank = 1) AS dominant, max(idx) FILTER (rank = 2) AS secondary, round(1 - max(k) FILTER (rank = 1)::DOUBLE / n, 9) AS variance,
