@@ -38,6 +38,14 @@ def q_range_lineage(spark, d):
     return v.join(F.broadcast(of), "cell").where(inside).groupBy("cell").agg(F.count("*").alias("n"), F.sum("r").alias("r"))
 
 
+@query("q_range_lineage_whole")
+def q_range_lineage_whole(spark, d):
+    of = P.sources_of_cells(cells(spark, d))
+    v = voxels(spark, d).withColumn("cell", C.cell_key(C.at("f"), C.at("y"), C.at("x")))
+    inside = F.col("f").between(F.col("f_first"), F.col("f_last"))
+    return v.join(F.broadcast(of), "cell").where(inside).groupBy("cell").agg(F.count("*").alias("n"), F.sum("r").alias("r"))
+
+
 @query("q_conveyor", f"WITH {NEAR} SELECT f, CAST((idx + f * 3) % 64 AS INT) AS idx, count(*) AS n FROM voxel JOIN nn USING (r, g, b) WHERE f < 9 GROUP BY 1, 2")
 def q_conveyor(spark, d):
     return P.conveyor(N.nearest(early(spark, d), palette(spark, d)), 64, 3).groupBy("f", "idx").agg(F.count("*").alias("n"))

@@ -49,6 +49,16 @@ def q_channel_order(spark, d):
     return voxels(spark, d).where("f = 7").select("f", "y", "x", F.col("b").alias("c0"), F.col("g").alias("c1"), F.col("r").alias("c2"))
 
 
+@query("q_raw_frames_whole")
+def q_raw_frames_whole(spark, d):
+    return frames(voxels(spark, d)).select("f", F.sha2("rgb", 256).alias("sha"), "n")
+
+
+@query("q_channel_order_whole")
+def q_channel_order_whole(spark, d):
+    return voxels(spark, d).select("f", "y", "x", F.col("b").alias("c0"), F.col("g").alias("c1"), F.col("r").alias("c2"))
+
+
 @query("q_point_cloud", f"WITH {VOXEL} SELECT printf('%d %d %d %d %d %d', x, y, f, r, g, b) AS line FROM voxel WHERE f % 4 = 0 AND y % 4 = 0 AND x % 4 = 0")
 def q_point_cloud(spark, d):
     return S.point_cloud(voxels(spark, d), 4)

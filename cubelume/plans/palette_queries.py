@@ -217,6 +217,14 @@ def q_pack_unpack(spark, d):
     return v.withColumn("same", (back[0] == c[0]) & (back[1] == c[1]) & (back[2] == c[2]))
 
 
+@query("q_pack_unpack_whole")
+def q_pack_unpack_whole(spark, d):
+    c = [F.col(x) for x in "rgb"]
+    v = voxels(spark, d).select(*c, pack(*c).alias("argb"), hex_of(*c).alias("hex"))
+    back = unpack(F.col("argb"))
+    return v.withColumn("same", (back[0] == c[0]) & (back[1] == c[1]) & (back[2] == c[2]))
+
+
 @query("q_allocation", f"""WITH {CELLS}, s AS (SELECT t, y, CAST(sum(w) AS BIGINT) AS w FROM cells GROUP BY t, y), k AS (SELECT t * 9 + y AS key, w, CASE WHEN floor(w * 256::DOUBLE / sum(w) OVER ()) = 0 AND w > 0 THEN 1 ELSE floor(w * 256::DOUBLE / sum(w) OVER ()) END AS a FROM s),
  x AS (SELECT *, 256 - sum(a) OVER () AS d, count(*) OVER () AS n, row_number() OVER (ORDER BY w DESC, key) - 1 AS up, sum(CAST(a > 1 AS INT)) OVER (ORDER BY w, key ROWS UNBOUNDED PRECEDING) AS down FROM k)
  SELECT CAST(key AS INT) AS key, CAST(a + CASE WHEN d > 0 THEN greatest(floor((d - 1 - up) / n) + 1, 0) WHEN d < 0 AND a > 1 AND down <= -d THEN -1 ELSE 0 END AS BIGINT) AS allocated FROM x""")

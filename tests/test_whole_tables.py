@@ -41,3 +41,20 @@ def test_frames_beyond_the_ninth(spark, sf_dir, near):
     assert {r.f for r in rows} == set(mean) and all(r.error == pytest.approx(mean[r.f], abs=1e-5) and r.over == (mean[r.f] > 20) for r in rows)
     assert {(r.f, r.idx): r.n for r in catalog.QUERIES["q_conveyor_whole"](spark, sf_dir).collect()} == moved
     assert sorted(r.f for r in catalog.QUERIES["q_hybrid_palettes_whole"](spark, sf_dir).collect()) == sorted(f for f in mean if mean[f] > 30)[:4]
+
+
+def test_frames_colours_and_vectors_whole(spark, sf_dir):
+    v = voxels(spark, sf_dir).collect()
+    q = catalog.QUERIES
+    assert {r.f: r.n for r in q["q_raw_frames_whole"](spark, sf_dir).collect()} == Counter(r.f for r in v)
+    assert Counter(tuple(r) for r in q["q_channel_order_whole"](spark, sf_dir).collect()) == Counter((r.f, r.y, r.x, r.b, r.g, r.r) for r in v)
+    packed = q["q_pack_unpack_whole"](spark, sf_dir).collect()
+    assert all(r.same for r in packed) and Counter((r.r, r.g, r.b) for r in packed) == Counter((r.r, r.g, r.b) for r in v)
+    n, red = Counter(), Counter()
+    for r in v:
+        cell = r.f // 9 * 81 + r.y // 9 * 9 + r.x // 9
+        n[cell] += 1
+        red[cell] += r.r
+    assert {r.cell: (r.n, r.r) for r in q["q_range_lineage_whole"](spark, sf_dir).collect()} == {c: (n[c], red[c]) for c in n}
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    assert vectors.where("vec_id >= 100").count() > 0 and q["q_low_rank"](spark, sf_dir).count() == vectors.count()
