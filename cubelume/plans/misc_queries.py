@@ -70,6 +70,11 @@ def q_move_text(spark, d):
     return S.move_text(load(spark, d, "events"), 20)
 
 
+@query("q_move_text_whole")
+def q_move_text_whole(spark, d):
+    return S.move_text(load(spark, d, "events"))
+
+
 @query("q_json_fields", "SELECT event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def q_json_fields(spark, d):
     return load(spark, d, "events").select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").cast("long").alias("k"))

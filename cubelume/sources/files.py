@@ -89,10 +89,11 @@ def ply(cube: DataFrame, stride: int, to: str) -> None:
     lines.write.text(f"{to}/1-points")
 
 
-def move_text(events: DataFrame, most: int) -> DataFrame:
-    """user_id and its first moves as a game record of alternating colours on a 9 by 9 board."""
+def move_text(events: DataFrame, most: int | None = None) -> DataFrame:
+    """user_id and its moves (or the first most of them) as a game record of alternating colours on a 9 by 9 board."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    m = events.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+    m = events.withColumn("k", F.row_number().over(w))
+    m = m if most is None else m.where(F.col("k") <= most)
     at = lambda v: F.char((97 + v).cast("int"))
     one = F.concat(F.lit(";"), F.when(F.col("k") % 2 == 1, "B").otherwise("W"), F.lit("["), at(F.col("event_id") % 9), at(F.floor(F.col("event_id") / 9) % 9), F.lit("]"))
     moves = F.sort_array(F.collect_list(F.struct("k", one.alias("m"))))

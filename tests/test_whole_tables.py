@@ -58,3 +58,12 @@ def test_frames_colours_and_vectors_whole(spark, sf_dir):
     assert {r.cell: (r.n, r.r) for r in q["q_range_lineage_whole"](spark, sf_dir).collect()} == {c: (n[c], red[c]) for c in n}
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     assert vectors.where("vec_id >= 100").count() > 0 and q["q_low_rank"](spark, sf_dir).count() == vectors.count()
+
+
+def test_every_move_is_written(spark, sf_dir):
+    moves = defaultdict(list)
+    for e in spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id").collect():
+        moves[e.user_id].append((e.ts, e.event_id))
+    assert max(map(len, moves.values())) > 20
+    want = {u: "(;GM[1]SZ[9]" + "".join(f";{'BW'[k % 2]}[{chr(97 + i % 9)}{chr(97 + i // 9 % 9)}]" for k, (_, i) in enumerate(sorted(m))) + ")" for u, m in moves.items()}
+    assert {r.user_id: r.sgf for r in catalog.QUERIES["q_move_text_whole"](spark, sf_dir).collect()} == want
