@@ -13,7 +13,11 @@ SIZE = 256
 
 
 def _small(palette: DataFrame) -> DataFrame:
-    return F.broadcast(palette.limit(SIZE).select("idx", *[F.col(c).alias(f"p{c}") for c in "rgb"]))
+    """The palette to broadcast; one of more than SIZE rows is an error when it is read."""
+    p = palette.limit(SIZE + 1).select("idx", *[F.col(c).alias(f"p{c}") for c in "rgb"])
+    n = F.count("*").over(Window.partitionBy(F.lit(0)))
+    fits = F.when(F.col("n") > SIZE, F.raise_error(F.lit(f"a palette of more than {SIZE} colours")).cast("boolean")).otherwise(True)
+    return F.broadcast(p.withColumn("n", n).where(fits).drop("n"))
 
 
 def _best(colours: DataFrame, palette: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from cubelume.operators import nearest as N
 from cubelume.plans import catalog
 from cubelume.plans.palette_queries import palette
 from cubelume.sources.cubes import voxels
@@ -67,3 +68,13 @@ def test_every_move_is_written(spark, sf_dir):
     assert max(map(len, moves.values())) > 20
     want = {u: "(;GM[1]SZ[9]" + "".join(f";{'BW'[k % 2]}[{chr(97 + i % 9)}{chr(97 + i // 9 % 9)}]" for k, (_, i) in enumerate(sorted(m))) + ")" for u, m in moves.items()}
     assert {r.user_id: r.sgf for r in catalog.QUERIES["q_move_text_whole"](spark, sf_dir).collect()} == want
+
+
+def test_no_palette_is_cut(spark):
+    def colours(n):
+        return spark.range(n).selectExpr("cast(id as int) AS idx", "cast(id % 256 as int) AS r", "cast(id div 256 as int) AS g", "0 AS b")
+
+    assert N.nearest(colours(3).drop("idx"), colours(256)).count() == 3
+    for f in (lambda p: N.nearest(p.drop("idx"), p), N.distances, N.lookup_table):
+        with pytest.raises(Exception, match="more than 256 colours"):
+            f(colours(300)).collect()
