@@ -115,17 +115,23 @@ def remapped(frames: DataFrame, mapping: DataFrame) -> DataFrame:
     return frames.join(mapping, "ref", "left").withColumn("ref", new).drop("new_ref")
 
 
+def _after(df: DataFrame, name: str) -> int:
+    """One more than the largest value, 0 where there is none."""
+    top = df.agg(F.max(name)).first()[0]
+    return 0 if top is None else top + 1
+
+
 def banks_united(a: DataFrame, b: DataFrame, exponents: tuple[int, int]) -> tuple[DataFrame, int]:
     """Both banks (ref, ...) one after the other, and the offset of the second's refs."""
     if exponents[0] != exponents[1]:
         raise ValueError("banks of different sizes of palettes")
-    offset = (a.agg(F.max("ref")).first()[0] or -1) + 1
+    offset = _after(a, "ref")
     return a.unionByName(b.withColumn("ref", F.col("ref") + offset)), offset
 
 
 def streams_joined(a: DataFrame, b: DataFrame, ref_offset: int) -> DataFrame:
     """Frames of b after those of a, their refs moved as the bank's."""
-    n = (a.agg(F.max("f")).first()[0] or -1) + 1
+    n = _after(a, "f")
     return a.unionByName(b.withColumn("f", F.col("f") + n).withColumn("ref", F.col("ref") + ref_offset))
 
 

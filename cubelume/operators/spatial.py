@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import shared_dir
+
 
 def square_crop(width: int, height: int) -> tuple[int, int, int]:
     """x, y and side of the centre square."""
@@ -114,11 +116,7 @@ def components(cells: DataFrame, colour: str) -> DataFrame:
     A layer has 81 cells whatever the cube's size, so runs of least labels go by windows along rows and columns until
     nothing changes (at most 81 rounds); lineage is cut in the shared checkpoint folder."""
     out = cells.withColumn("group", (F.col("y") * 9 + F.col("x")).cast("int"))
-    spark = out.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    shared_dir(out.sparkSession)
     total = None
     while True:
         for line, along in (("y", "x"), ("x", "y")):

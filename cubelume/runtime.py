@@ -1,8 +1,9 @@
-"""What Python workers need."""
+"""What Python workers need, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -17,3 +18,16 @@ def ready(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join(p for p in [ROOT, *paths] if p)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir (or that was set on the context). Only where neither is set and the
+    master is local, as in tests, a temporary one; elsewhere executors wouldn't see it, so that its lack is an error."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(Path(tempfile.mkdtemp(prefix="cubelume-")).as_uri())
+        base = context.getCheckpointDir()
+    return base.rstrip("/")

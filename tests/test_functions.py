@@ -147,3 +147,14 @@ def test_bindings(spark):
         palettes.bound(f, 2, "map", mapping=spark.createDataFrame([(0, 1)], "f int, ref int")).collect()
     with pytest.raises(ValueError):
         palettes.banks_united(f, f, (8, 7))
+
+
+def test_banks_and_streams_of_one_are_not_mixed_up(spark):
+    from cubelume.operators import palettes as P
+
+    bank = spark.createDataFrame([(0, 0, 9)], "ref int, idx int, r int")
+    both, offset = P.banks_united(bank, bank, (8, 8))
+    assert offset == 1 and sorted(r.ref for r in both.collect()) == [0, 1]
+    frames = spark.createDataFrame([(0, 0)], "f int, ref int")
+    assert sorted((r.f, r.ref) for r in P.streams_joined(frames, frames, offset).collect()) == [(0, 0), (1, 1)]
+    assert P.banks_united(bank.where("ref > 5"), bank, (8, 8))[1] == 0
