@@ -5,39 +5,32 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ready as _ready
+from ..runtime import shared_dir
 
-ROWS_A_BATCH = 1_000
+#: Rows and bytes of a batch of texts that is handed to a Python worker (a longer text is a batch of its own).
+ROWS_A_BATCH, BYTES_A_BATCH = 1_000, 16 << 20
 #: Sizes of up to this many groups (languages, labels) are broadcast.
 GROUPS_BROADCAST = 10_000
 _live: dict[str, list[str]] = {}
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package, and hands them texts in batches that stay small for long ones."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) or 10_000) > ROWS_A_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+    """Lets Python workers import this package, and has the session hand them texts in batches of bounded rows and bytes."""
+    for name, most in (("maxRecordsPerBatch", ROWS_A_BATCH), ("maxBytesPerBatch", BYTES_A_BATCH)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}", None) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return _ready(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one of our own only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = Path(tempfile.mkdtemp(prefix="cubelume-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)

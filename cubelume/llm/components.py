@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_scratch, scratch_mark, written
 
 
 def _linked_to_least(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,6 +22,8 @@ def _linked_to_least(edges: DataFrame, large: bool) -> DataFrame:
 
 def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """edges (a, b), longs, either way round -> (node, component): every node of an edge and the least node it reaches."""
+    spark = edges.sparkSession
+    mark = scratch_mark(spark)
     edges = written(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a != b").distinct(), f"{tag}-edges")
     state = None
     while True:
@@ -30,4 +32,5 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
             break
         state = (now.n, now.s)
         edges = written(_linked_to_least(_linked_to_least(edges, True), False), f"{tag}-stars")
+        drop_scratch(spark, mark, keep=1)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

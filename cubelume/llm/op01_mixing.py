@@ -6,7 +6,7 @@ document is taken floor(rate) times plus once more if a hash of its id falls und
 Defined results: null text has size 0; null source is a source of its own, last in order; a source of
 size 0 gets target 0 and its documents are taken 0 times; repeated rows with one id share one draw;
 an empty table gives an empty plan; columns of the input that clash with ours are kept by emit() as
-they are, as ours get other names inside.
+they are, as ours get other names inside. Targets are set in one task over one row a source.
 """
 
 from __future__ import annotations
@@ -59,12 +59,12 @@ def with_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
     sized = docs.withColumn(names["size"], n_words(col(docs, "text")))
     per = sized.groupBy(col(sized, "source").alias("source")).agg(F.sum(names["size"]).cast("long").alias("source_size"))
     plan = written(source_targets(per, weights, max_repeats).coalesce(1), "mix-targets")
-    s, n, t = (f"{names['target']}_{x}" for x in "snt")
+    s, n, t = fresh(sized, *(f"{names['target']}_{x}" for x in "snt"))
     plan = plan.select(F.col("source").alias(s), F.col("source_size").alias(n), F.col("target").alias(t))
     side = F.broadcast(plan) if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else plan
     out = sized.join(side, col(sized, "source").eqNullSafe(F.col(s)), "left")
     rate = F.when(F.col(n) > 0, F.col(t) / F.col(n)).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(draw(F.col("`doc_id`"), seed) < rate - F.floor(rate), 1).otherwise(0)
+    copies = F.floor(rate) + F.when(draw(col(sized, "doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
     out = out.withColumns({names["source_size"]: F.col(n), names["target"]: F.col(t), names["copies"]: F.least(copies, F.lit(max_repeats)).cast("int")})
     return out.drop(s, n, t), names
 

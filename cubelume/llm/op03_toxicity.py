@@ -364,7 +364,7 @@ def toxicity(text: Column, model: Model, spark: SparkSession) -> Column:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = id_crc(F.col("doc_id")) % 4 == 2
+    held_out = F.coalesce(id_crc(F.col("doc_id")) % 4 == 2, F.lit(False))
     model = train(docs, labels.where(~held_out))
     out = docs.select("doc_id", held_out.alias("held_out"), toxicity(F.col("text"), model, spark).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

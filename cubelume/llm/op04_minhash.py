@@ -1,22 +1,25 @@
 """MinHash near-duplicates by DartMinHash.
 
-A document is its set of word shingles (five words; a shorter text is one shingle). Documents of equal sets are one class first.
-Darts: each element has a Poisson process of hashed darts over the region (its weight) x (rank), the same in every
-document. A document keeps the darts that fall under its elements' weights and under a rank of about k ln k + 2 k
+A document is its multiset of word shingles (five words; a shorter text is one shingle): a shingle's weight is the number of its
+occurrences. Documents of equal multisets are one class first.
+Darts: each shingle has a Poisson process of hashed darts over the region (its weight) x (rank), the same in every
+document. A document keeps the darts that fall under its shingles' weights and under a rank of about k ln k + 2 k
 darts in all, and of those the earliest for each of the k coordinates; if a coordinate has none, the rank is doubled. Two
-documents agree in a coordinate with a probability equal to their (weighted) Jaccard similarity. Weights are 1 here: sets.
+documents agree in a coordinate with a probability equal to their weighted Jaccard similarity, sum of the lesser over sum of the
+greater weights; for texts that repeat no shingle that is the similarity of sets.
 
-BANDS bands of ROWS coordinates are buckets. In each bucket everyone is compared with one document, chosen by a hash of it and
-the bucket (a star, no pairs within it): a group of near copies shares many buckets, so its members meet many centres. Then, only in
-buckets that still hold several components, documents of different components are compared, by a join on their rarest shingles that
-loses no link and passes over what many documents share. So no link between components is lost however large a bucket is. Before a
-star's sets are fetched the signatures must agree in
-LEAST_AGREED coordinates, four standard deviations below the threshold. Links have exact Jaccard >= 0.8.
+BANDS bands of ROWS coordinates are buckets, which are gone through in turns. First each bucket's lead (the first in an order that is
+the same in all buckets) is compared with the others: no pairs within a bucket. Links are contracted to components, and in the second turn,
+with other leads, only one document of each component that isn't the lead's is compared. Then documents
+of different components that are still in one bucket are compared by a join on their rarest shingles, which loses no link and passes
+over what many documents share. So no link between components is lost however large a bucket is. Before texts are fetched the signatures
+must agree in LEAST_AGREED coordinates, four standard deviations below the threshold. Links have exact similarity >= 0.8.
 
 A pair at the threshold misses all bands with probability (1 - 0.8^ROWS)^BANDS, 3e-6.
 
-Defined results: a text without words (null, empty) and a row without doc_id is a class of its own; a doc_id stands for one document;
-repeated rows are one document; very long texts are read whole; further columns are ignored.
+Defined results: a text without words (null, empty) and a row without doc_id is a class of its own; a document is a doc_id and its
+text, so that repeated rows are one document and texts under one doc_id are documents of their own (ties for the one that stays go by a hash of
+the text); very long texts are read whole; an empty table gives no rows; further columns are ignored, or kept by deduplicated().
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import col, drop_scratch, mix64, ready, scratch_mark, slices, table, trim, written
+from .common import col, drop_scratch, fresh, mix64, ready, scratch_mark, slices, table, trim, written
 from .components import connected_components
 from .words import shingles, word_hashes
 
@@ -41,6 +44,9 @@ LANES = 7
 LONGS = -(-K // LANES)
 #: Ids up to this many are broadcast (16 MB); beyond it Spark joins by shuffle.
 BROADCAST_IDS = 1_000_000
+TURNS = 2
+#: Documents that begin with one shingle are compared in blocks of about this many.
+BLOCK = 256
 _LOW7, _HIGH = 0x007F7F7F7F7F7F7F, 0x0080808080808080
 
 
@@ -92,12 +98,21 @@ def signatures(h: np.ndarray, weight: np.ndarray, counts: np.ndarray, k: int = K
     return dart.reshape(n, k)
 
 
-def distinct_shingles(texts: list, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each text, ascending, one text after the other, and their numbers."""
+def distinct_shingles(texts: list, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text, ascending, one text after the other; how often each occurs; and their numbers."""
     h, n = shingles(*word_hashes(texts), k)
     ends = np.cumsum(n)
-    sets = [np.unique(h[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
-    return np.concatenate(sets) if sets else h, np.array([len(s) for s in sets], np.int64)
+    sets = [np.unique(h[a:b], return_counts=True) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+    if not sets:
+        return h, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([s for s, _ in sets]), np.concatenate([c for _, c in sets]), np.array([len(s) for s, _ in sets], np.int64)
+
+
+def _occurrences(h: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """An element of its own for each occurrence of a shingle, so that the weighted similarity is that of sets of these."""
+    first = np.cumsum(times) - times
+    nth = np.arange(int(times.sum())) - np.repeat(first, times)
+    return mix64(np.repeat(h, times) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _packed(sig: np.ndarray) -> np.ndarray:
@@ -117,137 +132,184 @@ def agreed(a: Column, b: Column) -> Column:
     return total
 
 
+def _lists(rows: np.ndarray, at: np.ndarray, n: int) -> pa.Array:
+    """n lists: the rows at their places, null elsewhere."""
+    values = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
+    where = np.full(n, -1)
+    where[at] = np.arange(len(at))
+    return values.take(pa.array(where, mask=where < 0))
+
+
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n, k1, k2 (of the set), bands, sig: rows of docs that have words and an id."""
+    """doc_id, h (of the text), n, k1, k2 (of the shingles), bands, sig of every row; n is 0 where there are no words or no id."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_numpy()
+            texts = b.column("text").to_pylist()
             for lo, hi in slices(texts, 1_000_000):
-                h, n = distinct_shingles(texts[lo:hi], words)
+                h, times, n = distinct_shingles(texts[lo:hi], words)
                 has = np.flatnonzero(n)
-                if not len(has):
-                    continue
-                counts = n[has]
-                first = np.cumsum(counts) - counts
-                sig = signatures(h, np.ones(len(h)), counts)
-                k1 = np.add.reduceat(mix64(h + np.uint64(17)), first).astype(np.int64)
-                k2 = np.bitwise_xor.reduceat(mix64(h + np.uint64(91)), first).astype(np.int64)
-                band = np.zeros((len(has), BANDS), np.uint64)
-                for r in range(ROWS):
-                    band = mix64(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::ROWS])
-                band = mix64(band + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel())) for x in (band, _packed(sig))]
+                total, k1, k2 = np.zeros((3, hi - lo), np.int64)
+                band, sig = np.zeros((0, BANDS), np.int64), np.zeros((0, K), np.uint64)
+                if len(has):
+                    counts = n[has]
+                    first, w = np.cumsum(counts) - counts, times.astype(np.uint64)
+                    sig = signatures(h, times.astype(np.float64), counts)
+                    total[has] = np.add.reduceat(times, first)
+                    k1[has], k2[has] = (np.add.reduceat(mix64(h + np.uint64(x)) * w, first).astype(np.int64) for x in (17, 91))
+                    code = np.zeros((len(has), BANDS), np.uint64)
+                    for r in range(ROWS):
+                        code = mix64(code * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::ROWS])
+                    band = mix64(code + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
+                lists = [_lists(x, has, hi - lo) for x in (band, _packed(sig))]
                 trim()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][has]), pa.array(counts), pa.array(k1), pa.array(k2), *lists], ["doc_id", "n", "k1", "k2", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("h").slice(lo, hi - lo), *map(pa.array, (total, k1, k2)), *lists], ["doc_id", "h", "n", "k1", "k2", "bands", "sig"])
 
-    rows = docs.select(col(docs, "doc_id").cast("long").alias("doc_id"), col(docs, "text").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    doc_id, text = col(docs, "doc_id").cast("long"), col(docs, "text")
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("h"), F.when(doc_id.isNotNull(), text).alias("text"))
     ready(docs.sparkSession)
-    return rows.mapInArrow(made, "doc_id long, n long, k1 long, k2 long, bands array<long>, sig array<long>")
+    return rows.mapInArrow(made, "doc_id long, h long, n long, k1 long, k2 long, bands array<long>, sig array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc, elements of the documents whose ids (doc) are asked for."""
+def _elements_of(docs: DataFrame, reps: DataFrame, nodes: DataFrame, words: int, tag: str) -> DataFrame:
+    """node, elements (an element for each occurrence of a shingle) of the nodes, from the texts of their representatives."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, keys = b.column("text").to_pylist(), b.column("doc")
+            texts, keys = b.column("text").to_pylist(), b.column("node")
             for lo, hi in slices(texts, 1_000_000):
-                h, n = distinct_shingles(texts[lo:hi], words)
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.astype(np.int64)))], ["doc", "elements"])
-
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    rows = docs.select(col(docs, "doc_id").cast("long").alias("doc"), col(docs, "text").alias("text")).where("text IS NOT NULL")
-    rows = rows.join(F.broadcast(ids) if small else ids, "doc", "left_semi")
-    return rows.mapInArrow(made, "doc long, elements array<long>")
-
+                h, times, n = distinct_shingles(texts[lo:hi], words)
+                ends = np.concatenate([[0], np.cumsum(times)])[np.concatenate([[0], np.cumsum(n)])]
+                yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(_occurrences(h, times).astype(np.int64)))], ["node", "elements"])
 
-def _sets_of(docs: DataFrame, ids: DataFrame, words: int, tag: str) -> DataFrame:
-    return written(_sets(docs, written(ids.distinct(), f"{tag}-ids"), words).dropDuplicates(["doc"]), f"{tag}-sets")
+    wanted = written(reps.join(nodes.distinct(), "node").select("node", F.col("doc_id").alias("rep_id"), F.col("h").alias("rep_h")), f"{tag}-nodes")
+    small = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = docs.select(col(docs, "doc_id").cast("long").alias("rep_id"), F.xxhash64(col(docs, "text")).alias("rep_h"), col(docs, "text").alias("text"))
+    rows = rows.join(F.broadcast(wanted) if small else wanted, ["rep_id", "rep_h"]).select("node", "text").dropDuplicates(["node"])
+    return written(rows.mapInArrow(made, "node long, elements array<long>"), f"{tag}-sets")
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, similarity: float, tag: str) -> DataFrame:
-    """Of pairs (a, b) those of at least that Jaccard similarity."""
-    left, right = (sets.select(F.col("doc").alias(c), F.col("elements").alias(f"e{c}")) for c in "ab")
+    """Of pairs (a, b) those of at least that similarity."""
+    left, right = (sets.select(F.col("node").alias(c), F.col("elements").alias(f"e{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("ea", "eb"))
     return written(both.where(common >= similarity * (F.size("ea") + F.size("eb") - common) - 1e-9).select("a", "b"), f"{tag}-links")
 
 
-def _across(sets: DataFrame, part: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of documents of different components (part: doc, part) that may reach the similarity: all that do are there.
+def _star(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): in each bucket (code, node, part) one node of each part with the bucket's lead, if that is of another part. At first
+    the order by which leads are chosen is the same in all buckets, so that nodes which share many buckets meet few leads; later each
+    bucket has its own, so that a part meets many."""
+    order = F.xxhash64("node") if turn == 0 else F.xxhash64("node", "code")
+    ones = members if turn == 0 else members.groupBy("code", "part").agg(F.min_by("node", order).alias("node"))
+    lead = ones.groupBy("code").agg(F.min_by(F.struct(F.col("node").alias("lead"), F.col("part").alias("of")), order).alias("l")).select("code", "l.*")
+    return ones.join(lead, "code").where("part != of").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
-    Elements stand in one order, rarest first. Documents of n elements that reach t share at least t n, so they share one of
+
+def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs whose signatures agree in LEAST_AGREED coordinates."""
+    sides = [reps.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(agreed(F.col("sa"), F.col("sb")) >= LEAST_AGREED).select("a", "b")
+
+
+def _across(sets: DataFrame, part: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different components (part: node, part) that may reach the similarity: all that do are there.
+
+    Elements stand in one order, rarest first. Sets of n elements that reach t share at least t n, so they share one of
     their first n - ceil(t n) + 1; and from the first that they share on, each must have t / (1 + t) of both's elements left.
-    Elements of one document alone can't be shared: they only take places. Passages of many documents come last in the order."""
-    e = sets.select("doc", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    Elements of one set alone can't be shared: they only take places. Passages of many documents come last in the order. Nodes
+    of an element that many begin with are dealt in blocks: one side stands in its own block, the other one in all."""
+    e = sets.select("node", F.size("elements").alias("n"), F.explode("elements").alias("e"))
     common = e.groupBy("e").agg(F.count("*").alias("c")).where("c > 1")
-    w = Window.partitionBy("doc")
+    w = Window.partitionBy("node")
     shared = e.join(common, "e").withColumn("k", F.row_number().over(w.orderBy("c", "e"))).withColumn("s", F.count("*").over(w))
     first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.col("s"))
-    prefix = shared.where(F.col("k") <= first).select("doc", "e", "n", (F.col("s") - F.col("k") + 1).alias("left")).join(part, "doc")
+    prefix = shared.where(F.col("k") <= first).select("node", "e", "n", (F.col("s") - F.col("k") + 1).alias("left")).join(part, "node")
     prefix = written(prefix, "mh-prefix")
-    x, y = (prefix.select("e", *[F.col(v).alias(f"{v}_{c}") for v in ("doc", "n", "left", "part")]) for c in "ab")
+    open_ = prefix.groupBy("e").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+    prefix = prefix.join(open_.drop("lo", "hi"), "e").join(reps.select("node", "sig"), "node")
+    values = ("node", "n", "left", "part", "sig")
+    x = prefix.select("e", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), *[F.col(v).alias(f"{v}_a") for v in values])
+    y = prefix.select("e", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(v).alias(f"{v}_b") for v in values])
     enough = F.least("left_a", "left_b") >= (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-9
-    met = x.join(y, (x["e"] == y["e"]) & (F.col("part_a") < F.col("part_b")) & enough)
-    return met.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
+    met = x.join(y, (x["e"] == y["e"]) & (x["block"] == y["block"]) & (F.col("part_a") < F.col("part_b")) & enough & (agreed(F.col("sig_a"), F.col("sig_b")) >= LEAST_AGREED))
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id: every document (distinct non-null doc_id) that has words, and the least doc_id of its near-duplicates."""
-    least, spark = LEAST_AGREED, docs.sparkSession
+    """doc_id, h, class_id, kept, rows: every document (a distinct non-null doc_id and text, whose hash is h), the least doc_id of its
+    near-duplicates, whether it is the one that stays of them, and how many rows it has."""
+    spark = docs.sparkSession
     mark = scratch_mark(spark)
     made = written(sketches(docs, words), "mh-sketches")
-    reps = written(made.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "mh-reps")
-    banded = reps.select("rep", F.explode("bands").alias("code"))
-    shared = written(banded.groupBy("code").agg(F.count("*").alias("size")).where("size > 1").select("code"), "mh-codes")
-    inside = written(banded.join(shared, "code").select("code", "rep"), "mh-members")
-
-    sides = [reps.select(F.col("rep").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab"]
-
-    # first round: everyone against one document of the bucket, another one in each bucket that a group shares
-    lead = inside.groupBy("code").agg(F.min_by("rep", F.xxhash64("rep", "code")).alias("lead"))
-    star = inside.join(lead, "code").where("rep != lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-    star = written(star.join(sides[0], "a").join(sides[1], "b").where(agreed(F.col("sa"), F.col("sb")) >= least).select("a", "b"), "mh-star")
-    ids = star.select(F.col("a").alias("doc")).unionByName(star.select(F.col("b").alias("doc")))
-    links = _verified(_sets_of(docs, ids, words, "mh-star"), star, similarity, "mh-star")
-    parts = connected_components(links, "mh")
-
-    # second round: documents of buckets that still hold several components, against those of other components
-    label = inside.join(parts, inside["rep"] == parts["node"], "left").select("code", F.col("rep").alias("doc"), F.coalesce("component", "rep").alias("part"))
-    mixed = label.groupBy("code").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo < hi AND size > 2").select("code")
-    rest = written(label.join(mixed, "code").select("doc", "part").distinct(), "mh-rest")
-    sets = _sets_of(docs, rest.select("doc"), words, "mh-rest")
-    across = written(_across(sets, rest, similarity).join(star, ["a", "b"], "left_anti"), "mh-across")
-    if not across.isEmpty():
-        links = links.unionByName(_verified(sets, across, similarity, "mh-across"))
-        parts = connected_components(links, "mh")
-    of_rep = reps.join(parts, reps["rep"] == parts["node"], "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("class_id"))
-    out = made.select("doc_id", "k1", "k2", "n").join(of_rep, ["k1", "k2", "n"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    out = written(out, "mh-classes")
+    least = F.min(F.struct("doc_id", "h")).alias("rep")
+    reps = made.where("n > 0").groupBy("k1", "k2", "n").agg(least, F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    reps = written(reps.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "n", "rep.*", "bands", "sig"), "mh-reps")
+    banded = reps.select("node", F.explode("bands").alias("code"))
+    shared = banded.groupBy("code").agg(F.count("*").alias("size")).where("size > 1")
+    inside = written(banded.join(shared, "code").select("code", "node", "size"), "mh-members")
+
+    # buckets in turns: a member of each component against the bucket's lead, as long as a turn finds links
+    parts, members, sets, turn = None, inside.select("code", "node", F.col("node").alias("part")), None, 0
+    while turn < TURNS:
+        star = written(_alike(_star(members, turn), reps), "mh-star")
+        if turn == 0:
+            found = _verified(_elements_of(docs, reps, star.select(F.explode(F.array("a", "b")).alias("node")), words, "mh-star"), star, similarity, "mh-star")
+        else:
+            found = _verified(sets, star, similarity, "mh-star")
+        parts = connected_components(found if parts is None else found.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))), "mh")
+        # buckets of two are settled by their pair; of the others those with several components stay
+        label = (inside.where("size > 2") if turn == 0 else members).select("code", "node").join(parts, "node", "left").select("code", "node", F.coalesce("component", "node").alias("part"))
+        mixed = label.groupBy("code").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("code")
+        members = written(label.join(mixed, "code"), "mh-mixed")
+        if members.isEmpty():
+            break
+        if turn == 0:
+            sets = _elements_of(docs, reps, members.select("node"), words, "mh-rest")
+        turn += 1
+
+    # what is left: documents of different components that may still be near, by the rarest shingles they share
+    if not members.isEmpty():
+        across = written(_across(sets, members.select("node", "part").distinct(), reps, similarity), "mh-across")
+        found = _verified(sets, across, similarity, "mh-across")
+        if not found.isEmpty():
+            parts = connected_components(found.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))), "mh")
+
+    of_node = reps.select("node", F.struct("doc_id", "h").alias("rep")).join(parts, "node")
+    first = of_node.groupBy("component").agg(F.min("rep").alias("first"))
+    of_node = of_node.join(first, "component").select("node", "first")
+    of_set = reps.join(of_node, "node", "left").select("k1", "k2", "n", F.coalesce("first", F.struct("doc_id", "h")).alias("first"))
+    known = made.where("n > 0").select("doc_id", "h", "n", "k1", "k2").join(of_set, ["k1", "k2", "n"]).select("doc_id", "h", "first")
+    alone = made.where("n = 0 AND doc_id IS NOT NULL").select("doc_id", "h", F.struct("doc_id", "h").alias("first"))
+    out = known.unionByName(alone).groupBy("doc_id", "h").agg(F.min("first").alias("first"), F.count("*").alias("rows"))
+    out = written(out.select("doc_id", "h", F.col("first.doc_id").alias("class_id"), (F.col("first") == F.struct("doc_id", "h")).alias("kept"), "rows"), "mh-classes")
     drop_scratch(spark, mark, keep=1)
     return out
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, kept: one row of each distinct doc_id, and one of each row without."""
-    found = classes(docs, words, similarity)
-    ids = docs.select(col(docs, "doc_id").cast("long").alias("doc_id"))
-    known = ids.where("doc_id IS NOT NULL").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    out = known.unionByName(ids.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    """doc_id, class_id, kept: one row of each document (distinct doc_id and text), and one of each row without doc_id."""
+    found = classes(docs, words, similarity).select("doc_id", "class_id", "kept")
+    doc_id = col(docs, "doc_id").cast("long")
+    return found.unionByName(docs.where(doc_id.isNull()).select(doc_id.alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept")))
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Rows of docs that stay: one document of each class, one row of each doc_id, and all rows without doc_id."""
-    gone = near_duplicates(docs, words, similarity).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    gone = written(gone, "mh-gone")
+    """Rows of docs that stay: one document of each class, one row of each document (of repeated ones that differ in other columns the
+    first in order of a hash of all), and all rows without doc_id."""
+    found = classes(docs, words, similarity)
+    gone_id, gone_h = fresh(docs, "gone_id", "gone_h")
+    gone = written(found.where("NOT kept").select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h)), "mh-gone")
     side = F.broadcast(gone) if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else gone
-    out = docs.join(side, col(docs, "doc_id") == F.col("__gone"), "left_anti")
-    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+    doc_id, h = col(docs, "doc_id").cast("long"), F.xxhash64(col(docs, "text"))
+    out = docs.join(side, (doc_id == F.col(gone_id)) & (h == F.col(gone_h)), "left_anti")
+    if found.where("rows > 1").isEmpty():
         return out
-    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
+    doc_id, h = col(out, "doc_id").cast("long"), F.xxhash64(col(out, "text"))
+    hashed = F.xxhash64(*[col(out, c) for c, kind in docs.dtypes if "map<" not in kind])
+    once = out.where(doc_id.isNotNull()).groupBy(doc_id, h).agg(F.min_by(F.struct(*[col(out, c) for c in docs.columns]), hashed).alias("row")).select("row.*")
+    return once.unionByName(out.where(doc_id.isNull()))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

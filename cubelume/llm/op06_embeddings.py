@@ -10,7 +10,8 @@ their own, so that no task holds more than 2 BLOCK vectors and no link is lost.
 Recall for pairs at the threshold is estimated in tests against brute force; see README.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do vectors of
-different lengths; repeated rows are copies that link; a vec_id stands for one vector; further columns are ignored.
+different lengths; repeated rows are copies that link; a vec_id stands for one vector; a vector without
+vec_id has a null component and is kept; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -234,7 +235,7 @@ def links(vectors: DataFrame, least: float = COSINE) -> DataFrame:
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links(table(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return links(table(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 SQL: dict[str, str] = {}
