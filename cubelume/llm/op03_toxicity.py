@@ -4,15 +4,17 @@ Channel: a writer hides a word by signs that look like letters, by blanks or sig
 to PIECE letters, and by letters repeated. A suspicious stretch is turned into a lattice of what each place may stand for, and Viterbi's algorithm finds the
 reading of least cost under a character trigram model, which is counted over all documents. Words of letters alone, none
 of them doubled and without a sign at either end that may be a letter, are their own only reading, so they skip the search. The restored words (and the stretch's own) are then scored: a word's weight is the lower bound of
-the log odds that it, or its first 4, 5 or 6 letters, occur in toxic rather than in other training texts; a document's
+the log odds (less some standard errors) that it, or its first 4, 5 or 6 letters, occur in toxic rather than in other training texts; a document's
 score is a logistic function of its largest weight and of its number of weighted words, fitted with every training text's
-own counts left out.
+own counts left out. How many standard errors: the most of ERRORS whose loss over the training texts, scored in that way, is within one
+standard error of the least.
 
 Training reads a bounded sample: the first FIT_TOXIC toxic and FIT_CLEAN other texts in order of a hash of the id.
 
 Defined results: a text without words (null, empty) has the score of no evidence; without training rows
-every score is 0; a label that is null is no label; an id labelled twice counts once per row; very long texts are read whole;
-repeated rows score alike; further columns are ignored.
+every score is 0; a label that is null is no label; an id labelled twice counts once per row; a row without doc_id isn't held out and has
+no label; a score equal to the threshold is predicted 1; very long texts are read whole; repeated rows score alike; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, first_by_hash, id_crc, ready, table, written
+from .common import col, first_by_hash, id_crc, ready, slices, table, written
 
 FIT_TOXIC, FIT_CLEAN = 2500, 5000
-#: Weights below this aren't kept; at most LEXICON of them, the largest first.
-LEAST, LEXICON = 1.0, 50_000
+#: Weights below this aren't kept.
+LEAST = 1.0
+#: Standard errors that may be taken off a weight; training texts choose among them.
+ERRORS = (1.5, 2.0, 2.5, 3.0)
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 REMEMBERED = 400_000
@@ -51,6 +55,9 @@ _PART = re.compile(r"(?:[^\W_]|[@$!|+(€])+")
 _KEPT = 16
 _DOUBLED = re.compile(r"([^\W\d_])\1")
 _HIDDEN = re.compile(r"[^\W\d_]")
+_RUN_OF_ONE = re.compile(r"(.)\1+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_SIGN = re.compile("[" + re.escape("".join(LEET)) + "]")
 SYMBOLS = 64
 _symbols: list[np.ndarray] = []
 
@@ -64,11 +71,13 @@ def _symbol_table() -> np.ndarray:
     return _symbols[0]
 
 
-def trigrams(text: str) -> np.ndarray:
-    """a * 64² + b * 64 + c of each place; what stands before a word is one sign."""
-    s = _symbol_table()[np.frombuffer(f"  {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
-    a, b, c = s[:-2], s[1:-1], s[2:]
-    return np.where(b == 0, 0, a) * SYMBOLS**2 + b * SYMBOLS + c
+def trigrams(text: str, piece: int = 1 << 20) -> Iterator[np.ndarray]:
+    """a * 64² + b * 64 + c of each place, piece by piece; what stands before a word is one sign."""
+    text = f"  {text.lower()} "
+    for i in range(0, len(text) - 2, piece):
+        s = _symbol_table()[np.frombuffer(text[i : i + piece + 2].encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        a, b, c = s[:-2], s[1:-1], s[2:]
+        yield np.where(b == 0, 0, a) * SYMBOLS**2 + b * SYMBOLS + c
 
 
 def count_trigrams(docs: DataFrame) -> np.ndarray:
@@ -77,10 +86,10 @@ def count_trigrams(docs: DataFrame) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
         for b in batches:
-            for t in b.column("text"):
-                text = t.as_py() or ""
-                for i in range(0, len(text), 1 << 20):
-                    total += np.bincount(trigrams(text[i : i + (1 << 20)]), minlength=SYMBOLS**3)
+            texts = b.column("text").to_pylist()
+            for lo, hi in slices(texts):
+                for numbers in trigrams("   ".join([t or "" for t in texts[lo:hi]])):
+                    total += np.bincount(numbers, minlength=SYMBOLS**3)
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
 
@@ -118,10 +127,11 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
 
 
 def best_reading(stretch: str, costs: list[float]) -> str:
-    """The reading of least cost; ties go to the first in order of the readings. costs: the language model, row by row."""
-    live: dict[int, tuple[float, str]] = {0: (0.0, "")}
+    """The reading of least cost; of equal ones the first in order of the lattice's choices. costs: the language model, row by row.
+    States hold a link to what was said before, so that time and memory grow as the stretch does."""
+    live: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     for choices in [*lattice(stretch), [(" ", 0.0)]]:
-        after: dict[int, tuple[float, str]] = {}
+        after: dict[int, tuple[float, tuple | None]] = {}
         for what, channel in choices:
             symbols = [_symbol(c) for c in what]
             for state, (cost, said) in live.items():
@@ -135,10 +145,14 @@ def best_reading(stretch: str, costs: list[float]) -> str:
                             total += costs[state << 6]
                         state = 0
                 best = after.get(state)
-                if best is None or total < best[0] or (total == best[0] and said + what < best[1]):
-                    after[state] = (total, said + what)
+                if best is None or total < best[0]:
+                    after[state] = (total, (said, what) if what else said)
         live = after
-    return min(live.values())[1]
+    (_, link), out = live[0], []
+    while link is not None:
+        link, what = link
+        out.append(what)
+    return "".join(reversed(out))
 
 
 @cache
@@ -182,35 +196,44 @@ class Restorer:
 
     def pieces(self, run: str) -> set[str]:
         """Words of a stretch of short pieces besides its plain pieces, which are words of tokens anyhow: as a whole, of the single
-        letters in it, and of every two and three pieces, as the best reading of the whole may join a word with its neighbours.
-        Where pieces have two letters or more and only one reading, these fix the model's state on either side of a gap, so that
-        gaps are decided one by one."""
+        letters in it, and of every two and three pieces, as the best reading of the whole may join a word with its neighbours."""
         spans = [m.span() for m in _PART.finditer(run)]
         said = [run[a:b] for a, b in spans]
         plain = [len(p) > 1 and self._settled(p) for p in said]
-        joins: list[bool | None] = []
-        for i in range(len(said) - 1):
-            a, b = spans[i][1], spans[i + 1][0]
-            joins.append(self._joins(said[i][-2:], b - a, said[i + 1][:2]) if plain[i] and plain[i + 1] and "*" not in run[a:b] else None)
+        if all(plain) and "*" not in run:
+            for i in range(len(said) - 1):
+                a, b = spans[i][1], spans[i + 1][0]
+                if self._joins(run[a - 2 : a], b - a, run[b : b + 2]):
+                    break
+            else:  # each gap stays one
+                return set()
         out: set[str] = set()
         for n in {2, 3, len(said)}:
             for i in range(len(said) - n + 1):
-                gaps = joins[i : i + n - 1]
-                if None in gaps:
-                    out.update(self._reading(run[spans[i][0] : spans[i + n - 1][1]]))
-                elif True in gaps:
-                    words = said[i : i + 1]
-                    for k, together in enumerate(gaps, i + 1):
-                        if together:
-                            words[-1] += said[k]
-                        else:
-                            words.append(said[k])
-                    out.update(words)
-        if None in joins:
+                out.update(self._words_of(run, spans, said, plain, i, i + n - 1))
+        if not all(plain):
             for m in _SPACED.finditer(run):
                 out.update(self._reading(m[0]))
         return out.difference(p for p, alone in zip(said, plain, strict=True) if alone)
 
+    def _words_of(self, run: str, spans: list, said: list[str], plain: list[bool], i: int, j: int) -> list[str]:
+        """The best reading of pieces i to j. A plain piece (two letters or more with only one reading) fixes the model's state, so what
+        lies between two of them is read on its own, and the readings are put together at the pieces that they share."""
+        points = [i, *(k for k in range(i + 1, j) if plain[k]), j]
+        words: list[str] = []
+        for p, q in zip(points, points[1:], strict=False):
+            a, b = spans[p][1], spans[p + 1][0]
+            if q == p + 1 and plain[p] and plain[q] and "*" not in run[a:b]:
+                got = [said[p] + said[q]] if self._joins(run[a - 2 : a], b - a, run[b : b + 2]) else [said[p], said[q]]
+            else:
+                got = self._reading(run[spans[p][0] : spans[q][1]])
+            if words and plain[p]:
+                words[-1] += got[0][len(said[p]) :]
+                words += got[1:]
+            else:
+                words += got
+        return words
+
     def _reading(self, stretch: str) -> list[str]:
         if (got := self.stretches.get(stretch)) is None:
             got = best_reading(stretch, self.costs).split()
@@ -250,25 +273,90 @@ def keys(word: str) -> list[str]:
     return [word, *(f"{n}:{word[:n]}" for n in PREFIXES if len(word) >= n)]
 
 
-def _weight(t: Column, c: Column, n_t: Column, n_c: Column) -> Column:
-    """Log odds of occurring in toxic texts, less 2.5 standard errors."""
-    return F.log((t + 0.5) / (n_t + 1)) - F.log((c + 0.5) / (n_c + 1)) - 2.5 * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+def _weight(t: Column, c: Column, n_t: Column, n_c: Column, errors: float) -> Column:
+    """Log odds of occurring in toxic texts, less some standard errors."""
+    return F.log((t + 0.5) / (n_t + 1)) - F.log((c + 0.5) / (n_c + 1)) - errors * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+
+
+def once(letters: str) -> str:
+    """Letters without repetition: all readings of letters that may be doubled have the same."""
+    return _RUN_OF_ONE.sub(r"\1", letters) if _DOUBLED.search(letters) else letters
 
 
 @dataclass
 class Model:
+    """Lexicon and logistic function. What has no reading with a weighted word is told beforehand (may) and isn't searched."""
+
     lm: np.ndarray
     lexicon: dict[str, float]
     beta: tuple[float, float, float] | None
-    _weights: dict[str, float] = field(default_factory=dict)
-    _runs: dict[str, tuple] = field(default_factory=dict)
-    _restorer: Restorer | None = None
+    errors: float = 0.0
 
-    def word_weight(self, word: str) -> float:
-        return max(self.lexicon.get(k, 0.0) for k in keys(word))
+    def __post_init__(self):
+        self._whole: dict[str, float] = {}
+        self._starts: dict[int, dict[str, float]] = {n: {} for n in PREFIXES}
+        begins: dict[int, set[str]] = {n: set() for n in range(1, 7)}
+        self._short: set[str] = set()
+        for k, w in self.lexicon.items():
+            n, _, start = k.partition(":")
+            word = start or n
+            if start:
+                self._starts[int(n)][start] = w
+            else:
+                self._whole[k] = w
+            bare = once(word)
+            if start or len(bare) >= 6:
+                begins[len(bare[:6])].add(bare[:6])
+            else:
+                self._short.add(bare)
+        self._begins = [(n, some) for n, some in begins.items() if some]
+        # tokens and runs of short pieces already searched, and the weighted words of those that have any
+        self._tokens: set[str] = set()
+        self._runs: set[str] = set()
+        self._of_token: dict[str, tuple] = {}
+        self._of_run: dict[str, tuple] = {}
+        self._restorer: Restorer | None = None
 
-    def token_weights(self, words) -> list[tuple[str, float]]:
-        return [(w, x) for w in words if (x := self.word_weight(w)) > 0]
+    def word_weight(self, word: str) -> float:
+        p = self._starts
+        return max(self._whole.get(word, 0.0), p[4].get(word[:4], 0.0), p[5].get(word[:5], 0.0), p[6].get(word[:6], 0.0))
+
+    def token_weights(self, words) -> tuple[tuple[str, float], ...]:
+        return tuple((w, x) for w in words if (x := self.word_weight(w)) > 0)
+
+    def may(self, stretch: str) -> bool:
+        """Whether any reading may have a weighted word: always if signs stand for letters; else words are what follows from one letter
+        group on, with the next ones joined or not, so that their beginnings (without repetitions) are compared."""
+        if _SIGN.search(stretch):
+            return True
+        groups = _LETTERS.findall(stretch)
+        return any(self._may_begin(groups, i) for i in range(len(groups)))
+
+    def may_join(self, run: str, r: Restorer) -> bool:
+        """The same for pieces() of a run: plain pieces that don't join with the next one are no words of it."""
+        if _SIGN.search(run):
+            return True
+        spans = [m.span() for m in _LETTERS.finditer(run)]
+        groups = [run[a:b] for a, b in spans]
+        plain = [len(p) > 1 and not _DOUBLED.search(p) for p in groups]
+        for i, one in enumerate(plain):
+            if one:
+                if i + 1 == len(groups):
+                    break
+                a, b = spans[i][1], spans[i + 1][0]
+                if plain[i + 1] and not r._joins(run[a - 2 : a], b - a, run[b : b + 2]):
+                    continue
+            if self._may_begin(groups, i):
+                return True
+        return False
+
+    def _may_begin(self, groups: list[str], i: int) -> bool:
+        said, j = once(groups[i]), i + 1
+        while j < len(groups) and len(said) < 6:
+            if said in self._short:
+                return True
+            said, j = once(said + groups[j]), j + 1
+        return said in self._short or any(said[:n] in some for n, some in self._begins)
 
     def score(self, text: str | None) -> float:
         if self.beta is None:
@@ -276,28 +364,26 @@ class Model:
         r = self._restorer = self._restorer or Restorer(self.lm)
         text = (text or "").lower()
         hits: dict[str, float] = {}
-        weights = self._weights
-        for t in set(text.split()):
-            w = weights.get(t)
-            if w is None:
-                if len(weights) >= REMEMBERED:
-                    weights.clear()
-                    r.known.clear()
-                    r.gaps.clear()
-                got = r.known[t] = tuple(self.token_weights(r.token(t)))
-                w = weights[t] = float(len(got))
-            if w:
-                hits.update(r.known[t])
-        runs = self._runs
-        for run in {m[0] for m in _PIECES.finditer(text)}:
-            found = runs.get(run)
-            if found is None:
-                found = tuple(self.token_weights(r.pieces(run)))
-                if len(run) <= _KEPT:
-                    if len(runs) >= REMEMBERED:
-                        runs.clear()
-                    runs[run] = found
-            hits.update(found)
+        tokens, known, found = set(text.split()), self._tokens, self._of_token
+        for t in tokens.difference(known):
+            if got := self.token_weights(r.token(t)) if self.may(t) else ():
+                found[t] = got
+            known.add(t)
+        for t in found.keys() & tokens:
+            hits.update(found[t])
+        runs, seen, found = {m[0] for m in _PIECES.finditer(text)}, self._runs, self._of_run
+        for run in runs.difference(seen):
+            got = self.token_weights(r.pieces(run)) if self.may_join(run, r) else ()
+            hits.update(got)
+            if len(run) <= _KEPT:
+                if got:
+                    found[run] = got
+                seen.add(run)
+        for run in found.keys() & runs:
+            hits.update(found[run])
+        if len(known) + len(seen) > 2 * REMEMBERED:
+            for x in (known, seen, self._of_token, self._of_run, r.gaps):
+                x.clear()
         top = max(hits.values(), default=0.0)
         b = self.beta
         return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, b[0] + b[1] * top + b[2] * math.log1p(len(hits))))))
@@ -339,16 +425,31 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = FIT_TOXIC, most_
     prefixes = [F.when(F.length("word") >= k, F.concat(F.lit(f"{k}:"), F.substring("word", 1, k))) for k in PREFIXES]
     said = rows.select("row", "toxic", F.explode("words").alias("word")).select("row", "toxic", "word", F.explode(F.array(F.col("word"), *prefixes)).alias("key")).where("key IS NOT NULL")
     counts = said.select("row", "toxic", "key").distinct().groupBy("key").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where("t >= 2")
-    counts = counts.withColumn("weight", _weight(F.col("t"), F.col("c"), F.lit(n.t), F.lit(n.c))).where(F.col("weight") > LEAST).orderBy(F.desc("weight"), "key").limit(LEXICON)
-    counts = written(counts, "toxic-lexicon")
-    lexicon = {r.key: r.weight for r in counts.collect()}
-    own = _weight(F.col("t") - F.col("toxic"), F.col("c") - 1 + F.col("toxic"), F.lit(n.t) - F.col("toxic"), F.lit(n.c) - 1 + F.col("toxic"))
-    per_word = said.join(F.broadcast(counts), "key").withColumn("own", own).where(F.col("own") > LEAST).groupBy("row", "word").agg(F.max("own").alias("own"))
-    evidence = per_word.groupBy("row").agg(F.max("own").alias("top"), F.count("*").alias("n"))
-    fit = rows.select("row", "toxic").join(evidence, "row", "left").select("toxic", F.coalesce("top", F.lit(0.0)), F.coalesce("n", F.lit(0))).orderBy("row").collect()
-    a = np.array(fit, float)
-    beta = logistic(np.column_stack([np.ones(len(a)), a[:, 1], np.log1p(a[:, 2])]), a[:, 0])
-    return Model(lm, lexicon, tuple(beta.tolist()))
+    # a word's weights for a training text leave out that text's own counts: words that have one only then are needed for that, too
+    most = _weight(F.col("t"), F.greatest(F.col("c") - 1, F.lit(0)), F.lit(n.t), F.lit(n.c), ERRORS[0])
+    counts = written(counts.where(most > LEAST), "toxic-lexicon")
+    own = [_weight(F.col("t") - F.col("toxic"), F.col("c") - 1 + F.col("toxic"), F.lit(n.t) - F.col("toxic"), F.lit(n.c) - 1 + F.col("toxic"), e) for e in ERRORS]
+    names = [f"own{i}" for i in range(len(ERRORS))]
+    per_word = said.join(F.broadcast(counts), "key").withColumns(dict(zip(names, own, strict=True))).groupBy("row", "word").agg(*[F.max(x).alias(x) for x in names])
+    evidence = per_word.groupBy("row").agg(*[F.max(F.when(F.col(x) > LEAST, F.col(x))).alias(f"top{i}") for i, x in enumerate(names)], *[F.count_if(F.col(x) > LEAST).alias(f"n{i}") for i, x in enumerate(names)])
+    seen = [F.coalesce(f"{x}{i}", F.lit(0.0)) for i in range(len(ERRORS)) for x in ("top", "n")]
+    a = np.array(rows.select("row", "toxic").join(evidence, "row", "left").orderBy("row").select("toxic", *seen).collect(), float)
+    fits = [_fitted(a[:, 0], a[:, 1 + 2 * i], a[:, 2 + 2 * i]) for i in range(len(ERRORS))]
+    least = min(fits, key=lambda f: f[0])
+    best = max(i for i, f in enumerate(fits) if f[0] <= least[0] + least[1])
+    weight = _weight(F.col("t"), F.col("c"), F.lit(n.t), F.lit(n.c), ERRORS[best])
+    lexicon = {r.key: r.weight for r in counts.withColumn("weight", weight).where(F.col("weight") > LEAST).orderBy("key").collect()}
+    return Model(lm, lexicon, fits[best][2], ERRORS[best])
+
+
+def _fitted(y: np.ndarray, top: np.ndarray, n: np.ndarray) -> tuple[float, float, tuple[float, ...]]:
+    """Mean loss of the training texts (both labels at even weight), its standard error, and the logistic function."""
+    x = np.column_stack([np.ones(len(y)), top, np.log1p(n)])
+    beta = logistic(x, y)
+    p = 1 / (1 + np.exp(-np.clip(x @ beta, -50, 50)))
+    loss = -np.log(np.clip(np.where(y == 1, p, 1 - p), 1e-9, 1))
+    parts = [loss[y == k] for k in (0, 1)]
+    return float(sum(x.mean() for x in parts)), float(sum(x.var() / len(x) for x in parts) ** 0.5), tuple(beta.tolist())
 
 
 def toxicity(text: Column, model: Model, spark: SparkSession) -> Column:

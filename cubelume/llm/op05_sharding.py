@@ -4,17 +4,18 @@ Rows of one text are an indivisible group. Groups, in order of size, enter the b
 tightest that still holds them; bins stand in a balanced search tree by remaining capacity. pack() minimises the
 number of bins of a given capacity; shard() seeks the smallest capacity at which a given number of bins suffices.
 
-What the driver packs is bounded by `max_items`, whatever the number of documents: groups of at least
-`grain` = all bytes / max_items are items of their own (at most max_items of them), smaller ones are first put by
-hash into bundles of about that size (again at most max_items). Slots are numbered in blocks of a hash of the id.
+Groups of one size are interchangeable, so the driver packs runs: each distinct size with the number of groups that have it. That is
+exactly what packing the groups one by one gives, and what the driver holds is bounded by the distinct sizes, not by the documents. Spark then
+numbers the groups of a size, in blocks of a hash, and deals them to the bins by number. Slots are numbered in blocks of a hash of the id.
 
-Defined results: null text is the empty text; size = UTF-8 bytes + 8; repeated rows are rows of their own; a group larger than
+Defined results: null text is the empty text; size = UTF-8 bytes + 8; repeated rows are rows of their own (of one group, as all of one text); a group larger than
 the capacity is alone in a bin of its own; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,8 +23,11 @@ from pyspark.sql import functions as F
 from .common import col, table, written
 
 SHARDS = 24
-MAX_ITEMS = 12_000
+#: The capacity is sought to one part in this.
+GRAIN = 65_536
 ROWS_A_BLOCK = 20_000
+#: Distinct sizes up to this many are broadcast with their bins (some 50 B each); beyond it Spark joins by shuffle.
+BROADCAST_SIZES = 200_000
 
 
 class Bins:
@@ -71,32 +75,39 @@ class Bins:
         return t[0]
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
-    """The bin of each item; sizes must be in descending order. None if more than `most` bins would be needed."""
+def best_fit_decreasing(runs: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[list[tuple[int, int]]] | None:
+    """runs: (size, how many groups have it), sizes in descending order -> for each run (bin, how many go there), in order. None if more than
+    `most` bins would be needed. After a group is put into the tightest bin that holds it, that bin is the tightest one for the
+    next group of that size as long as it holds it, so that a run goes bin by bin, as its groups one by one would."""
     bins, used, out = Bins(), 0, []
-    for size in sizes:
-        hit = bins.take(size)
-        if hit is None:
-            if most is not None and used == most:
-                return None
-            hit, used = (max(capacity, size), used), used + 1
-        out.append(hit[1])
-        bins.add((hit[0] - size, hit[1]))
+    for size, left in runs:
+        placed = []
+        while left:
+            hit = bins.take(size)
+            if hit is None:
+                if most is not None and used == most:
+                    return None
+                hit, used = (max(capacity, size), used), used + 1
+            n = min(left, hit[0] // size)
+            placed.append((hit[1], n))
+            bins.add((hit[0] - n * size, hit[1]))
+            left -= n
+        out.append(placed)
     return out
 
 
-def into(sizes: list[int], n: int) -> list[int]:
-    """Bins 0 to n - 1 at the least capacity, to one part in 4096, at which n suffice."""
-    low = max(math.ceil(sum(sizes) / n), sizes[0] if sizes else 0, 1)
-    if (best := best_fit_decreasing(sizes, low, n)) is not None:
+def into(runs: list[tuple[int, int]], n: int) -> list[list[tuple[int, int]]]:
+    """Bins 0 to n - 1 at the least capacity, to one part in GRAIN, at which n suffice."""
+    low = max(-(-sum(size * k for size, k in runs) // n), runs[0][0] if runs else 0, 1)
+    if (best := best_fit_decreasing(runs, low, n)) is not None:
         return best
-    step = max(1, low // 4096)
+    step = max(1, low // GRAIN)
     a, b = 0, 1
-    while (best := best_fit_decreasing(sizes, low + b * step, n)) is None:
+    while (best := best_fit_decreasing(runs, low + b * step, n)) is None:
         a, b = b, b * 2
     while b - a > 1:
         m = (a + b) // 2
-        if (got := best_fit_decreasing(sizes, low + m * step, n)) is None:
+        if (got := best_fit_decreasing(runs, low + m * step, n)) is None:
             a = m
         else:
             b, best = m, got
@@ -108,23 +119,23 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(col(docs, "doc_id").alias("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"))
 
 
-def assign(rows: DataFrame, pack, max_items: int = MAX_ITEMS) -> DataFrame:
-    """rows (h, text_crc32, size, ...) with shard: pack(sizes in descending order) gives the bins of the items."""
+def assign(rows: DataFrame, pack) -> DataFrame:
+    """rows (h, text_crc32, size, ...) with shard: pack(runs in descending order of size) gives the bins of the runs."""
     spark = rows.sparkSession
     groups = written(rows.groupBy("h", "text_crc32", "size").agg((F.count("*") * F.first("size")).alias("bytes")), "shard-groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    grain = max(1, math.ceil(total / max_items))
-    bundle = F.pmod(F.col("h"), F.lit(max_items))
-    big = F.col("bytes") >= grain
-    # at most max_items large groups, as each has grain bytes at least, and at most max_items bundles
-    items = [(r.h, r.text_crc32, r.size, None, r.bytes) for r in groups.where(big).select("h", "text_crc32", "size", "bytes").collect()]
-    items += [(None, None, None, r.bundle, r.bytes) for r in groups.where(~big).groupBy(bundle.alias("bundle")).agg(F.sum("bytes").alias("bytes")).collect()]
-    items.sort(key=lambda x: (-x[4], x[3] is None, x[3] or 0, x[0] or 0, x[1] or 0, x[2] or 0))
-    bins = pack([x[4] for x in items])
-    large = spark.createDataFrame([(*x[:3], b) for x, b in zip(items, bins, strict=True) if x[3] is None], "h long, text_crc32 long, size long, own int")
-    small = spark.createDataFrame([(x[3], b) for x, b in zip(items, bins, strict=True) if x[3] is not None], "bundle long, bundled int")
-    out = rows.join(F.broadcast(large), ["h", "text_crc32", "size"], "left").withColumn("bundle", bundle)
-    return out.join(F.broadcast(small), "bundle", "left").withColumn("shard", F.coalesce("own", "bundled"))
+    runs = [(r.bytes, r.n) for r in groups.groupBy("bytes").agg(F.count("*").alias("n")).orderBy(F.desc("bytes")).toLocalIterator()]
+    placed = [(size, [k for k, _ in p], list(accumulate(n for _, n in p)), max(1, math.ceil(n / ROWS_A_BLOCK))) for (size, n), p in zip(runs, pack(runs), strict=True)]
+    bins = written(spark.createDataFrame(placed, "bytes long, bins array<int>, upto array<long>, blocks long"), "shard-bins")
+    side = F.broadcast(bins) if len(runs) <= BROADCAST_SIZES else bins
+    # groups of one size are numbered in blocks by hash, and a bin takes a range of the numbers
+    dealt = groups.join(side, "bytes").withColumn("block", F.pmod("h", "blocks"))
+    at = Window.partitionBy("bytes").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    first = dealt.groupBy("bytes", "block").count().where("bytes IS NOT NULL").withColumn("first", F.coalesce(F.sum("count").over(at), F.lit(0))).drop("count")
+    nth = F.row_number().over(Window.partitionBy("bytes", "block").orderBy("h", "text_crc32", "size")) - 1
+    dealt = dealt.withColumn("nth", nth).join(first, ["bytes", "block"])
+    behind = F.size(F.filter("upto", lambda x: x <= F.col("first") + F.col("nth")))
+    homes = dealt.select("h", "text_crc32", "size", F.get("bins", behind).alias("shard"))
+    return rows.join(homes, ["h", "text_crc32", "size"])
 
 
 def with_slots(rows: DataFrame, n_rows: int, n_shards: int) -> DataFrame:
@@ -137,17 +148,17 @@ def with_slots(rows: DataFrame, n_rows: int, n_shards: int) -> DataFrame:
     return rows.withColumn("in_block", F.row_number().over(order) - 1).join(first, ["shard", "block"]).withColumn("slot", (F.col("first") + F.col("in_block")).cast("long"))
 
 
-def shard(docs: DataFrame, n_shards: int = SHARDS, max_items: int = MAX_ITEMS) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot: n_shards shards of sizes as near equal as whole groups allow."""
     rows = written(sized(docs), "shard-rows")
-    placed = written(assign(rows, lambda sizes: into(sizes, n_shards), max_items).select("doc_id", "size", "text_crc32", "h", "shard"), "shard-placed")
+    placed = written(assign(rows, lambda runs: into(runs, n_shards)).select("doc_id", "size", "text_crc32", "h", "shard"), "shard-placed")
     return with_slots(placed, rows.count(), n_shards).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
-def pack(docs: DataFrame, capacity: int, max_items: int = MAX_ITEMS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int) -> DataFrame:
     """doc_id, size, text_crc32, shard: as few shards of `capacity` bytes as best fit decreasing finds."""
     rows = written(sized(docs), "shard-rows")
-    return assign(rows, lambda sizes: best_fit_decreasing(sizes, capacity), max_items).select("doc_id", "size", "text_crc32", "shard")
+    return assign(rows, lambda runs: best_fit_decreasing(runs, capacity)).select("doc_id", "size", "text_crc32", "shard")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

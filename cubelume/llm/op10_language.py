@@ -140,9 +140,14 @@ def _targets(langs: list[str], languages: list[str]) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """rows: language and n-grams of each training text, in the order in which landmarks are drawn. The whole fit in one place, as train()
-    does it over Spark."""
-    rows = [r for r in rows if len(r[1])]
+    """rows: language and n-grams of each training text. The whole fit in one place, as train() does it over Spark."""
+    turn: dict[str, int] = {}
+    turns = []
+    for lang, g in rows:
+        if len(g):
+            turns.append((turn.setdefault(lang, 0), lang, g))
+            turn[lang] += 1
+    rows = [(lang, g) for _, lang, g in sorted(turns, key=lambda r: r[:2])]
     languages = sorted({lang for lang, _ in rows})
     if not languages:
         return Model([], np.zeros((WIDTH, 0)))

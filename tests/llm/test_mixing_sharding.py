@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from cubelume.llm import op01_mixing as O1
 from cubelume.llm import op05_sharding as O5
@@ -47,6 +48,20 @@ def test_mix_of_odd_rows(odd, empty):
     assert O1.emit(empty).count() == 0
 
 
+def test_emit_keeps_clashing_columns(spark, odd):
+    for c in ("mix_target_s", "mix_target_n", "MIX_COPY", "mix_copies"):
+        odd = odd.withColumn(c, F.lit("y"))
+    out = O1.emit(odd)
+    assert out.columns == odd.columns and {r["mix_target_s"] for r in out.collect()} == {"y"}
+
+
+def test_emit_by_a_shuffle_join(spark, monkeypatch):
+    docs = spark.range(600).selectExpr("id AS doc_id", "repeat('w ', 10 + id % 7) AS text", "concat('s', id % 40) AS source")
+    want = sorted(r.doc_id for r in O1.emit(docs).collect())
+    monkeypatch.setattr(O1, "BROADCAST_SOURCES", 3)
+    assert sorted(r.doc_id for r in O1.emit(docs).collect()) == want
+
+
 def simple_fit(sizes, capacity):
     room, out = [], []
     for s in sizes:
@@ -59,11 +74,47 @@ def simple_fit(sizes, capacity):
     return out
 
 
-def test_best_fit_against_scan():
-    for seed in range(30):
+def one_by_one(runs, placed):
+    return [k for p in placed for k, n in p for _ in range(n)]
+
+
+def test_best_fit_of_runs_is_that_of_single_groups():
+    for seed in range(60):
         r = random.Random(seed)
-        sizes = sorted((r.randrange(1, 60) for _ in range(r.randrange(0, 200))), reverse=True)
-        assert O5.best_fit_decreasing(sizes, 100) == simple_fit(sizes, 100)
+        sizes = sorted((r.randrange(1, r.choice([12, 60, 130])) for _ in range(r.randrange(0, 200))), reverse=True)
+        runs = [(s, sizes.count(s)) for s in sorted({*sizes}, reverse=True)]
+        assert one_by_one(runs, O5.best_fit_decreasing(runs, 100)) == simple_fit(sizes, 100)
+
+
+def test_shards_are_best_fit_decreasing(spark):
+    r = random.Random(6)
+    texts = ["y" * r.choice([5, 5, 5, 60, r.randrange(1, 400)]) + str(i) for i in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(i, "a" * 3000) for i in range(5000, 5020)], "doc_id long, text string")
+    shards = O5.pack(docs, 20_000).collect()
+    groups = defaultdict(lambda: [0, set()])
+    for x in shards:
+        g = groups[x.size, x.text_crc32]
+        g[0] += x.size
+        g[1].add(x.shard)
+    assert len(shards) == 2020 and all(len(s) == 1 for _, s in groups.values())
+    sizes = sorted((b for b, _ in groups.values()), reverse=True)
+    want, got = defaultdict(list), defaultdict(list)
+    for b, k in zip(sizes, simple_fit(sizes, 20_000), strict=True):
+        want[k].append(b)
+    for b, s in groups.values():
+        got[min(s)].append(b)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_one_size_of_very_many_groups_is_numbered_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(O5, "ROWS_A_BLOCK", 50)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "lpad(id, 8, '0') AS text")
+    rows = O5.shard(docs, 7).collect()
+    per = defaultdict(list)
+    for x in rows:
+        per[x.shard].append(x.slot)
+    assert len(rows) == 3000 and set(per) == set(range(7)) and all(sorted(v) == list(range(len(v))) for v in per.values())
+    assert max(map(len, per.values())) - min(map(len, per.values())) <= 10
 
 
 def test_shards(spark, sf_dir):
@@ -75,13 +126,17 @@ def test_shards(spark, sf_dir):
         home[r.text_crc32, r.size].add(r.shard)
     assert all(len(v) == 1 for v in home.values()) and all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert set(size) == set(range(24))
+    whole = defaultdict(int)
+    for r in rows:
+        whole[r.text_crc32, r.size] += r.size
+    assert max(size.values()) - min(size.values()) <= max(max(whole.values()), 0.02 * max(size.values()))
 
 
 def test_shards_are_near_equal(spark):
     r = random.Random(5)
     docs = spark.createDataFrame([(i, "x" * r.randrange(10, 900)) for i in range(3000)], "doc_id long, text string")
     size = defaultdict(int)
-    for row in O5.shard(docs, 6, 500).collect():
+    for row in O5.shard(docs, 6).collect():
         size[row.shard] += row.size
     assert max(size.values()) <= 1.02 * min(size.values())
 
