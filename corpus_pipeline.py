@@ -21,7 +21,7 @@ from cubelume.llm.common import fresh, id_crc, ready, table, written
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
-    model = op10_language.train(docs.where(id_crc(F.col("doc_id")) % 5 != 0))
+    model = op10_language.train(docs.where(F.coalesce(id_crc(F.col("doc_id")) % 5 != 0, F.lit(True))))
     label, score = fresh(docs, "language_label", "language_score")
     out = op10_language.with_language(docs, model, label, score)
     # without anything to learn from, nothing is rejected
