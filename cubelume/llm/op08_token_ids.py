@@ -1,11 +1,12 @@
 """Token-ID output in Simple-8b words.
 
-Documents are dealt by ranges of doc_id and sorted within each, so that the files, in order, hold the ids in ascending doc_id
-order. Each row of a file is a segment: the documents it holds, their numbers of ids, and a payload as simple8b.py
+Documents are dealt by ranges of doc_id (texts under one id, or without one, by ranges of a hash of the text) and sorted within each,
+so that the files, in order, hold the ids in ascending doc_id order. Each row of a file is a segment: the documents it holds, their numbers of ids, and a payload as simple8b.py
 describes it. Segments end between documents at about SEGMENT ids. Spark writes the files, so any store it reaches will do.
 
 Words between blanks are encoded once and remembered by hash (64 bits): a blank (ASCII space, line feed, tab) ends every piece of
-this tokeniser's pattern, its normaliser works on either side alone, and no added token has one.
+this tokeniser's pattern, its normaliser works on either side alone, and no added token has one. So words are remembered for VOCABULARY
+only; with another file every text is encoded whole.
 
 Defined results: null text is the empty text, which has the end id only; documents of one doc_id stand in order of
 their text's hash; a null doc_id stands first; further columns are ignored; an empty table gives no rows.
@@ -30,6 +31,8 @@ from .words import power_tables
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 SEGMENT = 1 << 20
+#: Bytes of text that a task is to encode, on average.
+BYTES_A_PART = 64 << 20
 #: Slots of the words that a worker remembers (16 B each), and the ids of them at which it starts anew (4 B each).
 SLOTS, REMEMBERED = 1 << 21, 8_000_000
 FILE = "part int, seg int, n_ids long, doc_ids array<long>, n_tokens array<int>, payload binary"
@@ -122,7 +125,14 @@ class Words:
         return out, place + 1
 
 
+def encode_whole(texts: list, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
+    got = [[*e.ids, end] for e in tokenizer(path).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    return np.fromiter(itertools.chain.from_iterable(got), np.uint32), np.cumsum([len(x) for x in got])
+
+
 def encode_texts(texts: list, path: str, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+    if not path.endswith(VOCABULARY):
+        return encode_whole(texts, path, end)
     if path not in _words:
         _words[path] = Words(path)
     return _words[path].encode(texts, end)
@@ -161,9 +171,12 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterato
 def write(docs: DataFrame, to: str, path: str | None = None, end: int = END, parts: int | None = None) -> None:
     """Writes the files of docs to the folder `to`, which any executor must be able to reach."""
     spark, path = ready(docs.sparkSession), path or vocabulary_path(VOCABULARY)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(col(docs, "doc_id").cast("long").alias("doc_id"), F.coalesce(col(docs, "text"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text").withColumn("part", F.spark_partition_id())
+    if parts is None:
+        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BYTES_A_PART))
+    h = F.xxhash64("text")
+    rows = rows.repartitionByRange(parts, F.col("doc_id"), h).sortWithinPartitions("doc_id", h, "text").withColumn("part", F.spark_partition_id())
     rows.mapInArrow(lambda batches: _segments(batches, path, end), FILE).write.parquet(to)
 
 

@@ -92,3 +92,43 @@ def test_counts_of_odd_rows(odd, empty):
     got = {(r.doc_id, r.n_bytes, r.n_tokens) for r in O2.token_counts(odd).collect()}
     assert (1, 0, 0) in got and (2, 0, 0) in got and (6, 50_000, O2.count_tokens(["x" * 50_000], P.path(O2.VOCABULARY))[0]) in got
     assert O2.token_counts(empty).count() == 0
+
+
+def test_other_vocabularies_are_encoded_whole(tmp_path):
+    import shutil
+
+    from cubelume.llm import op02_tokens as T2
+    from cubelume.llm import op08_token_ids as T8
+
+    texts = ["The  quick brown fox, a/b c.", None, "", "x" * 300]
+    for module, name in ((T2, T2.VOCABULARY), (T8, T8.VOCABULARY)):
+        other = shutil.copy(T2.vocabulary_path(name), tmp_path / f"other-{name[:4]}.json")
+        path = str(other)
+        want = [len(T2.tokenizer(path).encode(t or "", add_special_tokens=False).ids) for t in texts]
+        if module is T2:
+            assert T2.count_tokens(texts, path) == want
+        else:
+            ids, ends = T8.encode_texts(texts, path)
+            assert np.diff(ends, prepend=0).tolist() == [n + 1 for n in want] and len(ids) == ends[-1]
+
+
+def test_limit(spark):
+    from cubelume.llm import op02_tokens as T2
+
+    df = spark.createDataFrame([(1, " a" * 512), (2, " a" * 513)], "doc_id long, text string")
+    rows = {r.doc_id: r.n_tokens > T2.LIMIT for r in T2.token_counts(df).collect()}
+    assert rows == {1: False, 2: True}
+
+
+def test_ids_of_rows_without_doc_id_in_many_parts(spark):
+    from cubelume.llm import op08_token_ids as T8
+    from cubelume.llm.common import scratch_path
+
+    df = spark.range(400).selectExpr("CAST(IF(id % 2 = 0, NULL, id) AS long) AS doc_id", "repeat('word ', 1 + id % 50) AS text")
+    at = scratch_path(spark, "test-ids")
+    T8.write(df, at, parts=8)
+    rows = T8.read(spark, at).collect()
+    rows.sort(key=lambda r: r.start)
+    assert len(rows) == 400 and [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(400)]
+    ids = [r.doc_id for r in rows]
+    assert ids[:200] == [None] * 200 and ids[200:] == sorted(ids[200:])
