@@ -21,10 +21,17 @@ def _small(palette: DataFrame) -> DataFrame:
 
 
 def _best(colours: DataFrame, palette: DataFrame) -> DataFrame:
-    """colours (r, g, b) with idx and dist (squared) of the nearest palette colour, the least idx of equals."""
-    d = squared_distance(tuple(F.col(c) for c in "rgb"), tuple(F.col(f"p{c}") for c in "rgb"))
-    met = colours.crossJoin(_small(palette))
-    return met.groupBy("r", "g", "b").agg(F.min(F.struct(d.alias("dist"), "idx")).alias("m")).select("r", "g", "b", F.col("m.idx").alias("idx"), F.col("m.dist").alias("dist"))
+    """colours (r, g, b) with idx and dist (squared) of the nearest palette colour, the least idx of equals. The palette is one broadcast
+    row, a list of numbers (idx, r, g, b in one), and each colour takes the least of its distances: no shuffle and no row for a pair."""
+    packed = F.col("idx").cast("long") * (1 << 24) + F.col("pr") * 65536 + F.col("pg") * 256 + F.col("pb")
+    one = _small(palette).agg(F.collect_list(packed).alias("__palette"))
+
+    def key(p):
+        away = squared_distance(tuple(F.col(c) for c in "rgb"), tuple(F.shiftright(p, s).bitwiseAND(F.lit(255).cast("long")) for s in (16, 8, 0)))
+        return away.cast("long") * (1 << 32) + F.shiftright(p, 24)
+
+    met = colours.crossJoin(F.broadcast(one)).withColumn("__key", F.array_min(F.transform("__palette", key))).where("__key IS NOT NULL")
+    return met.select("r", "g", "b", F.col("__key").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("idx"), F.shiftright("__key", 32).alias("dist"))
 
 
 def nearest(voxels: DataFrame, palette: DataFrame) -> DataFrame:
