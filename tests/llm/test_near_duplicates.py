@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -25,13 +26,19 @@ def label(nodes, pairs):
 
 
 def brute(texts, k=5, least=0.8):
+    """Classes by weighted Jaccard similarity of the counts of shingles."""
     sets = {}
     for i, t in texts.items():
         w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
         if w:
-            sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))}
-    ids = sorted(sets)
-    return label(texts, [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])])
+            sets[i] = Counter(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1)))
+    ids, n = sorted(sets), {i: s.total() for i, s in sets.items()}
+    at = defaultdict(list)
+    for i in ids:
+        for e in sets[i]:
+            at[e].append(i)
+    met = {(a, b) for e in at.values() for x, a in enumerate(e) for b in e[x + 1 :] if min(n[a], n[b]) >= least * max(n[a], n[b])}
+    return label(texts, [(a, b) for a, b in met if (c := (sets[a] & sets[b]).total()) >= least * (n[a] + n[b] - c) - 1e-9])
 
 
 def corpus(seed):
@@ -63,6 +70,39 @@ def test_classes_are_those_of_brute_force(spark, seed):
     assert {r.doc_id: r.class_id for r in O4.near_duplicates(df).collect()} == brute(texts)
 
 
+def test_a_large_group_of_near_copies_and_a_common_passage(spark, monkeypatch):
+    """One bucket holds most documents, and one run of shingles begins many of them; their blocks are small here."""
+    monkeypatch.setattr(O4, "BLOCK", 8)
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    base, passage, texts = [word() for _ in range(100)], [word() for _ in range(60)], {}
+    for i in range(160):
+        t = list(base)
+        for _ in range(r.randrange(0, 5)):
+            t[r.randrange(len(t))] = word()
+        texts[i] = " ".join(t)
+    for i in range(160, 260):  # the passage with a part that they share in pairs
+        texts[i] = " ".join(passage + [word() for _ in range(r.randrange(3, 16))])
+    texts[300] = "\n".join([" ".join(base[:12])] * 9)  # the same line again and again
+    texts[301] = "\n".join([" ".join(base[:12])] * 10)
+    texts[302] = " ".join(base[:12] + passage[:3])
+    got = {x.doc_id: x.class_id for x in O4.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute(texts) and got[301] == got[300] != got[302]
+
+
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    one, two = "the first text under this id is about rivers and hills", "quite another one that speaks of engines and their wheels"
+    rows = [(3, one, "x"), (3, two, "y"), (3, one, "z"), (4, two, "w"), (5, one + " and more of such things", "v"), (None, one, "u"), (None, one, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone_id string").withColumn("__gone", F.lit(1)).withColumn("h", F.lit(2))
+    kept = O4.deduplicated(df)
+    got = sorted(((r.doc_id or 0), r.text) for r in kept.collect())
+    assert kept.columns == df.columns
+    assert got == sorted([(0, one), (0, one), (3, one), (3, two), (5, one + " and more of such things")])
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, O4.deduplicated(df).collect()), key=str)
+    rows = sorted((r.doc_id or 0, r.class_id or 0, r.kept) for r in O4.near_duplicates(df).collect())
+    assert rows == [(0, 0, True), (0, 0, True), (3, 3, True), (3, 3, True), (4, 3, False), (5, 5, True)]
+
+
 def test_dart_signatures_estimate_similarity():
     r = np.random.default_rng(2)
     common, own = r.integers(0, 2**63, 300, dtype=np.uint64), r.integers(0, 2**63, (2, 100), dtype=np.uint64)
