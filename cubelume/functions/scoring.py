@@ -10,8 +10,18 @@ from .color import clamp
 STRATEGIES = ("geometric", "multiply", "average", "max", "min")
 # fixed values: weights and factors of rewards
 REWARD = {"perceptual": 0.45, "user": 0.35, "compression": 0.20, "target_bytes": 512_000, "edited": 0.8, "accepted": 1.2, "declined": 0.8, "no_rating": 0.6}
-# fixed values: stones of the 27 levels of r, g, b (3 each); w white, e empty, b black
-CODON = "wwe" "wee" "eeb" "wee" "eee" "eeb" "eeb" "eeb" "bbb"
+# fixed values: stones of the 27 levels of r, g, b (3 each), b running fastest
+STONES = (
+    "white", "white", "empty",
+    "white", "empty", "empty",
+    "empty", "empty", "black",
+    "white", "empty", "empty",
+    "empty", "empty", "empty",
+    "empty", "empty", "black",
+    "empty", "empty", "black",
+    "empty", "empty", "black",
+    "black", "black", "black",
+)
 
 
 def merged(strategy: str, query: Column, key: Column) -> Column:
@@ -57,7 +67,7 @@ def stone_of_index(index: Column) -> Column:
 
 def codon_stone(r: Column, g: Column, b: Column) -> Column:
     level = lambda c: F.least(F.lit(2), F.floor(c / 85.0)).cast("int")
-    return F.element_at(F.array(*[F.lit({"w": "white", "e": "empty", "b": "black"}[c]) for c in CODON]), level(r) * 9 + level(g) * 3 + level(b) + 1)
+    return F.element_at(F.array(*[F.lit(s) for s in STONES]), level(r) * 9 + level(g) * 3 + level(b) + 1)
 
 
 def soft_stones(brightness: Column, saturation: Column, energy: Column, black: float, white: float, temperature: float) -> tuple[Column, Column, Column]:

@@ -47,11 +47,11 @@ def q_reward_breakdown(spark, d):
     return scored(spark, d).where("content IS NOT NULL").groupBy("content").agg(F.count("*").alias("n"), F.round(F.sum("total"), 4).alias("total"))
 
 
-@query("q_sample_gate", f"WITH {SCORES}, g AS (SELECT *, (row_number() OVER (ORDER BY ts, id) - 1) // 10 AS batch FROM s WHERE round(total, 9) >= 0.5) SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n, min(id) AS first_id FROM g GROUP BY batch")
+@query("q_sample_gate", f"WITH {SCORES}, g AS (SELECT *, (row_number() OVER (ORDER BY ts, id) - 1) // 10 AS batch FROM s WHERE round(total, 9) >= 0.1) SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n, min(id) AS first_id FROM g GROUP BY batch")
 def q_sample_gate(spark, d):
     from ..streaming.streams import batches_of
 
-    g = scored(spark, d).where(F.round("total", 9) >= 0.5)
+    g = scored(spark, d).where(F.round("total", 9) >= 0.1)
     return batches_of(g, 10, "ts", "id").groupBy("batch").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
