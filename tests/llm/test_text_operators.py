@@ -104,6 +104,11 @@ def test_toxicity_learns(spark, odd, empty):
 
 
 def test_held_out_toxicity(spark, sf_dir):
+    out = O3.op3_toxicity(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    assert out.where("predicted = 1 AND toxic = 0").count() <= 0.1 * out.count()
+
+
+def test_held_out_rates(spark, sf_dir):
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")  # the smallest one has nine toxic texts to learn from
     out = O3.op3_toxicity(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("held_out")
     n = {r.toxic: (r.hit, r.n) for r in out.groupBy("toxic").agg(F.sum("predicted").alias("hit"), F.count("*").alias("n")).collect()}
