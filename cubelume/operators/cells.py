@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.color import FARTHEST, distance, pack
+from ..functions.color import FARTHEST, brightness, distance, pack, saturation
 
 #: Weights are whole millionths, so that sums are exact in any order.
 UNIT = 1_000_000
@@ -108,6 +108,21 @@ def temporal_importance(cells: DataFrame) -> DataFrame:
     return m.join(v, "x").select(F.lit("x").alias("axis"), F.col("x").alias("slice"), (0.7 * F.col("motion") + 0.3 * F.col("variance")).alias("raw"))
 
 
+METRICS = ("brightness", "saturation", "motion", "variance", "combined")
+
+
+def importance_by(cells: DataFrame, metric: str, out: str = "value") -> DataFrame:
+    """cells with the importance that a player of boards sees: brightness, saturation, motion from the cell before (0 in the first layer),
+    variance of the colour over time, or the mean of brightness and saturation (combined)."""
+    light, pure = brightness(*rgb()), saturation(*rgb())
+    if metric == "motion":
+        return motion(cells).withColumnRenamed("motion", out).drop("gradient")
+    if metric == "variance":
+        over = Window.partitionBy("y", "x")
+        return cells.withColumn(out, (F.var_pop("r").over(over) + F.var_pop("g").over(over) + F.var_pop("b").over(over)) / (3.0 * 255 * 255))
+    return cells.withColumn(out, {"brightness": light, "saturation": pure, "combined": (light + pure) / 2}[metric])
+
+
 def mode_of_cells(indexed: DataFrame, top: int = 4) -> DataFrame:
     """indexed (cell, idx, ...) -> cell, n, dominant, secondary, share of others (purity gap), the top (idx, count) list."""
     counts = indexed.groupBy("cell", "idx").agg(F.count("*").alias("k"))

@@ -197,8 +197,11 @@ def gifs(rasters_: DataFrame, by: list[str], palette: list[tuple[int, int, int]]
 
 
 def argb_list(palette: DataFrame) -> list[tuple[int, int, int]]:
-    """A palette of at most 256 colours, in order, on the driver."""
-    return [(r.r, r.g, r.b) for r in palette.orderBy("idx").limit(256).select("r", "g", "b").collect()]
+    """A palette of at most 256 colours (more is an error), in order, on the driver."""
+    found = [(r.r, r.g, r.b) for r in palette.orderBy("idx").limit(257).select("r", "g", "b").collect()]
+    if len(found) > 256:
+        raise ValueError("a palette of more than 256 colours")
+    return found
 
 
 def distinct_argb(df: DataFrame) -> DataFrame:

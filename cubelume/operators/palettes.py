@@ -61,14 +61,22 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return only(a, b).select("argb", F.lit("a").alias("side")).unionByName(only(b, a).select("argb", F.lit("b").alias("side")))
 
 
+def bounded(palette: DataFrame) -> DataFrame:
+    """The palette; one of more than SIZE rows is an error when it is read."""
+    n = F.count("*").over(Window.partitionBy(F.lit(0)))
+    fits = F.when(F.col("__n") > SIZE, F.raise_error(F.lit(f"a palette of more than {SIZE} colours")).cast("boolean")).otherwise(True)
+    return palette.limit(SIZE + 1).withColumn("__n", n).where(fits).drop("__n")
+
+
 def similar_pairs(a: DataFrame, b: DataFrame, most: float = 5.0) -> DataFrame:
-    """Pairs (a, b, delta) of colours under a CIEDE2000 of `most`; both are palettes of at most SIZE colours, the second broadcast."""
+    """Pairs (a, b, delta) of colours under a CIEDE2000 of `most`; both are palettes of at most SIZE colours (more is an error), the second
+    broadcast."""
 
     def in_lab(p: DataFrame, s: str) -> DataFrame:
         rgb = unpack(F.col("argb"))
         return p.select(F.col("argb").alias(s), *[v.alias(f"{s}{i}") for i, v in enumerate(lab(*rgb))])
 
-    one, two = in_lab(a, "a"), in_lab(b.limit(SIZE), "b")
+    one, two = in_lab(bounded(a), "a"), in_lab(bounded(b), "b")
     met = with_delta_e2000(one.crossJoin(F.broadcast(two)), ("a0", "a1", "a2"), ("b0", "b1", "b2"), "delta")
     # the minimum of one row keeps the condition from being pushed into the join with all of the formula
     return met.groupBy("a", "b").agg(F.min("delta").alias("delta")).where(F.col("delta") < most)

@@ -50,6 +50,49 @@ def lanczos3(pixels: DataFrame, side: int, out: int) -> DataFrame:
     return _taps(pixels, _axis_taps(side, out, kernel, 3.0, True), out)
 
 
+def _cubic(b: float, c: float):
+    """The two-parameter cubic kernel, |t| < 2."""
+
+    def kernel(t: float) -> float:
+        t = abs(t)
+        if t < 1:
+            return ((12 - 9 * b - 6 * c) * t**3 + (-18 + 12 * b + 6 * c) * t**2 + 6 - 2 * b) / 6
+        return ((-b - 6 * c) * t**3 + (6 * b + 30 * c) * t**2 + (-12 * b - 48 * c) * t + 8 * b + 24 * c) / 6 if t < 2 else 0.0
+
+    return kernel
+
+
+def bicubic(pixels: DataFrame, side: int, out: int) -> DataFrame:
+    return _taps(pixels, _axis_taps(side, out, _cubic(0.0, 0.5), 2.0, True), out)
+
+
+def mitchell(pixels: DataFrame, side: int, out: int) -> DataFrame:
+    return _taps(pixels, _axis_taps(side, out, _cubic(1 / 3, 1 / 3), 2.0, True), out)
+
+
+def hermite(pixels: DataFrame, side: int, out: int) -> DataFrame:
+    return _taps(pixels, _axis_taps(side, out, lambda t: max(0.0, (2 * abs(t) - 3) * t * t + 1) if abs(t) < 1 else 0.0, 1.0, True), out)
+
+
+def two_stage(pixels: DataFrame, side: int, out: int) -> DataFrame:
+    """Below a quarter of the size by box to twice the target first; then Lanczos-3."""
+    if out * 4 < side:
+        return lanczos3(box(pixels, side, out * 2), out * 2, out)
+    return lanczos3(pixels, side, out)
+
+
+def resampler(side: int, out: int) -> str:
+    """The method for a scale: box below 1/8, Mitchell below 1/4, bicubic below 1/2, else Lanczos-3."""
+    scale = out / side
+    return "box" if scale < 0.125 else "mitchell" if scale < 0.25 else "bicubic" if scale < 0.5 else "lanczos3"
+
+
+def resampled(pixels: DataFrame, side: int, out: int, method: str | None = None) -> DataFrame:
+    """By the method named, or by the one that suits the scale."""
+    every = {"box": box, "bilinear": bilinear, "lanczos3": lanczos3, "bicubic": bicubic, "mitchell": mitchell, "hermite": hermite, "two_stage": two_stage}
+    return every[method or resampler(side, out)](pixels, side, out)
+
+
 def _axis_taps(side: int, out: int, kernel, reach: float, stretch: bool) -> list[tuple[int, int, int]]:
     """(target, source, weight in 1/10000) along one axis; weights of a target sum to 10000."""
     scale, rows = side / out, []

@@ -67,23 +67,52 @@ def interleaved(a: DataFrame, b: DataFrame, score: str, key: str) -> DataFrame:
     return both.withColumn("seq", F.row_number().over(Window.orderBy("rank", "side")))
 
 
-def folded(df: DataFrame, value: str, order: list[str], *by: str, alpha: float, start: float = 0.5, out: str = "ewma") -> DataFrame:
-    """q <- (1 - alpha) q + alpha value in order, one number for each group."""
-    items = F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("__v"))))
-    return df.groupBy(*by).agg(F.aggregate(items, F.lit(float(start)), lambda q, e: q * (1 - alpha) + e["__v"] * alpha).alias(out), F.count("*").alias("n"))
+def _blocks(df: DataFrame, order: list[str], value: str, by: tuple[str, ...], block: Column) -> tuple[DataFrame, Column]:
+    """df grouped by by and block, and the values of a group in order."""
+    named = df.withColumn("__block", block)
+    return named.groupBy(*by, "__block"), F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("__v"))))
 
 
-def momentum(df: DataFrame, value: str, order: list[str], *by: str, decay: float = 0.9, rate: float = 0.01) -> DataFrame:
-    """v <- decay v + g; x <- x + rate v; and a running mean of g² (decay again), in order."""
-    items = F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("g"))))
-    zero = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("x"), F.lit(0.0).alias("s"))
+def hours(ts: str) -> Column:
+    """Number of the hour: a block for folds in order of time."""
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 3_600_000_000)
+
+
+def folded(df: DataFrame, value: str, order: list[str], *by: str, alpha: float, start: float = 0.5, out: str = "ewma", block: Column | None = None) -> DataFrame:
+    """q <- (1 - alpha) q + alpha value in order, one number for each group.
+
+    block is a number that never falls in that order (hours of a time, by default of the first of order): each block of a group is folded
+    on its own to one row, and blocks are put together from their sums and lengths, so that a group may hold any number of rows."""
+    groups, items = _blocks(df, order, value, by, hours(order[0]) if block is None else block)
+    keep = 1 - alpha
+    part = groups.agg(F.aggregate(items, F.lit(0.0), lambda q, e: q * keep + e["__v"] * alpha).alias("s"), F.count("*").alias("n"))
+    parts = F.sort_array(F.collect_list(F.struct("__block", "s", "n")))
+    whole = F.aggregate(parts, F.lit(float(start)), lambda q, e: q * F.pow(F.lit(keep), e["n"]) + e["s"])
+    return part.groupBy(*by).agg(whole.alias(out), F.sum("n").alias("n"))
 
-    def move(q: Column, e: Column) -> Column:
-        v = q["v"] * decay + e["g"]
-        return F.struct(v.alias("v"), (q["x"] + v * rate).alias("x"), (q["s"] * decay + e["g"] * e["g"] * (1 - decay)).alias("s"))
 
-    state = df.groupBy(*by).agg(F.aggregate(items, zero, move).alias("q"))
-    return state.select(*by, F.col("q.v").alias("velocity"), F.col("q.x").alias("position"), F.col("q.s").alias("fisher"))
+def momentum(df: DataFrame, value: str, order: list[str], *by: str, decay: float = 0.9, rate: float = 0.01, block: Column | None = None) -> DataFrame:
+    """v <- decay v + g; x <- x + rate v; and a running mean of g² (decay again), in order; by blocks as folded().
+
+    A block of n rows that starts with v adds decay + ... + decay^n times v to the sum of its velocities."""
+    groups, items = _blocks(df, order, value, by, hours(order[0]) if block is None else block)
+
+    def state(v: Column, x: Column, s: Column) -> Column:
+        return F.struct(v.alias("v"), x.alias("x"), s.alias("s"))
+
+    def move(q: Column, e: Column) -> Column:
+        v = q["v"] * decay + e["__v"]
+        return state(v, q["x"] + v * rate, q["s"] * decay + e["__v"] * e["__v"] * (1 - decay))
+
+    def follow(q: Column, e: Column) -> Column:
+        left = F.pow(F.lit(decay), e["n"])
+        run = (1 - left) * (decay / (1 - decay)) if decay != 1 else e["n"].cast("double")
+        return state(q["v"] * left + e["q"]["v"], q["x"] + q["v"] * run * rate + e["q"]["x"], q["s"] * left + e["q"]["s"])
+
+    zero = state(*[F.lit(0.0)] * 3)
+    part = groups.agg(F.aggregate(items, zero, move).alias("q"), F.count("*").alias("n"))
+    whole = part.groupBy(*by).agg(F.aggregate(F.sort_array(F.collect_list(F.struct("__block", "n", "q"))), zero, follow).alias("q"))
+    return whole.select(*by, F.col("q.v").alias("velocity"), F.col("q.x").alias("position"), F.col("q.s").alias("fisher"))
 
 
 def trailing_count(df: DataFrame, seconds: int, *by: str, ts: str = "ts", out: str = "recent") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import RAMPS, hex_of, luma_milli, pack, unpack
+from ..operators import digests as D
 from ..operators import grouped as G
 from ..operators import nearest as N
 from ..operators import palettes as P
@@ -291,18 +292,7 @@ def q_similar_pairs(spark, d):
 @query("q_palette_merge")
 def q_palette_merge(spark, d):
     """Exact pairs, then greedy similar ones, then the rest one by one from each side, to 256, in order of luminance."""
-    a, b = sides(spark, d)
-    exact = P.intersection(a, b).withColumn("kind", F.lit(0))
-    rest_a, rest_b = P.only(a, b), P.only(b, a)
-    pairs = [(r.a, r.b, r.delta) for r in P.similar_pairs(rest_a, rest_b).collect()]  # 256 x 256 at most
-    matched = spark.createDataFrame([(int(x), int(y)) for x, y, _ in G.greedy_pairs(pairs)], "argb long, other long")
-    similar = matched.join(rest_a, "argb").select("argb", "score", F.lit(1).alias("kind"))
-    left = rest_a.join(matched, "argb", "left_anti")
-    right = rest_b.join(matched.select(F.col("other").alias("argb")), "argb", "left_anti")
-    order = W.interleaved(left, right, "score", "argb").select("argb", F.col("seq").alias("score"), F.lit(2).alias("kind"))
-    ranked = exact.unionByName(similar).unionByName(order).orderBy("kind", F.when(F.col("kind") == 2, F.col("score")).otherwise(-F.col("score")), "argb").limit(256)
-    r, g, b_ = unpack(F.col("argb"))
-    return P.by_luminance(ranked.withColumns({"r": r, "g": g, "b": b_})).select("idx", "argb", "r", "g", "b", "kind")
+    return D.merged_palettes(*sides(spark, d))
 
 
 @query("q_octree")

@@ -60,9 +60,12 @@ def q_ewma(spark, d):
     return W.folded(scored(spark, d).where("content IS NOT NULL"), "total", ["ts", "id"], "content", alpha=0.1).withColumn("ewma", F.round("ewma", 9))
 
 
-@query("q_momentum")
+@query("q_momentum", f"""WITH {SCORES}, o AS (SELECT content, list({{'v': total, 'x': 0.0::DOUBLE, 's': 0.0::DOUBLE}} ORDER BY ts, id) AS l FROM s WHERE content IS NOT NULL GROUP BY content),
+ m AS (SELECT content, list_reduce(list_prepend({{'v': 0.0::DOUBLE, 'x': 0.0::DOUBLE, 's': 0.0::DOUBLE}}, l), lambda q, e: {{'v': q.v * 0.9 + e.v, 'x': q.x + (q.v * 0.9 + e.v) * 0.01, 's': q.s * 0.9 + e.v * e.v * (1 - 0.9::DOUBLE)}}) AS q FROM o)
+ SELECT content, round(q.v, 8) AS velocity, round(q.x, 8) AS position, round(q.s, 8) AS fisher FROM m""")
 def q_momentum(spark, d):
-    return W.momentum(scored(spark, d).where("content IS NOT NULL"), "total", ["ts", "id"], "content")
+    m = W.momentum(scored(spark, d).where("content IS NOT NULL"), "total", ["ts", "id"], "content")
+    return m.select("content", *[F.round(c, 8).alias(c) for c in ("velocity", "position", "fisher")])
 
 
 @query("q_fitness", """SELECT s_suppkey AS id, round(0.6 * ((s_suppkey * 37 % 100) / 100.0::DOUBLE) + 0.3 * ln(s_nationkey + 1.0::DOUBLE) / 10 + 0.1 * least(1.0, (s_suppkey % 15) / 10.0::DOUBLE), 9) AS fitness FROM supplier""")
