@@ -81,7 +81,7 @@ def q_colour_report(spark, d):
 def q_dual_palette_flow(spark, d):
     """From a cube to a GIF: digest, colour space, palettes by place and by time, their merge, indices of all 81 frames, the file and its
     check. One row: the report's numbers, those of the merge, and what the file holds."""
-    cube = dense_cube(spark, "wave")
+    cube = dense_cube(spark, "rings")
     spatial, temporal = dual(cube)
     merged = D.merged_palettes(spatial, temporal)
     rows = [(r.idx, r.argb, r.r, r.g, r.b, r.kind) for r in merged.collect()]  # 256 at most, used by the steps that follow
