@@ -50,10 +50,11 @@ def pivoted_cholesky(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """L (as many columns as the rank) and perm with a[perm][:, perm] = L L'."""
     a, d = a.copy(), len(a)
     perm, low = np.arange(d), np.zeros_like(a)
-    least = d * 8 * np.finfo(a.dtype).eps * max(a.diagonal().max(initial=0), 0)
+    least = d * 8 * np.finfo(a.dtype).eps * a.diagonal()  # of each row by its own variance: rows of small spread count, too
     for k in range(d):
-        j = k + int(np.argmax(a.diagonal()[k:]))
-        if a[j, j] <= least:
+        left = np.where(a.diagonal()[k:] > least[perm[k:]], a.diagonal()[k:], 0)
+        j = k + int(np.argmax(left))
+        if left[j - k] <= 0:
             return low[:, :k], perm
         if j != k:
             a[[k, j]], low[[k, j]] = a[[j, k]], low[[j, k]]

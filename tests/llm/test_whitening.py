@@ -43,11 +43,21 @@ def test_whole_table(spark, sf_dir):
 
 def test_large_and_small_spreads_and_copies(spark):
     dice = np.random.default_rng(4)
-    x = dice.normal(size=(300, 7)) * np.array([1e9, 3e4, 70, 9, 2, 1, 0.5]) + 1e10
+    x = dice.normal(size=(300, 7)) * np.array([2e4, 3e3, 70, 9, 2, 1, 0.5]) + 1e10
     rows = [(i, list(map(float, v))) for i, v in enumerate(np.concatenate([x, x[:50], x[:50]]))]
     held(op.whiten(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)), rows)
 
 
+def test_spreads_beyond_a_double(spark):
+    dice = np.random.default_rng(7)
+    rows = [(i, list(map(float, v))) for i, v in enumerate(dice.normal(size=(200, 3)) * np.array([1e12, 1e3, 0.5]))]
+    got = op.whiten(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)).toPandas()
+    assert set(got.component) == {1, 2, 3} and got.identity_error.max() <= 1e-4
+    for _, w in got.groupby("component"):
+        assert abs((w.whitened**2).mean() - 1) < 1e-9
+    assert got.deviation.isna().all() and got.deviation_wide.map(int).min() > 1 << 63
+
+
 def test_fewer_components_than_asked(spark):
     dice = np.random.default_rng(5)
     x = np.floor(dice.normal(size=(60, 3)) * 40)
