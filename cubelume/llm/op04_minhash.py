@@ -11,11 +11,12 @@ greater weights; for texts that repeat no shingle that is the similarity of sets
 BANDS bands of ROWS coordinates are buckets, which are gone through in turns. First each bucket's lead (the first in an order that is
 the same in all buckets) is compared with the others: no pairs within a bucket. Links are contracted to components, and in the second turn,
 with other leads, only one document of each component that isn't the lead's is compared. Then documents
-of different components that are still in one bucket are compared by a join on their rarest shingles, which loses no link and passes
-over what many documents share. So no link between components is lost however large a bucket is. Before texts are fetched the signatures
+of different components that are still in one bucket are compared by a join on their rarest shingles, which passes
+over what many documents share. So the size of a bucket loses no link between components. Before texts are fetched the signatures
 must agree in LEAST_AGREED coordinates, four standard deviations below the threshold. Links have exact similarity >= 0.8.
 
-A pair at the threshold misses all bands with probability (1 - 0.8^ROWS)^BANDS, 3e-6.
+A pair at the threshold misses all bands with probability (1 - 0.8^ROWS)^BANDS, 3e-6, and agrees in fewer than LEAST_AGREED coordinates with 3e-5: that
+pair is then no link, unless others join its documents. Both fall fast with the similarity.
 
 Defined results: a text without words (null, empty) and a row without doc_id is a class of its own; a document is a doc_id and its
 text, so that repeated rows are one document and texts under one doc_id are documents of their own (ties for the one that stays go by a hash of

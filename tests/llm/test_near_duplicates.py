@@ -161,6 +161,13 @@ def test_embeddings_against_brute_force(spark):
     assert O6.links(df.where("vec_id < 0")).count() == 0
 
 
+def test_components_of_any_size(spark):
+    rows = [[1e200, 2e200], [1e200, 2e200], [1e200, 2.1e200], [1e-200, 2e-200], [1e-200, 2.1e-200], [5e-324, 1e-323], [-1e308, -1.7e308], [-1e308, -1.7e308], [0.0, -0.0], [1e308, float("inf")]]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {g.vec_id: (g.n_links, g.component_id) for g in O6.links(df).collect()}
+    assert got == {i: (5, 0) if i < 6 else (1, 6) if i < 8 else (0, i) for i in range(10)}
+
+
 def test_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(O6, "BLOCK", 16)
     r = np.random.default_rng(6)
