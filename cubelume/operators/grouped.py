@@ -37,8 +37,7 @@ def median_cut(colours: list[tuple[int, int, int, int]], k: int) -> list[tuple[i
 
 
 def octree(colours: list[tuple[int, int, int, int]], k: int, lowest_bit_first: bool = False) -> list[tuple[int, int, int]]:
-    """(r, g, b, n) -> up to k colours: leaves are colours' 8 levels of bits; while there are more than k, the deepest node whose
-    luminance x count is least folds its leaves. By count, then colour. lowest_bit_first keeps an old order of levels."""
+    """(r, g, b, n) -> up to k colours, as trees.octree() has them, for a list that is at hand."""
 
     def path(c: tuple) -> tuple[int, ...]:
         bits = range(8) if lowest_bit_first else range(7, -1, -1)
@@ -97,7 +96,7 @@ def greedy_pairs(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int, fl
     return out
 
 
-_MAKERS = {"octree": octree, "octree_low_bits": lambda c, k: octree(c, k, True), "median_cut": median_cut}
+_MAKERS = {"octree": octree, "median_cut": median_cut}
 
 
 def quantised(df: DataFrame, by: list[str], k: int, how: str = "octree", weight: str | None = None) -> DataFrame:

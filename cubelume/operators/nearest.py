@@ -1,15 +1,20 @@
-"""Nearest-colour joins. The palette side is at most SIZE rows, which is checked, so that it may be broadcast; the other side is
-reduced to distinct colours before it meets the palette."""
+"""Nearest-colour joins. The side of the colours is reduced to distinct ones before it meets the palette. A palette of at most SIZE
+colours (it is written and counted first) is broadcast as one row; a larger one of any size is met cell by cell of a grid."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import pack, squared_distance
 from ..functions.vectors import cosine, l2
+from ..runtime import kept
 
 SIZE = 256
+#: A cell's side is 2 to one of these; the widest leaves two cells on an axis, so that all are neighbours.
+FINEST, WIDEST = 2, 7
 
 
 def _small(palette: DataFrame) -> DataFrame:
@@ -20,30 +25,68 @@ def _small(palette: DataFrame) -> DataFrame:
     return F.broadcast(p.withColumn("n", n).where(fits).drop("n"))
 
 
-def _best(colours: DataFrame, palette: DataFrame) -> DataFrame:
-    """colours (r, g, b) with idx and dist (squared) of the nearest palette colour, the least idx of equals. The palette is one broadcast
-    row, a list of numbers (idx, r, g, b in one), and each colour takes the least of its distances: no shuffle and no row for a pair."""
-    packed = F.col("idx").cast("long") * (1 << 24) + F.col("pr") * 65536 + F.col("pg") * 256 + F.col("pb")
-    one = _small(palette).agg(F.collect_list(packed).alias("__palette"))
+def _packed(palette: DataFrame) -> Column:
+    """idx, r, g, b in one number."""
+    return (F.col("idx").cast("long") * (1 << 24) + F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).alias("__p")
+
+
+def _least(colours: DataFrame, lists: str) -> DataFrame:
+    """r, g, b, idx, dist: the least squared distance to the numbers of a list, the least idx of equals; nulls without a list."""
 
-    def key(p):
+    def key(p: Column) -> Column:
         away = squared_distance(tuple(F.col(c) for c in "rgb"), tuple(F.shiftright(p, s).bitwiseAND(F.lit(255).cast("long")) for s in (16, 8, 0)))
         return away.cast("long") * (1 << 32) + F.shiftright(p, 24)
 
-    met = colours.crossJoin(F.broadcast(one)).withColumn("__key", F.array_min(F.transform("__palette", key))).where("__key IS NOT NULL")
+    met = colours.withColumn("__key", F.array_min(F.transform(lists, key)))
     return met.select("r", "g", "b", F.col("__key").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("idx"), F.shiftright("__key", 32).alias("dist"))
 
 
+def _by_broadcast(colours: DataFrame, palette: DataFrame) -> DataFrame:
+    """The palette is one broadcast row, a list, and each colour takes the least of its distances: no shuffle and no row for a pair."""
+    one = palette.agg(F.collect_list(_packed(palette)).alias("__palette"))
+    return _least(colours.crossJoin(F.broadcast(one)), "__palette").where("idx IS NOT NULL")
+
+
+def _by_grid(colours: DataFrame, palette: DataFrame, n: int) -> DataFrame:
+    """Each palette colour stands in its cell of a grid and the 26 around it, so a colour meets all that lie within a cell's side of it by an
+    equi-join on its own cell. If the best is no farther than that, nothing outside is nearer; the other colours go on to a grid of twice the side.
+    The first grid has about one palette colour a cell."""
+    one = palette.groupBy("r", "g", "b").agg(F.min("idx").alias("idx"))
+    open_, done = colours, None
+    for shift in range(min(WIDEST, max(FINEST, 8 - round(math.log2(n) / 3))), WIDEST + 1):
+        side, most = 1 << shift, 255 >> shift
+        around = F.explode(F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip("xyz", (i // 9 - 1, i // 3 % 3 - 1, i % 3 - 1), strict=True)]) for i in range(27)]))
+        near = one.select(_packed(one), *[F.shiftright(c, shift).alias(f"c{c}") for c in "rgb"], around.alias("d"))
+        near = near.select("__p", *[(F.col(f"c{c}") + F.col(f"d.{d}")).alias(f"c{c}") for c, d in zip("rgb", "xyz", strict=True)])
+        lists = near.where(" AND ".join(f"c{c} BETWEEN 0 AND {most}" for c in "rgb")).groupBy("cr", "cg", "cb").agg(F.collect_list("__p").alias("__near"))
+        met = open_.withColumns({f"c{c}": F.shiftright(c, shift) for c in "rgb"}).join(lists, ["cr", "cg", "cb"], "left")
+        met = kept(_least(met, "__near"), "nearest")
+        settled = F.lit(True) if shift == WIDEST else F.coalesce(F.col("dist") < (side + 1) ** 2, F.lit(False))
+        done = met.where(settled) if done is None else done.unionByName(met.where(settled))
+        open_ = met.where(~settled).select("r", "g", "b")
+        if shift < WIDEST and open_.isEmpty():
+            break
+    return done
+
+
+def best(colours: DataFrame, palette: DataFrame) -> DataFrame:
+    """colours (distinct r, g, b) with idx and dist (squared) of the nearest palette colour, the least idx of equals; exact. An empty palette
+    has no nearest colour, so that no row is left."""
+    p = kept(palette.select("idx", "r", "g", "b").where("r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL"), "palette")
+    n = p.count()
+    return _by_broadcast(colours, p) if n <= SIZE else _by_grid(colours, p, n)
+
+
 def nearest(voxels: DataFrame, palette: DataFrame) -> DataFrame:
     """voxels with idx and dist, exact."""
-    return voxels.join(_best(voxels.select("r", "g", "b").distinct(), palette), ["r", "g", "b"])
+    return voxels.join(best(voxels.select("r", "g", "b").distinct(), palette), ["r", "g", "b"])
 
 
 def lookup_table(palette: DataFrame) -> DataFrame:
     """4 096 rows: idx of the palette colour nearest to the centre of each bucket of 4 bits a channel."""
     i = F.col("id")
     centres = palette.sparkSession.range(4096).select(*[(F.shiftright(i, s).bitwiseAND(F.lit(15).cast("long")) * 16 + 8).cast("int").alias(c) for c, s in zip("rgb", (8, 4, 0), strict=True)])
-    b = _best(centres, palette)
+    b = best(centres, palette)
     return b.select(*[F.shiftright(c, 4).alias(f"k{c}") for c in "rgb"], "idx")
 
 
@@ -55,8 +98,8 @@ def by_lookup(voxels: DataFrame, palette: DataFrame) -> DataFrame:
 
 
 def reconstructed(indexed: DataFrame, palette: DataFrame) -> DataFrame:
-    """indexed (r, g, b, idx) with the palette's colour as pr, pg, pb."""
-    return indexed.join(_small(palette), "idx")
+    """indexed (r, g, b, idx) with the palette's colour as pr, pg, pb. Small palettes are broadcast, as Spark sees their size."""
+    return indexed.join(palette.select("idx", *[F.col(c).alias(f"p{c}") for c in "rgb"]), "idx")
 
 
 def errors(recon: DataFrame) -> DataFrame:

@@ -30,7 +30,6 @@ def q_even_frames(spark, d):
 
 
 @query("q_range_lineage", f"WITH {CELLS} SELECT c.cell, count(*) AS n, CAST(sum(v.r) AS BIGINT) AS r FROM cells c JOIN voxel v ON v.f BETWEEN c.t * 9 AND c.t * 9 + 8 AND v.y BETWEEN c.y * 9 AND c.y * 9 + 8 AND v.x BETWEEN c.x * 9 AND c.x * 9 + 8 GROUP BY c.cell")
-@query("q_range_lineage_whole")
 def q_range_lineage(spark, d):
     of = P.sources_of_cells(cells(spark, d))
     v = voxels(spark, d).withColumn("cell", C.cell_key(C.at("f"), C.at("y"), C.at("x")))
@@ -39,13 +38,11 @@ def q_range_lineage(spark, d):
 
 
 @query("q_conveyor", f"WITH {NEAR} SELECT f, CAST((idx + f * 3) % 64 AS INT) AS idx, count(*) AS n FROM voxel JOIN nn USING (r, g, b) GROUP BY 1, 2")
-@query("q_conveyor_whole")
 def q_conveyor(spark, d):
     return P.conveyor(N.nearest(voxels(spark, d), palette(spark, d)), 64, 3).groupBy("f", "idx").agg(F.count("*").alias("n"))
 
 
 @query("q_hybrid_palettes", f"WITH {NEAR}, e AS (SELECT f, avg(sqrt(dist::DOUBLE)) AS error FROM voxel JOIN nn USING (r, g, b) GROUP BY f) SELECT f FROM e WHERE error > 30 ORDER BY f LIMIT 4")
-@query("q_hybrid_palettes_whole")
 def q_hybrid_palettes(spark, d):
     e = N.nearest(voxels(spark, d), palette(spark, d)).groupBy("f").agg(F.avg(F.sqrt(F.col("dist").cast("double"))).alias("error"))
     return P.override_frames(e, 30.0, 4)

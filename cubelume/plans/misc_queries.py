@@ -40,13 +40,11 @@ def q_sha_chain(spark, d):
 
 
 @query("q_raw_frames", f"WITH {VOXEL}, p AS (SELECT f, y, x, r, g, b FROM voxel) SELECT f, sha256(unhex(string_agg(lpad(to_hex(r), 2, '0') || lpad(to_hex(g), 2, '0') || lpad(to_hex(b), 2, '0'), '' ORDER BY y, x, r, g, b))) AS sha, count(*) AS n FROM p GROUP BY f")
-@query("q_raw_frames_whole")
 def q_raw_frames(spark, d):
     return frames(voxels(spark, d)).select("f", F.sha2("rgb", 256).alias("sha"), "n")
 
 
 @query("q_channel_order", f"WITH {VOXEL} SELECT f, y, x, b AS c0, g AS c1, r AS c2 FROM voxel")
-@query("q_channel_order_whole")
 def q_channel_order(spark, d):
     return voxels(spark, d).select("f", "y", "x", F.col("b").alias("c0"), F.col("g").alias("c1"), F.col("r").alias("c2"))
 
@@ -58,7 +56,6 @@ def q_point_cloud(spark, d):
 
 @query("q_move_text", """WITH m AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)
  SELECT user_id, '(;GM[1]SZ[9]' || string_agg(';' || CASE WHEN k % 2 = 1 THEN 'B' ELSE 'W' END || '[' || chr(97 + CAST(event_id % 9 AS INT)) || chr(97 + CAST(event_id // 9 % 9 AS INT)) || ']', '' ORDER BY k) || ')' AS sgf FROM m GROUP BY user_id""")
-@query("q_move_text_whole")
 def q_move_text(spark, d):
     return S.move_text(load(spark, d, "events"))
 

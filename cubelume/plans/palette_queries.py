@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import RAMPS, hex_of, luma_milli, pack, unpack
@@ -11,7 +11,9 @@ from ..operators import grouped as G
 from ..operators import nearest as N
 from ..operators import palettes as P
 from ..operators import spatial as S
+from ..operators import trees as T
 from ..operators import windows as W
+from ..runtime import kept
 from ..sources.cubes import CELLS, VOXEL, dense_cube, load, voxels
 from .cube_queries import cells
 from .registry import query
@@ -41,9 +43,19 @@ def q_bucket_palette(spark, d):
 
 
 @query("q_nearest", f"WITH {NEAR} SELECT r, g, b, idx, CAST(dist AS BIGINT) AS dist FROM nn")
-@query("q_nearest_whole")
 def q_nearest(spark, d):
-    return N.nearest(voxels(spark, d).select("r", "g", "b").distinct(), palette(spark, d))
+    return N.best(voxels(spark, d).select("r", "g", "b").distinct(), palette(spark, d))
+
+
+EVEN = "pal AS (SELECT CAST(row_number() OVER (ORDER BY r, g, b) - 1 AS INT) AS idx, r, g, b FROM (SELECT r, g, b FROM voxel WHERE f % 2 = 0 GROUP BY r, g, b ORDER BY count(*) DESC, r, g, b LIMIT 2048))"
+
+
+@query("q_nearest_large", f"WITH {VOXEL}, {EVEN}, {NEAR[len(PAL) + 2:]} SELECT r, g, b, idx, CAST(dist AS BIGINT) AS dist FROM nn".replace("d * 1000 + idx", "d * 10000 + idx"))
+def q_nearest_large(spark, d):
+    """All colours against the 2 048 that the even frames have most of."""
+    even = voxels(spark, d).where("f % 2 = 0").groupBy("r", "g", "b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "r", "g", "b").limit(2048)
+    p = even.withColumn("idx", F.row_number().over(Window.orderBy("r", "g", "b")) - 1)
+    return N.best(voxels(spark, d).select("r", "g", "b").distinct(), p)
 
 
 @query("q_lut_map", f"WITH {LUT} SELECT f, idx, count(*) AS n FROM voxel v JOIN lut l ON v.r // 16 = kr AND v.g // 16 = kg AND v.b // 16 = kb GROUP BY f, idx")
@@ -52,24 +64,21 @@ def q_lut_map(spark, d):
 
 
 @query("q_lut_vs_nn", f"WITH {NEAR}, {LUT[len(PAL) + 2:]} SELECT count(*) AS colours, count(*) FILTER (n.idx <> l.idx) AS differ FROM nn n JOIN lut l ON n.r // 16 = kr AND n.g // 16 = kg AND n.b // 16 = kb")
-@query("q_lut_vs_nn_whole")
 def q_lut_vs_nn(spark, d):
-    p = palette(spark, d)
-    exact = N.nearest(voxels(spark, d).select("r", "g", "b").distinct(), p).withColumnRenamed("idx", "exact")
+    p = kept(palette(spark, d), "palette")
+    exact = N.best(voxels(spark, d).select("r", "g", "b").distinct(), p).withColumnRenamed("idx", "exact")
     return N.by_lookup(exact, p).agg(F.count("*").alias("colours"), F.count_if(F.col("idx") != F.col("exact")).alias("differ"))
 
 
 @query("q_reconstruct_error", f"""WITH {NEAR}, e AS (SELECT abs(v.r - p.r) AS er, abs(v.g - p.g) AS eg, abs(v.b - p.b) AS eb FROM voxel v JOIN nn USING (r, g, b) JOIN pal p ON nn.idx = p.idx)
  SELECT count(*) AS n, round(sum(er * er + eg * eg + eb * eb)::DOUBLE / (3.0 * count(*)), 6) AS mse, round(10 * log10(65025.0::DOUBLE / (sum(er * er + eg * eg + eb * eb)::DOUBLE / (3.0 * count(*)))), 6) AS psnr,
  round(sum(er + eg + eb)::DOUBLE / (3.0 * count(*)), 6) AS mean_error, max(greatest(er, eg, eb)) AS largest, round(count(*) FILTER (greatest(er, eg, eb) <= 25)::DOUBLE / count(*), 6) AS close FROM e""")
-@query("q_reconstruct_error_whole")
 def q_reconstruct_error(spark, d):
-    p = palette(spark, d)
+    p = kept(palette(spark, d), "palette")
     return N.errors(N.reconstructed(N.nearest(voxels(spark, d), p), p))
 
 
 @query("q_quantisation_error", f"WITH {NEAR} SELECT f, round(avg(sqrt(dist::DOUBLE)), 6) AS error, avg(sqrt(dist::DOUBLE)) > 20 AS over FROM voxel JOIN nn USING (r, g, b) GROUP BY f")
-@query("q_quantisation_error_whole")
 def q_quantisation_error(spark, d):
     e = N.nearest(voxels(spark, d), palette(spark, d)).groupBy("f").agg(F.avg(F.sqrt(F.col("dist").cast("double"))).alias("e"))
     return e.select("f", F.round("e", 6).alias("error"), (F.col("e") > 20).alias("over"))
@@ -102,8 +111,6 @@ def q_hist_l1(spark, d):
 
 @query("q_palette_luma_order", f"WITH {PAL}, o AS (SELECT idx, r * 299 + g * 587 + b * 114 AS luma, lag(r * 299 + g * 587 + b * 114) OVER (ORDER BY idx) AS before FROM pal) SELECT count(*) AS n, count(*) FILTER (luma < before) AS out_of_order FROM o")
 def q_palette_luma_order(spark, d):
-    from pyspark.sql import Window
-
     p = palette(spark, d).withColumn("luma", luma_milli(F.col("r"), F.col("g"), F.col("b")))
     return p.withColumn("before", F.lag("luma").over(Window.orderBy("idx"))).agg(F.count("*").alias("n"), F.count_if(F.col("luma") < F.col("before")).alias("out_of_order"))
 
@@ -187,7 +194,6 @@ def q_padded_palette(spark, d):
 
 
 @query("q_pack_unpack", f"WITH {VOXEL} SELECT r, g, b, CAST(4278190080 + r * 65536 + g * 256 + b AS BIGINT) AS argb, '#' || upper(lpad(to_hex(r), 2, '0') || lpad(to_hex(g), 2, '0') || lpad(to_hex(b), 2, '0')) AS hex, true AS same FROM voxel")
-@query("q_pack_unpack_whole")
 def q_pack_unpack(spark, d):
     c = [F.col(x) for x in "rgb"]
     v = voxels(spark, d).select(*c, pack(*c).alias("argb"), hex_of(*c).alias("hex"))
@@ -295,20 +301,23 @@ def q_palette_merge(spark, d):
     return D.merged_palettes(*sides(spark, d))
 
 
-@query("q_octree")
+ONE = "one AS (SELECT 0 AS \"all\", r, g, b, {n} AS n FROM {t} GROUP BY r, g, b)"
+
+
+@query("q_octree", f"WITH {CELLS}, {ONE.format(n='count(*)', t='cells')}, {T.octree_sql('one', '\"all\"', 64)}")
 def q_octree(spark, d):
-    return G.quantised(cells(spark, d).withColumn("all", F.lit(0)), ["all"], 64, "octree")
+    return T.octree(cells(spark, d).withColumn("all", F.lit(0)), ["all"], 64)
 
 
-@query("q_octree_weighted")
+@query("q_octree_weighted", f"WITH {CELLS}, {ONE.format(n='sum(greatest(1, least(10, w // 4000000)))', t='cells')}, {T.octree_sql('one', '\"all\"', 64)}")
 def q_octree_weighted(spark, d):
     c = cells(spark, d).withColumns({"all": F.lit(0), "times": F.greatest(F.lit(1), F.least(F.lit(10), F.floor(F.col("w") / 4_000_000))).cast("long")})
-    return G.quantised(c, ["all"], 64, "octree", "times")
+    return T.octree(c, ["all"], 64, "times")
 
 
-@query("q_octree_per_frame")
+@query("q_octree_per_frame", f"WITH {VOXEL}, one AS (SELECT f, r, g, b, count(*) AS n FROM voxel GROUP BY f, r, g, b), {T.octree_sql('one', 'f', 16)}")
 def q_octree_per_frame(spark, d):
-    return G.quantised(voxels(spark, d), ["f"], 16, "octree")
+    return T.octree(voxels(spark, d), ["f"], 16)
 
 
 @query("q_median_cut")
@@ -361,6 +370,6 @@ def q_gif_roundtrip(spark, d):
     return r.select("part", "r.valid", "r.width", "r.height", "r.frames")
 
 
-@query("q_all_pixels_octree")
+@query("q_all_pixels_octree", f"WITH {VOXEL}, {ONE.format(n='count(*)', t='voxel')}, {T.octree_sql('one', '\"all\"', 256)}")
 def q_all_pixels_octree(spark, d):
-    return G.quantised(voxels(spark, d).withColumn("all", F.lit(0)), ["all"], 256, "octree")
+    return T.octree(voxels(spark, d).withColumn("all", F.lit(0)), ["all"], 256)

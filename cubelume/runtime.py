@@ -1,14 +1,18 @@
-"""What Python workers need, and the folder that driver and executors share."""
+"""What Python workers need, the folder that driver and executors share, and tables that are kept there."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
+_kept: dict[str, list[str]] = {}
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -31,3 +35,23 @@ def shared_dir(spark: SparkSession) -> str:
         context.setCheckpointDir(Path(tempfile.mkdtemp(prefix="cubelume-")).as_uri())
         base = context.getCheckpointDir()
     return base.rstrip("/")
+
+
+def kept(df: DataFrame, tag: str = "table") -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: it is computed once, and a lost executor costs nothing of it. Deleted at exit."""
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/cubelume-{app}/kept-{tag}-{uuid.uuid4().hex[:12]}"
+    _kept.setdefault(app, []).append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):
+        if (spark := SparkSession.getActiveSession()) is not None:
+            conf = spark.sparkContext._jsc.hadoopConfiguration()
+            for path in _kept.pop(spark.sparkContext.applicationId, []):
+                at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
