@@ -16,7 +16,7 @@ from ..functions.color import pack, unpack
 
 # ---- palettes from weighted colours
 def median_cut(colours: list[tuple[int, int, int, int]], k: int) -> list[tuple[int, int, int]]:
-    """(r, g, b, n) -> means of k boxes: the widest box is cut at its weighted median until there are k; widest first, then least."""
+    """(r, g, b, n) -> means of k boxes, as trees.median_cut() has them, for a list that is at hand."""
     boxes = [sorted(colours)] if colours else []
     while len(boxes) < k:
         widths = [max((max(c[i] for c in b) - min(c[i] for c in b), -i) for i in range(3)) for b in boxes]
@@ -96,23 +96,6 @@ def greedy_pairs(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int, fl
     return out
 
 
-_MAKERS = {"octree": octree, "median_cut": median_cut}
-
-
-def quantised(df: DataFrame, by: list[str], k: int, how: str = "octree", weight: str | None = None) -> DataFrame:
-    """by..., idx, r, g, b: a palette of each group from its distinct colours and their counts (or whole weights)."""
-    n = F.sum(weight).cast("long") if weight else F.count("*")
-    counts = df.groupBy(*by, "r", "g", "b").agg(n.alias("n"))
-    maker = _MAKERS[how]
-
-    def one(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        found = maker(list(d[["r", "g", "b", "n"]].itertuples(index=False, name=None)), k)
-        return pd.DataFrame([(*key, i, *map(int, c)) for i, c in enumerate(found)], columns=[*by, "idx", "r", "g", "b"])
-
-    kinds = dict(df.dtypes)
-    return counts.groupBy(*by).applyInPandas(one, ", ".join([*(f"{c} {kinds[c]}" for c in by), "idx int, r int, g int, b int"]))
-
-
 # ---- rasters
 def dither(pixels: np.ndarray, palette: np.ndarray, spread: np.ndarray | None = None) -> np.ndarray:
     """Floyd-Steinberg in raster order (7, 3, 5, 1 of 16); where spread is False a pixel's error goes nowhere."""

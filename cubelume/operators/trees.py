@@ -1,12 +1,16 @@
-"""Octrees of colours by sums in Spark, for groups with any number of colours.
+"""Octrees and median cuts of colours by sums in Spark, for groups with any number of colours.
 
 A colour's path through the octree is its bits, three a level, in one number; a node is a prefix of it. Folding goes from the deepest level
 up, so that all levels below some depth are folded whole, all above it aren't touched, and one level's nodes are folded in order until few enough leaves are left.
 Which level that is follows from the number of nodes of each level, and only that level's nodes (8 k at most) and their parents (k) are ranked.
+
+Boxes of a median cut are cut in rounds: sums and bounds of each new box, weights by value of its longest axis, and the order of the colours of one value only. A round cuts
+all boxes that the next cuts may fall on, so that k boxes take some log k rounds; which cuts count is decided from the boxes (some k rows a group).
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +84,90 @@ def octree_sql(colours: str, by: str, k: int) -> str:
  og AS (SELECT *, depth <= {LEVELS} AND coalesce(sum(children - 1) OVER (PARTITION BY {by} ORDER BY r * 299 + g * 587 + b * 114, parent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < over AS folds FROM op),
  leaf AS (SELECT {by}, r, g, b, n FROM og WHERE folds UNION ALL SELECT oh.{by}, oh.r, oh.g, oh.b, oh.n FROM oh JOIN og ON oh.{by} = og.{by} AND oh.node >> 3 = og.parent WHERE NOT coalesce(og.folds, false))
  SELECT {by}, CAST(row_number() OVER (PARTITION BY {by} ORDER BY n DESC, r, g, b) - 1 AS INT) AS idx, CAST(r // n AS INT) AS r, CAST(g // n AS INT) AS g, CAST(b // n AS INT) AS b FROM leaf"""
+
+
+# ---- median cut
+BOX = "g string, box string, width int, axis int, cut long, n long, r long, g_ long, b long"
+
+
+def _measured(colours: DataFrame) -> DataFrame:
+    """colours (g, box, cr, cg, cb, n) -> BOX: sums, the longest axis (the first of equals), and the key of the last colour of its lower half. The key
+    of a colour is its value on the axis and then the colour; the upper half has one colour at least."""
+    c = [F.col(f"c{x}") for x in "rgb"]
+    wide = [F.max(x) - F.min(x) for x in c]
+    stats = colours.groupBy("g", "box").agg(F.sum("n").alias("n"), *[F.sum(x.cast("long") * F.col("n")).alias(a) for x, a in zip(c, ("r", "g_", "b"), strict=True)], *[w.alias(f"w{i}") for i, w in enumerate(wide)])
+    width = F.greatest("w0", "w1", "w2")
+    stats = kept(stats.withColumn("width", width).withColumn("axis", F.when(F.col("w0") == width, 0).when(F.col("w1") == width, 1).otherwise(2)), "box-sums")
+    cut = _beside(colours, stats.where("width > 0").select("g", "box", "axis", F.col("n").alias("of")), ["g", "box"])
+    cut = cut.select("g", "box", "of", "n", F.element_at(F.array(*c), F.col("axis") + 1).alias("value"), (c[0] * 65536 + c[1] * 256 + c[2]).alias("rgb"))
+    values = cut.groupBy("g", "box", "value").agg(F.sum("n").alias("n"), F.max("of").alias("of"))
+    w = Window.partitionBy("g", "box")
+    run = F.sum("n").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    values = values.withColumn("run", run).withColumn("last", F.max("value").over(w)).where("run * 2 >= of").groupBy("g", "box").agg(F.min(F.struct("value", (F.col("run") - F.col("n")).alias("before"), "last")).alias("v"))
+    values = kept(values.select("g", "box", F.col("v.value").alias("at"), "v.before", "v.last"), "box-values")
+    tied = _beside(cut, values, ["g", "box"]).where(F.col("value") == F.col("at"))
+    run = F.col("before") + F.sum("n").over(w.orderBy("rgb").rowsBetween(Window.unboundedPreceding, 0))
+    tied = tied.withColumn("run", run).withColumn("end", (F.col("at") == F.col("last")) & (F.col("rgb") == F.max("rgb").over(w))).where("run * 2 >= of")
+    cuts = tied.groupBy("g", "box").agg(F.min(F.struct(F.shiftleft(F.col("at").cast("long"), 24).bitwiseOR(F.col("rgb").cast("long")).alias("key"), "end")).alias("k"))
+    cuts = cuts.select("g", "box", F.when(F.col("k.end"), F.col("k.key") - 1).otherwise(F.col("k.key")).alias("cut"))
+    return stats.join(cuts, ["g", "box"], "left").select("g", "box", "width", "axis", "cut", "n", "r", "g_", "b")
+
+
+def _beside(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a table of a row a box, which is broadcast where it is seen to be small."""
+    return rows.join(F.broadcast(few) if few.limit(BOXES_BROADCAST + 1).count() <= BOXES_BROADCAST else few, on, how)
+
+
+BOXES_BROADCAST = 100_000
+
+
+def _followed(boxes: pd.DataFrame, k: int) -> tuple[list[str], list[str]]:
+    """The boxes that are left when the widest (the first of equals) is cut until there are k, as far as cuts are known; and those to cut next."""
+    width = dict(zip(boxes.box, boxes.width, strict=True))
+    leaves = [""]
+    while len(leaves) < k:
+        best = max(range(len(leaves)), key=lambda i: (width[leaves[i]], -i))
+        at = leaves[best]
+        if width[at] == 0:
+            return leaves, []
+        if at + "0" not in width:
+            uncut = sorted((x for x in leaves if width[x] > 0 and x + "0" not in width), key=lambda x: (-width[x], x))
+            return leaves, uncut[: k - len(leaves)]
+        leaves[best : best + 1] = [at + "0", at + "1"]
+    return leaves, []
+
+
+def median_cut(df: DataFrame, by: list[str], k: int, weight: str | None = None) -> DataFrame:
+    """by..., idx, r, g, b: means of up to k boxes of each group, in the order of their cuts: the widest box is cut at its weighted median
+    until there are k.
+
+    Defined results: rows without a colour aren't counted; boxes of one colour aren't cut; null groups are groups."""
+    n = F.sum(weight).cast("long") if weight else F.count("*")
+    known = df.where("r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL")
+    group = F.to_json(F.struct(*by)) if by else F.lit("{}")  # never null, so that it joins
+    counts = known.groupBy(*by, "r", "g", "b").agg(n.alias("n"))
+    colours = kept(counts.select(group.alias("g"), *[F.col(c).alias(f"c{c}") for c in "rgb"], "n", F.lit("").alias("box"), F.lit(True).alias("new")), "box-colours")
+    boxes = None
+    while True:
+        found = kept(_measured(colours.where("new")), "boxes")
+        boxes = found if boxes is None else boxes.unionByName(found)
+
+        def wanted(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"g": key[0], "box": _followed(d, k)[1]}, columns=["g", "box"]).astype(str)
+
+        cuts = kept(boxes.groupBy("g").applyInPandas(wanted, "g string, box string").join(boxes.select("g", "box", "axis", "cut"), ["g", "box"]), "box-cuts")
+        if cuts.isEmpty():
+            break
+        rows = _beside(colours, cuts, ["g", "box"], "left")  # boxes that aren't cut now may be later
+        value = F.element_at(F.array(*[F.col(f"c{c}") for c in "rgb"]), F.col("axis") + 1).cast("long")
+        key = F.shiftleft(value, 24).bitwiseOR((F.col("cr") * 65536 + F.col("cg") * 256 + F.col("cb")).cast("long"))
+        colours = kept(rows.select("g", "cr", "cg", "cb", "n", F.concat("box", F.when(key <= F.col("cut"), "0").when(key > F.col("cut"), "1").otherwise("")).alias("box"), F.col("cut").isNotNull().alias("new")), "box-colours")
+
+    def means(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
+        at = d.set_index("box").loc[_followed(d, k)[0]]
+        return pd.DataFrame({"g": key[0], "idx": range(len(at)), "r": (at.r // at.n).to_numpy(), "g_": (at.g_ // at.n).to_numpy(), "b": (at.b // at.n).to_numpy()})
+
+    out = boxes.groupBy("g").applyInPandas(means, "g string, idx int, r int, g_ int, b int")
+    kinds = dict(df.dtypes)
+    parts = F.from_json("g", ", ".join(f"`{c}` {kinds[c]}" for c in by)) if by else None
+    return out.select(*[parts[c].alias(c) for c in by], "idx", "r", F.col("g_").alias("g"), "b")

@@ -322,7 +322,7 @@ def q_octree_per_frame(spark, d):
 
 @query("q_median_cut")
 def q_median_cut(spark, d):
-    return G.quantised(voxels(spark, d), ["f"], 16, "median_cut")
+    return T.median_cut(voxels(spark, d), ["f"], 16)
 
 
 @query("q_farthest_points")

@@ -79,3 +79,26 @@ def test_octree_of_all_rows_and_of_none(spark):
         counts[c] += 1
     assert got == G.octree([(*c, n) for c, n in counts.items()], 32)
     assert T.octree(frame(spark, []), [], 4).count() == 0 and T.octree(frame(spark, []).selectExpr("*", "1 AS p"), ["p"], 4).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 16, 40])
+def test_median_cut_by_rounds(spark, k):
+    dice = random.Random(k)
+    rows = []
+    for group, (n, top) in {"many": (900, 256), "dark": (300, 5), "few": (5, 256), "one": (1, 256), None: (60, 64)}.items():
+        rows += [(group, dice.randrange(top), dice.randrange(1 + top // 3), dice.randrange(top), dice.randrange(1, 50)) for _ in range(n)]
+    rows += [("chain", 2**i, 0, 0, 1) for i in range(8)] + [("heavy", 9, 9, 9, 1000), ("heavy", 10, 0, 0, 1), ("heavy", 3, 0, 0, 1)]
+    df = spark.createDataFrame([*rows, ("few", None, 1, 1, 5)], "part string, r int, g int, b int, w long")
+    got = {}
+    for x in T.median_cut(df, ["part"], k, "w").orderBy("part", "idx").collect():
+        got.setdefault(x.part, []).append((x.r, x.g, x.b))
+    for group in {x[0] for x in rows}:
+        counts = {}
+        for part, r, g, b, w in rows:
+            if part == group:
+                counts[r, g, b] = counts.get((r, g, b), 0) + w
+        assert got[group] == G.median_cut([(*c, n) for c, n in counts.items()], k), group
+
+
+def test_median_cut_of_none(spark):
+    assert T.median_cut(frame(spark, []), [], 4).count() == 0
