@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def softmax(df: DataFrame, value: str, *by: str, temperature: float = 1.0, out: str = "softmax") -> DataFrame:
     w = Window.partitionBy(*by)
@@ -50,14 +52,13 @@ def split_budget(budget: int) -> tuple[int, int]:
 
 
 def interpolated(df: DataFrame, value: str, order: str, *by: str, fallback: Column | None = None, out: str = "filled") -> DataFrame:
-    """Nulls of value become the straight line between the nearest known on both sides; at an end the nearest; none known: the fallback."""
-    back = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    """Nulls of value become the straight line between the nearest known on both sides; at an end the nearest; none known: the fallback.
+    Rows of a group are followed in parts, so that a group may hold any number of them."""
     at = F.when(F.col(value).isNotNull(), F.col(order))
-    v0, v1 = F.last(value, True).over(back), F.first(value, True).over(ahead)
-    o0, o1 = F.last(at, True).over(back), F.first(at, True).over(ahead)
-    line = v0 + (v1 - v0) * ((F.col(order) - o0) / (o1 - o0))
-    return df.withColumn(out, F.coalesce(F.col(value), line, v0, v1, fallback if fallback is not None else F.lit(None)))
+    d = running(df, list(by), [order], __v0=("last", value), __v1=("next", value), __o0=("last", at), __o1=("next", at))
+    line = F.col("__v0") + (F.col("__v1") - F.col("__v0")) * ((F.col(order) - F.col("__o0")) / (F.col("__o1") - F.col("__o0")))
+    known = F.coalesce(F.col(value), line, "__v0", "__v1", fallback if fallback is not None else F.lit(None))
+    return d.withColumn(out, known).drop("__v0", "__v1", "__o0", "__o1")
 
 
 def interleaved(a: DataFrame, b: DataFrame, score: str, key: str) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import vectors as V
 from ..operators import cells as C
 from ..operators import nearest as N
 from ..operators import windows as W
+from ..operators.ordered import running, trailing_max
 from ..sources.cubes import CELLS, REWARD, VOXEL, load, rewards, voxels
 from .cube_queries import EDGE, MOVE, cells
 from .registry import query
@@ -288,13 +289,13 @@ def q_preference(spark, d):
 @query("q_think_time", "SELECT event_id AS id, CAST(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS gap_us FROM events")
 def q_think_time(spark, d):
     e = load(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    return e.select(F.col("event_id").alias("id"), (F.col("us") - F.lag("us").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).alias("gap_us"))
+    return running(e.select("user_id", "ts", "event_id", "us"), ["user_id"], ["ts", "event_id"], before=("lag", "us")).select(F.col("event_id").alias("id"), (F.col("us") - F.col("before")).alias("gap_us"))
 
 
 @query("q_monotonic", "WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT user_id, count(*) AS n, count(*) FILTER (us < before) AS backwards, count(*) FILTER (us - before > 100000) AS slow FROM e GROUP BY user_id")
 def q_monotonic(spark, d):
     e = load(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    e = e.withColumn("before", F.lag("us").over(Window.partitionBy("user_id").orderBy("event_id")))
+    e = running(e.select("user_id", "event_id", "us"), ["user_id"], ["event_id"], before=("lag", "us"))
     return e.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("us") < F.col("before")).alias("backwards"), F.count_if(F.col("us") - F.col("before") > 100_000).alias("slow"))
 
 
@@ -305,8 +306,8 @@ def q_trailing_rate(spark, d):
 
 @query("q_running_peak", "SELECT event_id AS id, max(value) OVER w AS peak, max(value) OVER l AS recent_peak FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), l AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
 def q_running_peak(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return load(spark, d, "events").select(F.col("event_id").alias("id"), F.max("value").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("peak"), F.max("value").over(w.rowsBetween(-99, 0)).alias("recent_peak"))
+    e = running(load(spark, d, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], peak=("max", "value"))
+    return trailing_max(e, ["user_id"], ["ts", "event_id"], "value", 100, "recent_peak").select(F.col("event_id").alias("id"), "peak", "recent_peak")
 
 
 @query("q_slice_variance", f"WITH {CELLS} SELECT t, round(var_samp(w / 1000000.0::DOUBLE), 4) AS variance FROM cells GROUP BY t")

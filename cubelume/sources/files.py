@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered, running
+from ..runtime import kept
+
 
 # ---- catalogues
 def search(items: DataFrame, name: str, tags: Column, text: str, any_tag: tuple[str, ...]) -> DataFrame:
@@ -17,13 +22,17 @@ def search(items: DataFrame, name: str, tags: Column, text: str, any_tag: tuple[
 
 
 def sorted_tops(orders: DataFrame, k: int) -> DataFrame:
-    """id and its place in four orders, of all that are in the first k of any. Each order is a top-k of its own (no global window):
-    places come from the k rows, others are looked up by counting only where needed."""
+    """id and its place in four orders, of all that are in the first k of any. The rows are numbered in each order by ranges (no global
+    window); the ids that are kept, 4 k at most, are broadcast to the orders."""
     by = {"newest": [F.desc("o_orderdate")], "oldest": [F.col("o_orderdate")], "largest": [F.desc("o_totalprice")], "name": [F.col("o_orderpriority")]}
-    out = orders
+    places = {}
     for c, order in by.items():
-        out = out.withColumn(c, F.row_number().over(Window.orderBy(*order, "o_orderkey")))
-    return out.where(F.least(*by) <= k).select(F.col("o_orderkey").alias("id"), *by)
+        places[c] = kept(numbered(orders.select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority"), *order, "o_orderkey", out=c).select(F.col("o_orderkey").alias("id"), c), "places")
+    ids = reduce(DataFrame.union, [p.where(F.col(c) <= k).select("id") for c, p in places.items()]).distinct()
+    out = ids
+    for p in places.values():
+        out = out.join(p.join(F.broadcast(ids), "id", "left_semi"), "id")
+    return out.select("id", *[F.col(c).cast("int").alias(c) for c in by])
 
 
 def byte_size(n: Column) -> Column:
@@ -37,9 +46,9 @@ def retained(items: DataFrame, ts: str, days: int) -> DataFrame:
 
 
 def current_palette(frames: DataFrame, by: str, order: list[str], default: int = 0) -> DataFrame:
-    """ref: the last switch up to each frame."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return frames.withColumn("ref", F.coalesce(F.last("switch", True).over(w), F.lit(default)).cast("int"))
+    """ref: the last switch up to each frame, for streams of any length."""
+    d = running(frames, [by], order, __ref=("last", "switch"))
+    return d.withColumn("ref", F.coalesce("__ref", F.lit(default)).cast("int")).drop("__ref")
 
 
 # ---- text sources
@@ -71,7 +80,7 @@ def manifest(tables: dict[str, DataFrame]) -> list[dict]:
     for name, df in tables.items():
         r = df.select(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("h")).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s")).first()
         before = f"{name}:{r.n}:{r.s}:{before}"
-        out.append({"layer": name, "rows": r.n, "chain": __import__("hashlib").sha256(before.encode()).hexdigest()})
+        out.append({"layer": name, "rows": r.n, "chain": hashlib.sha256(before.encode()).hexdigest()})
     return out
 
 
