@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import luma_milli, unpack
-from . import grouped as G
 from . import palettes as P
 from . import windows as W
 from .cells import at, cell_key
+from .matching import one_to_one
 
 BINS = 9
 #: Places of the corners and of the centre: t, y, x.
@@ -112,8 +112,7 @@ def merged_palettes(a: DataFrame, b: DataFrame) -> DataFrame:
     one from each side (2), 256 in all, in order of luminance."""
     exact = P.intersection(a, b).withColumn("kind", F.lit(0))
     rest_a, rest_b = P.only(a, b), P.only(b, a)
-    pairs = [(r.a, r.b, r.delta) for r in P.similar_pairs(rest_a, rest_b).collect()]  # 256 x 256 at most
-    matched = a.sparkSession.createDataFrame([(int(x), int(y)) for x, y, _ in G.greedy_pairs(pairs)], "argb long, other long")
+    matched = one_to_one(P.similar_pairs(rest_a, rest_b)).select(F.col("a").alias("argb"), F.col("b").alias("other"))
     similar = matched.join(rest_a, "argb").select("argb", "score", F.lit(1).alias("kind"))
     left = rest_a.join(matched, "argb", "left_anti")
     right = rest_b.join(matched.select(F.col("other").alias("argb")), "argb", "left_anti")

@@ -67,35 +67,6 @@ def octree(colours: list[tuple[int, int, int, int]], k: int, lowest_bit_first: b
     return [tuple(s[i] // s[3] for i in range(3)) for s in out]
 
 
-def farthest_points(colours: list[tuple[int, int, int, float]], k: int) -> list[int]:
-    """Places of k colours: the best score first, then always the one of largest (least distance to the chosen) * (1 + score)."""
-    if not colours:
-        return []
-    xyz, score = np.array([c[:3] for c in colours], float), np.array([c[3] for c in colours], float)
-    chosen = [int(np.lexsort((np.arange(len(score)), -score))[0])]
-    gap = np.sqrt(((xyz - xyz[chosen[0]]) ** 2).sum(1))
-    while len(chosen) < min(k, len(colours)):
-        value = np.round(gap * (1 + score), 9)
-        value[chosen] = -1
-        chosen.append(int(value.argmax()))
-        gap = np.minimum(gap, np.sqrt(((xyz - xyz[chosen[-1]]) ** 2).sum(1)))
-    return chosen
-
-
-def greedy_pairs(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """One-to-one: for each a in order its nearest b that is still free."""
-    taken, out, by = set(), [], {}
-    for a, b, d in sorted(pairs, key=lambda x: (x[0], round(x[2], 9), x[1])):
-        by.setdefault(a, []).append((b, d))
-    for a, found in by.items():
-        for b, d in found:
-            if b not in taken:
-                taken.add(b)
-                out.append((a, b, d))
-                break
-    return out
-
-
 # ---- rasters
 def dither(pixels: np.ndarray, palette: np.ndarray, spread: np.ndarray | None = None) -> np.ndarray:
     """Floyd-Steinberg in raster order (7, 3, 5, 1 of 16); where spread is False a pixel's error goes nowhere."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import hashes as H
 from ..sources import files as S
 from ..sources.cubes import VOXEL, frames, load, voxels
 from .registry import query
@@ -39,6 +40,17 @@ def q_sha_chain(spark, d):
     return S.hash_chain(load(spark, d, "documents").where("text IS NOT NULL"), "source", "doc_id", "text")
 
 
+TREE = "".join(f", l{n} AS (SELECT lang, node >> 4 AS node, sha256(string_agg(h, '' ORDER BY node)) AS h FROM l{n - 1} GROUP BY lang, node >> 4)" for n in range(1, 9))
+
+
+@query("q_hash_tree", f"""WITH h AS (SELECT lang, doc_id AS node, sha256(text) AS h FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+ l0 AS (SELECT lang, node, CASE WHEN count(*) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY h)) END AS h FROM h GROUP BY lang, node){TREE}
+ SELECT l8.lang, (SELECT count(*) FROM l0 WHERE l0.lang IS NOT DISTINCT FROM l8.lang) AS leaves, l8.h AS root FROM l8""")
+def q_hash_tree(spark, d):
+    """The root of each language's texts by doc_id."""
+    return H.roots(H.hash_tree(load(spark, d, "documents"), "doc_id", "text", "lang"), "lang")
+
+
 @query("q_raw_frames", f"WITH {VOXEL}, p AS (SELECT f, y, x, r, g, b FROM voxel) SELECT f, sha256(unhex(string_agg(lpad(to_hex(r), 2, '0') || lpad(to_hex(g), 2, '0') || lpad(to_hex(b), 2, '0'), '' ORDER BY y, x, r, g, b))) AS sha, count(*) AS n FROM p GROUP BY f")
 def q_raw_frames(spark, d):
     return frames(voxels(spark, d)).select("f", F.sha2("rgb", 256).alias("sha"), "n")

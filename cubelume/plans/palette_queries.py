@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.color import RAMPS, hex_of, luma_milli, pack, unpack
 from ..operators import digests as D
 from ..operators import grouped as G
+from ..operators import matching as M
 from ..operators import nearest as N
 from ..operators import palettes as P
 from ..operators import spatial as S
@@ -231,10 +232,11 @@ def q_dangling_refs(spark, d):
     return P.dangling(frames, bank)
 
 
-@query("q_remap", f"WITH {BANK} SELECT f, CAST(ref * 2 % 100 AS INT) AS ref FROM fr WHERE ref IN (SELECT ref FROM bank)")
+@query("q_remap", f"WITH {BANK} SELECT f, CAST((SELECT max(ref) + 1 FROM bank) - ref AS INT) AS ref FROM fr WHERE ref IN (SELECT ref FROM bank)")
 def q_remap(spark, d):
     bank, frames = bank_and_frames(spark, d)
-    return P.remapped(frames.join(bank.select("ref"), "ref", "left_semi"), bank.select("ref", (F.col("ref") * 2 % 100).cast("int").alias("new_ref"))).select("f", "ref")
+    backwards = bank.select("ref").crossJoin(F.broadcast(bank.agg((F.max("ref") + 1).alias("end")))).select("ref", (F.col("end") - F.col("ref")).cast("int").alias("new_ref"))
+    return P.remapped(frames.join(bank.select("ref"), "ref", "left_semi"), backwards).select("f", "ref")
 
 
 @query("q_bank_union", f"WITH {BANK} SELECT ref, name FROM bank UNION ALL SELECT ref + (SELECT max(ref) + 1 FROM bank), name FROM bank")
@@ -244,10 +246,11 @@ def q_bank_union(spark, d):
     return P.banks_united(bank, bank, (8, 8))[0]
 
 
-@query("q_stream_concat", f"WITH {BANK} SELECT f, ref FROM fr UNION ALL SELECT f + 81, ref + 101 FROM fr WHERE f < 20")
+@query("q_stream_concat", f"WITH {BANK} SELECT f, ref FROM fr UNION ALL SELECT f + 81, ref + (SELECT max(ref) + 1 FROM bank) FROM fr WHERE f < 20")
 def q_stream_concat(spark, d):
-    _, frames = bank_and_frames(spark, d)
-    return P.streams_joined(frames, frames.where("f < 20"), 101).select("f", "ref")
+    bank, frames = bank_and_frames(spark, d)
+    _, offset = P.banks_united(bank, bank, (8, 8))
+    return P.streams_joined(frames, frames.where("f < 20"), offset).select("f", "ref")
 
 
 @query("q_distances", f"WITH {PAL} SELECT a.idx, b.idx AS other, CAST((a.r - b.r) * (a.r - b.r) + (a.g - b.g) * (a.g - b.g) + (a.b - b.b) * (a.b - b.b) AS BIGINT) AS dist FROM pal a JOIN pal b ON a.idx < b.idx")
@@ -327,11 +330,16 @@ def q_median_cut(spark, d):
 
 @query("q_farthest_points")
 def q_farthest_points(spark, d):
-    p = palette(spark, d, 256)
-    rows = [(r.r, r.g, r.b, r.weight) for r in p.orderBy("idx").collect()]  # 256 at most
-    top = max((r[3] for r in rows), default=1)
-    chosen = G.farthest_points([(*r[:3], r[3] / top) for r in rows], 16)
-    return spark.createDataFrame([(i, int(k), *map(int, rows[k][:3])) for i, k in enumerate(chosen)], "pick int, idx int, r int, g int, b int")
+    p = kept(palette(spark, d, 256), "palette")
+    scored = p.crossJoin(F.broadcast(p.agg(F.max("weight").alias("top")))).withColumn("score", F.col("weight") / F.col("top"))
+    return M.spread(scored, 16).select("pick", "idx", "r", "g", "b")
+
+
+@query("q_spread_colours")
+def q_spread_colours(spark, d):
+    """64 of all colours that lie far from each other."""
+    colours = P.argb(voxels(spark, d).select("r", "g", "b").distinct()).withColumn("score", F.lit(0.0))
+    return M.spread(colours, 64, "argb").select("pick", "argb", "r", "g", "b")
 
 
 @query("q_dither")

@@ -144,14 +144,14 @@ def export_session(layers: dict[str, DataFrame], root: str, session: str, wanted
 
 
 # ---- fixed-width records
-RECORD = "<HHHHHHI"
+RECORD = "<HHHHqq"
 
 
 def packed_cells(cells: DataFrame) -> DataFrame:
-    """cell and its 16 bytes: cell, r, g, b, n (16 bits, capped), 0, w / 1000."""
+    """cell and its 24 bytes: cell, r, g, b (16 bits each), n and w (64 bits each), so that records give back what went in."""
 
     def pack(d: pd.DataFrame) -> pd.Series:
-        return pd.Series([struct.pack(RECORD, c, r, g, b, min(n, 65_535), 0, w // 1000) for c, r, g, b, n, w in d.itertuples(index=False)])
+        return pd.Series([struct.pack(RECORD, c, r, g, b, n, w) for c, r, g, b, n, w in d.itertuples(index=False)])
 
     return cells.select("cell", F.pandas_udf(pack, "binary")(F.struct("cell", "r", "g", "b", "n", "w")).alias("record"))
 
@@ -159,9 +159,9 @@ def packed_cells(cells: DataFrame) -> DataFrame:
 def unpacked_cells(records: DataFrame) -> DataFrame:
     def unpack(s: pd.Series) -> pd.DataFrame:
         rows = [struct.unpack(RECORD, bytes(b)) for b in s]
-        return pd.DataFrame([(c, r, g, b, n, w) for c, r, g, b, n, _, w in rows], columns=["cell", "r", "g", "b", "n", "kw"]).astype("int64")
+        return pd.DataFrame(rows, columns=["cell", "r", "g", "b", "n", "w"]).astype("int64")
 
-    return records.select(F.pandas_udf(unpack, "cell long, r long, g long, b long, n long, kw long")(F.col("record")).alias("x")).select("x.*")
+    return records.select(F.pandas_udf(unpack, "cell long, r long, g long, b long, n long, w long")(F.col("record")).alias("x")).select("x.*")
 
 
 # ---- image metadata

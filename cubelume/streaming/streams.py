@@ -9,19 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-BLOCK = 100_000
+from ..operators.ordered import numbered
 
 
 def batches_of(df: DataFrame, size: int, *order: str, out: str = "batch") -> DataFrame:
-    """df with the number of the count window of `size` rows each row is in, by a total order.
-
-    Two steps: rows are dealt by ranges of the order and numbered within each, then each range's count moves the later ones on; no
-    task has more than its range."""
-    dealt = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    dealt = dealt.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
-    before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = dealt.groupBy("__part").count().withColumn("__start", before).drop("count")
-    return dealt.join(F.broadcast(starts), "__part").withColumn(out, F.floor((F.col("__start") + F.col("__row")) / size).cast("long")).drop("__part", "__row", "__start")
+    """df with the number of the count window of `size` rows each row is in, by a total order: rows are numbered by ranges, which are
+    written once, so that no task has more than its range."""
+    return numbered(df, *order, out="__n").withColumn(out, F.expr(f"(__n - 1) div {size}").cast("long")).drop("__n")
 
 
 def event_stream(spark: SparkSession, sf_dir: str, table: str = "events", per_trigger: int = 1) -> DataFrame:

@@ -82,9 +82,6 @@ def test_quantisers_and_selection():
         assert 0 < len(p) <= 32 and all(0 <= v <= 255 for c in p for v in c)
         assert make(colours[:5], 32) and len(make(colours[:5], 32)) <= 5 and make([], 4) == []
     assert len(grouped.octree(colours, 32, True)) <= 32
-    picks = grouped.farthest_points([(*c[:3], 0.0) for c in colours], 10)
-    assert len(set(picks)) == 10 and grouped.farthest_points([], 3) == []
-    assert grouped.greedy_pairs([(1, 5, 2.0), (1, 6, 1.0), (2, 6, 0.5), (2, 5, 3.0)]) == [(1, 6, 1.0), (2, 5, 3.0)]
 
 
 def test_dither_keeps_exact_colours():

@@ -42,7 +42,10 @@ def test_sessions_in_a_store(spark, sf_dir, tmp_path):
 def test_records_round_trip(spark, sf_dir):
     cells = centroids(voxels(spark, sf_dir))
     back = files.unpacked_cells(files.packed_cells(cells))
-    assert back.join(cells.select("cell", F.col("r").alias("x")), "cell").where("r != x").count() == 0 and back.count() == cells.count()
+    names = ["cell", "r", "g", "b", "n", "w"]
+    assert sorted(map(tuple, back.select(names).collect())) == sorted(map(tuple, cells.select(names).collect()))
+    large = spark.createDataFrame([(728, 255, 0, 1, 1 << 40, (1 << 62) + 1)], "cell int, r int, g int, b int, n long, w long")
+    assert tuple(files.unpacked_cells(files.packed_cells(large)).first()) == (728, 255, 0, 1, 1 << 40, (1 << 62) + 1)
 
 
 def test_image_metadata(spark, tmp_path):
