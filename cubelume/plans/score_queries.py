@@ -11,6 +11,7 @@ from ..functions import vectors as V
 from ..operators import cells as C
 from ..operators import nearest as N
 from ..operators import windows as W
+from ..operators.neighbours import all_neighbours
 from ..operators.ordered import running, trailing_max
 from ..sources.cubes import CELLS, REWARD, VOXEL, load, rewards, voxels
 from .cube_queries import EDGE, MOVE, cells
@@ -215,15 +216,25 @@ def q_quality_tiers(spark, d):
 
 
 # ---- vectors
-@query("q_knn_embeddings", """WITH q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT query, vec_id AS neighbour, list_transform(range(1, len(q) + 1), lambda i: (embedding[i]::DOUBLE - q[i]) * (embedding[i]::DOUBLE - q[i])) AS dd,
+KNN = """WITH q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT query, vec_id AS neighbour, list_transform(range(1, len(q) + 1), lambda i: (embedding[i]::DOUBLE - q[i]) * (embedding[i]::DOUBLE - q[i])) AS dd,
  list_sum(list_transform(range(1, len(q) + 1), lambda i: embedding[i]::DOUBLE * q[i]::DOUBLE)) AS dt, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS n1, sqrt(list_sum(list_transform(q, lambda x: x::DOUBLE * x))) AS n2 FROM embeddings JOIN q ON vec_id <> query),
- s AS (SELECT query, neighbour, round(sqrt(list_sum(dd)) * (2 - dt / (n1 * n2)), 6) AS score FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score, neighbour) AS rank FROM s) SELECT query, neighbour, score, CAST(rank AS INT) AS rank FROM o WHERE rank <= 5""")
+ s AS (SELECT query, neighbour, round(sqrt(list_sum(dd)) * (2 - dt / (n1 * n2)), 6) AS score FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score, neighbour) AS rank FROM s) SELECT query, neighbour, score, CAST(rank AS INT) AS rank FROM o WHERE rank <= 5"""
+
+
+@query("q_knn_embeddings", KNN)
 def q_knn_embeddings(spark, d):
     e = load(spark, d, "embeddings")
     found = N.knn(e, e.where("vec_id % 100 = 0"), 20).withColumn("score", F.round("score", 6))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "neighbour"))).where("rank <= 5")
 
 
+@query("q_knn_all", KNN.replace("WHERE vec_id % 100 = 0", ""))
+def q_knn_all(spark, d):
+    """The five nearest of every vector (twenty before scores are rounded)."""
+    found = all_neighbours(load(spark, d, "embeddings"), 20).withColumn("score", F.round("score", 6))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "neighbour"))).where("rank <= 5")
+
+
 @query("q_label_centroid", "WITH x AS (SELECT label, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings) SELECT label, CAST(i AS INT) AS i, round(avg(v::DOUBLE), 6) AS mean, count(*) AS n FROM x GROUP BY label, i")
 def q_label_centroid(spark, d):
     e = load(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
