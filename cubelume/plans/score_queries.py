@@ -270,12 +270,29 @@ def q_low_rank(spark, d):
     return e.select("vec_id", F.transform(V.low_rank(rows, up, F.col("embedding"), 0.5), lambda x: F.round(x, 6)).alias("out"))
 
 
+def samples(spark, d) -> DataFrame:
+    """Scored samples with the variances of their nine slices of weights."""
+    return scored(spark, d).withColumn("variances", F.array(*[F.col("id") * (2 * t + 3) % 100 / 400.0 for t in range(9)]))
+
+
+@query("q_gene_gradients", f"""WITH {SCORES}, o AS (SELECT *, (row_number() OVER (ORDER BY ts, id) - 1) // 10 AS batch, count(*) OVER () AS every FROM s WHERE total >= 0.1)
+ SELECT CAST(batch AS BIGINT) AS batch, content, count(*) AS n, round(avg((total - 0.5) * CASE WHEN (id * 3 % 100) / 400.0::DOUBLE > 0.1 THEN 0.1::DOUBLE ELSE -0.1::DOUBLE END), 8) AS first_slice,
+ round(avg((total - 0.5) * CASE WHEN (id * 19 % 100) / 400.0::DOUBLE > 0.1 THEN 0.1::DOUBLE ELSE -0.1::DOUBLE END), 8) AS last_slice, round(avg((total - 0.5) * 0.02::DOUBLE), 8) AS temperature, round(avg((perceptual - 0.5) * 0.01::DOUBLE), 8) AS black, round(avg(power((total - 0.5) * 0.1::DOUBLE, 2)), 8) AS importance
+ FROM o WHERE content IS NOT NULL AND batch < every // 10 GROUP BY batch, content""")
+def q_gene_gradients(spark, d):
+    from ..operators.training import batch_gradients
+
+    g = batch_gradients(samples(spark, d), "content", "ts", "id")
+    at = lambda i: F.round(F.col("gradient")[i], 8)
+    return g.select("batch", "content", "n", at(0).alias("first_slice"), at(8).alias("last_slice"), at(9).alias("temperature"), at(10).alias("black"), F.round(F.col("importance")[0], 8).alias("importance"))
+
+
 @query("q_gene_training")
 def q_gene_training(spark, d):
-    """One clipped, penalised momentum step for each content type, from the mean reward of its samples."""
-    from ..operators.training import train_step
+    """The parameters of each content type's gene after all whole batches."""
+    from ..operators.training import batch_gradients, trained
 
-    return train_step(scored(spark, d).where("content IS NOT NULL"), "content", "total", ["ts", "id"])
+    return trained(batch_gradients(samples(spark, d), "content", "ts", "id"), "content")
 
 
 # ---- sessions
