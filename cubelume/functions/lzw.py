@@ -2,51 +2,63 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 
 def min_bits(colours: int) -> int:
     return max(2, (max(colours, 1) - 1).bit_length())
 
 
 def encode(data: bytes, bits: int = 8) -> bytes:
-    """The size grows when the next free code no longer fits; at 4096 codes the table is cleared."""
+    """The size grows when the next free code no longer fits; at 4096 codes the table is cleared. A word is its code; a longer one is found by
+    code and byte in one number."""
     clear, end = 1 << bits, (1 << bits) + 1
-    out, acc, filled = bytearray(), 0, 0
-    size, table, free = bits + 1, {bytes([i]): i for i in range(clear)}, end + 1
-
-    def put(code: int) -> None:
-        nonlocal acc, filled
-        acc |= code << filled
-        filled += size
-        while filled >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            filled -= 8
-
-    put(clear)
-    word = b""
+    if data and max(data) >= clear:
+        raise ValueError(f"a value above {clear - 1}")
+    codes, sizes = [clear], [bits + 1]
+    size, table, free, grows = bits + 1, {}, end + 1, 1 << (bits + 1)
+    find, code = table.get, -1
     for v in data:
-        longer = word + bytes([v])
-        if longer in table:
-            word = longer
+        if code < 0:
+            code = v
             continue
-        put(table[word])
+        key = code << 8 | v
+        longer = find(key)
+        if longer is not None:
+            code = longer
+            continue
+        codes.append(code)
+        sizes.append(size)
         if free < 4096:
-            table[longer] = free
+            table[key] = free
             free += 1
-            if free > 1 << size and size < 12:
+            if free > grows and size < 12:
                 size += 1
+                grows <<= 1
         else:
-            put(clear)
-            size, table, free = bits + 1, {bytes([i]): i for i in range(clear)}, end + 1
-        word = bytes([v])
-    if word:
-        put(table[word])
+            codes.append(clear)
+            sizes.append(size)
+            size, free, grows = bits + 1, end + 1, 1 << (bits + 1)
+            table.clear()
+        code = v
+    if code >= 0:
+        codes.append(code)
+        sizes.append(size)
         if free == 1 << size and size < 12:  # the reader has added one more by now
             size += 1
-    put(end)
-    if filled:
-        out.append(acc & 255)
-    return bytes(out)
+    codes.append(end)
+    sizes.append(size)
+    return _packed_bits(np.array(codes, np.int64), np.array(sizes, np.int64))
+
+
+def _packed_bits(codes: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Codes of 12 bits at most, the lowest bit first."""
+    at = np.cumsum(sizes) - sizes
+    shifted = codes << (at & 7)
+    out = np.zeros(int(at[-1] + sizes[-1] + 7) // 8 + 3, np.int64)
+    for k in range(3):
+        np.bitwise_or.at(out, (at >> 3) + k, shifted >> (8 * k) & 255)
+    return out[: int(at[-1] + sizes[-1] + 7) // 8].astype(np.uint8).tobytes()
 
 
 def decode(coded: bytes, bits: int = 8) -> bytes:

@@ -11,15 +11,15 @@ from ..operators import cells as C
 from ..operators import nearest as N
 from ..operators import palettes as P
 from ..operators import spatial as S
-from ..sources.cubes import CELLS, RINGS, VOXEL, dense_cube, load, voxels
+from ..sources.cubes import CELLS, FILLED, VOXEL, filled, load, voxels
 from .cube_queries import cells
 from .palette_queries import NEAR, palette
 from .registry import query
 
 
-@query("q_trace", f"WITH {RINGS} SELECT string_agg(f || ':' || r || ',' || g || ',' || b, ' ' ORDER BY f) AS trace FROM cube WHERE y = 10 AND x = 20")
+@query("q_trace", f"WITH {FILLED} SELECT string_agg(f || ':' || r || ',' || g || ',' || b, ' ' ORDER BY f) AS trace FROM cube WHERE y = 10 AND x = 20")
 def q_trace(spark, d):
-    t = S.trace(dense_cube(spark, "rings"), 10, 20)
+    t = S.trace(filled(spark, d), 10, 20)
     one = lambda e: F.concat(e["f"].cast("string"), F.lit(":"), F.concat_ws(",", *[e[c].cast("string") for c in "rgb"]))
     return t.select(F.array_join(F.transform("trace", one), " ").alias("trace"))
 

@@ -9,11 +9,12 @@ from ..operators import digests as D
 from ..operators import grouped as G
 from ..operators import nearest as N
 from ..operators import spatial as S
-from ..sources.cubes import CELLS, RINGS, VOXEL, dense_cube, voxels
+from ..runtime import kept
+from ..sources.cubes import CELLS, FILLED, VOXEL, filled, voxels
 from .cube_queries import MOVE, cells
 from .registry import query
 
-DIGEST = RINGS + """, px AS (SELECT *, CAST(f // 9 * 81 + y // 9 * 9 + x // 9 AS INT) AS cell, f % 9 AS o, r * 299 + g * 587 + b * 114 AS luma, greatest(r, g, b) AS top, least(r, g, b) AS low FROM cube),
+DIGEST = FILLED + """, px AS (SELECT *, CAST(f // 9 * 81 + y // 9 * 9 + x // 9 AS INT) AS cell, f % 9 AS o, r * 299 + g * 587 + b * 114 AS luma, greatest(r, g, b) AS top, least(r, g, b) AS low FROM cube),
  pm AS (SELECT *, top - low AS d, CASE WHEN top + low <= 255 THEN top + low ELSE 510 - top - low END AS whole, CASE WHEN o > 0 THEN abs(luma - lag(luma) OVER (PARTITION BY y, x ORDER BY f)) ELSE 0 END AS moved FROM px),
  pb AS (SELECT cell, o, luma, moved, least(8, luma * 9 // 255000) AS lb, CASE WHEN d > 0 THEN least(8, d * 9 // whole) ELSE 0 END AS sb, CASE WHEN d * 10 > whole THEN least(8, CASE WHEN top = r AND g >= b THEN (g - b) * 9
  WHEN top = r THEN (g - b) * 9 + d * 54 WHEN top = g THEN (b - r) * 9 + d * 18 ELSE (r - g) * 9 + d * 36 END // (d * 6)) END AS hb FROM pm),
@@ -24,21 +25,21 @@ DIGEST = RINGS + """, px AS (SELECT *, CAST(f // 9 * 81 + y // 9 * 9 + x // 9 AS
  fr AS (SELECT cell, CAST(o AS INT) AS k, sum(moved)::DOUBLE / 255000.0::DOUBLE / count(*) AS change, (max(luma) - min(luma)) / 255000.0::DOUBLE AS contrast FROM pb GROUP BY cell, o)"""
 
 
-def ring_digests(spark):
-    return D.digests(dense_cube(spark, "rings"))
+def table_digests(spark, d):
+    return D.digests(filled(spark, d))
 
 
 @query("q_cell_digest", f"""WITH {DIGEST} SELECT CAST(cell AS INT) AS cell, feature, k, round(value, 6) AS value FROM hg UNION ALL SELECT cell, 'change', k, round(change, 6) FROM fr UNION ALL SELECT cell, 'contrast', k, round(contrast, 6) FROM fr
  UNION ALL SELECT cell, 'stability', k, round(1 - change / greatest(max(change) OVER (PARTITION BY cell), 0.001::DOUBLE), 6) FROM fr""")
 def q_cell_digest(spark, d):
-    return D.digest_values(ring_digests(spark))
+    return D.digest_values(table_digests(spark, d))
 
 
 @query("q_top_cells", f"""WITH {DIGEST}, v AS (SELECT 'activity' AS measure, cell, round(sum(change) / 9, 9) AS value FROM fr GROUP BY cell UNION ALL SELECT 'contrast', cell, round(sum(contrast) / 9, 9) FROM fr GROUP BY cell
  UNION ALL SELECT 'luminance', CAST(cell AS INT), round(sum(value * k / 8.0::DOUBLE), 9) FROM hg WHERE feature = 'luminance' GROUP BY cell), o AS (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY value DESC, cell) AS rank FROM v)
  SELECT measure, cell, round(value, 6) AS value, CAST(rank AS INT) AS rank FROM o WHERE rank <= 10""")
 def q_top_cells(spark, d):
-    return D.top_cells(ring_digests(spark))
+    return D.top_cells(table_digests(spark, d))
 
 
 @query("q_sample_cells", f"WITH {CELLS} SELECT cell, r, g, b, n FROM cells WHERE (t IN (0, 8) AND y IN (0, 8) AND x IN (0, 8)) OR (t = 4 AND y = 4 AND x = 4)")
@@ -81,7 +82,7 @@ def q_colour_report(spark, d):
 def q_dual_palette_flow(spark, d):
     """From a cube to a GIF: digest, colour space, palettes by place and by time, their merge, indices of all 81 frames, the file and its
     check. One row: the report's numbers, those of the merge, and what the file holds."""
-    cube = dense_cube(spark, "rings")
+    cube = kept(filled(spark, d), "cube")
     spatial, temporal = dual(cube)
     merged = D.merged_palettes(spatial, temporal)
     rows = [(r.idx, r.argb, r.r, r.g, r.b, r.kind) for r in merged.collect()]  # 256 at most, used by the steps that follow
@@ -100,7 +101,7 @@ def q_dual_palette_flow(spark, d):
 @query("q_resamplers")
 def q_resamplers(spark, d):
     """f, method, y, x, r, g, b by each method of large and small reductions, and by the one that suits the scale."""
-    cube, out = dense_cube(spark, "rings"), None
+    cube, out = kept(filled(spark, d), "cube"), None
     for method, n in (("bicubic", 27), ("mitchell", 16), ("hermite", 40), ("two_stage", 16), (None, 9), (None, 60)):
         p = S.resampled(cube, 81, n, method).withColumn("method", F.lit(method or f"auto_{S.resampler(81, n)}"))
         out = p if out is None else out.unionByName(p)

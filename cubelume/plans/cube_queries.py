@@ -9,7 +9,8 @@ from ..functions.color import pack
 from ..operators import cells as C
 from ..operators import spatial as S
 from ..operators import windows as W
-from ..sources.cubes import CELLS, GRADIENT, RINGS, VOXEL, dense_cube, voxels
+from ..runtime import kept
+from ..sources.cubes import CELLS, FILLED, GRADIENT, VOXEL, dense_cube, filled, voxels
 from .registry import query
 
 
@@ -157,9 +158,9 @@ def q_motion_rank(spark, d):
     return C.motion(cells(spark, d)).withColumn("k", F.round("motion", 9)).orderBy(F.desc("k"), "cell").limit(20).select("cell", F.round("motion", 6).alias("motion"))
 
 
-@query("q_lineage", "SELECT CAST(f AS INT) AS f, CAST(f // 9 AS INT) AS layer, CAST(f % 9 AS INT) AS \"offset\", CAST(f // 9 * 81 + i AS INT) AS cell FROM range(81) a(f), range(81) b(i)")
+@query("q_lineage", f"WITH {VOXEL} SELECT f, CAST(f // 9 AS INT) AS layer, CAST(f % 9 AS INT) AS \"offset\", CAST(f // 9 * 81 + i AS INT) AS cell FROM (SELECT DISTINCT f FROM voxel), range(81) b(i)")
 def q_lineage(spark, d):
-    return C.lineage(spark.range(81).select(F.col("id").cast("int").alias("f")))
+    return C.lineage(voxels(spark, d).select("f").distinct())
 
 
 @query("q_presence_entropy", f"""WITH {VOXEL}, k AS (SELECT r // 32 * 64 + g // 32 * 8 + b // 32 AS colour, f // 9 * 81 + y // 9 * 9 + x // 9 AS cell, count(*) AS n FROM voxel GROUP BY ALL),
@@ -240,27 +241,27 @@ def q_crop_resize(spark, d):
     return S.crop_resize(px, 120, 100)
 
 
-@query("q_box_downsample", f"WITH {RINGS} SELECT f, CAST(y * 27 // 81 AS INT) AS y, CAST(x * 27 // 81 AS INT) AS x, CAST(sum(r) // count(*) AS INT) AS r, CAST(sum(g) // count(*) AS INT) AS g, CAST(sum(b) // count(*) AS INT) AS b FROM cube WHERE f < 9 GROUP BY f, y * 27 // 81, x * 27 // 81")
+@query("q_box_downsample", f"WITH {FILLED} SELECT f, CAST(y * 27 // 81 AS INT) AS y, CAST(x * 27 // 81 AS INT) AS x, CAST(sum(r) // count(*) AS INT) AS r, CAST(sum(g) // count(*) AS INT) AS g, CAST(sum(b) // count(*) AS INT) AS b FROM cube GROUP BY f, y * 27 // 81, x * 27 // 81")
 def q_box_downsample(spark, d):
-    return S.box(dense_cube(spark, "rings").where("f < 9"), 81, 27)
+    return S.box(filled(spark, d), 81, 27)
 
 
-@query("q_multi_resolution", f"""WITH {RINGS}, s AS (SELECT 'small' AS size, 40 AS n UNION ALL SELECT 'medium', 64 UNION ALL SELECT 'tiny', 20)
- SELECT size, f, CAST(y * n // 81 AS INT) AS y, CAST(x * n // 81 AS INT) AS x, CAST(sum(r) // count(*) AS INT) AS r, CAST(sum(g) // count(*) AS INT) AS g, CAST(sum(b) // count(*) AS INT) AS b FROM cube, s WHERE f < 2 GROUP BY size, f, y * n // 81, x * n // 81""")
+@query("q_multi_resolution", f"""WITH {FILLED}, s AS (SELECT 'small' AS size, 40 AS n UNION ALL SELECT 'medium', 64 UNION ALL SELECT 'tiny', 20)
+ SELECT size, f, CAST(y * n // 81 AS INT) AS y, CAST(x * n // 81 AS INT) AS x, CAST(sum(r) // count(*) AS INT) AS r, CAST(sum(g) // count(*) AS INT) AS g, CAST(sum(b) // count(*) AS INT) AS b FROM cube, s GROUP BY size, f, y * n // 81, x * n // 81""")
 def q_multi_resolution(spark, d):
-    cube = dense_cube(spark, "rings").where("f < 2")
+    cube = filled(spark, d)
     out = [S.box(cube, 81, n).withColumn("size", F.lit(name)) for name, n in (("small", 40), ("medium", 64), ("tiny", 20))]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("q_bilinear")
 def q_bilinear(spark, d):
-    return S.bilinear(dense_cube(spark, "gradient").where("f < 9"), 81, 40)
+    return S.bilinear(filled(spark, d), 81, 40)
 
 
 @query("q_lanczos3")
 def q_lanczos3(spark, d):
-    return S.lanczos3(dense_cube(spark, "rings").where("f < 9"), 81, 40)
+    return S.lanczos3(filled(spark, d), 81, 40)
 
 
 @query("q_synthetic_gradient", f"WITH {GRADIENT} SELECT f, count(*) AS n, count(DISTINCT r * 65536 + g * 256 + b) AS colours, CAST(sum(r + g + b) AS BIGINT) AS light FROM cube GROUP BY f")
@@ -269,12 +270,12 @@ def q_synthetic_gradient(spark, d):
     return c.groupBy("f").agg(F.count("*").alias("n"), F.count_distinct(pack(F.col("r"), F.col("g"), F.col("b"), None)).alias("colours"), F.sum(F.col("r") + F.col("g") + F.col("b")).alias("light"))
 
 
-@query("q_ssim", f"""WITH {RINGS}, p AS (SELECT f, y, x, (r * 299 + g * 587 + b * 114) / 1000.0::DOUBLE AS u, (r // 16 * 16 * 299 + g // 16 * 16 * 587 + b // 16 * 16 * 114) / 1000.0::DOUBLE AS v FROM cube WHERE f < 3),
+@query("q_ssim", f"""WITH {FILLED}, p AS (SELECT f, y, x, (r * 299 + g * 587 + b * 114) / 1000.0::DOUBLE AS u, (r // 16 * 16 * 299 + g // 16 * 16 * 587 + b // 16 * 16 * 114) / 1000.0::DOUBLE AS v FROM cube),
  w AS (SELECT CAST(i // 19 AS INT) AS wy, CAST(i % 19 AS INT) AS wx FROM range(361) t(i)),
  s AS (SELECT f, wy, wx, avg(u) AS mu, avg(v) AS mv, var_pop(u) AS vu, var_pop(v) AS vv, covar_pop(u, v) AS c FROM p JOIN w ON y BETWEEN wy * 4 AND wy * 4 + 7 AND x BETWEEN wx * 4 AND wx * 4 + 7 GROUP BY ALL)
  SELECT f, round(avg((2 * mu * mv + 6.5025::DOUBLE) * (2 * c + 58.5225::DOUBLE) / ((mu * mu + mv * mv + 6.5025::DOUBLE) * (vu + vv + 58.5225::DOUBLE))), 6) AS ssim, count(*) AS windows FROM s GROUP BY f""")
 def q_ssim(spark, d):
-    a = dense_cube(spark, "rings").where("f < 3")
+    a = kept(filled(spark, d), "cube")
     b = a.select("f", "y", "x", *[(F.floor(F.col(c) / 16) * 16).cast("int").alias(c) for c in "rgb"])
     return S.ssim(a, b)
 

@@ -15,7 +15,7 @@ from ..operators import spatial as S
 from ..operators import trees as T
 from ..operators import windows as W
 from ..runtime import kept
-from ..sources.cubes import CELLS, VOXEL, dense_cube, load, voxels
+from ..sources.cubes import CELLS, FILLED, VOXEL, filled, load, voxels
 from .cube_queries import cells
 from .registry import query
 
@@ -210,9 +210,9 @@ def q_allocation(spark, d):
     return W.largest_remainder(s, "w", "key", 256).select("key", "allocated")
 
 
-@query("q_frame_binding", "SELECT CAST(f AS INT) AS f, 'cycle' AS how, CAST(2 + f % 5 AS INT) AS ref FROM range(81) t(f) UNION ALL SELECT CAST(f AS INT), 'uniform', 3 FROM range(81) t(f) UNION ALL SELECT CAST(f AS INT), 'identity', CAST(f AS INT) FROM range(81) t(f)")
+@query("q_frame_binding", f"WITH {VOXEL}, fs AS (SELECT DISTINCT f FROM voxel) SELECT f, 'cycle' AS how, CAST(2 + f % 5 AS INT) AS ref FROM fs UNION ALL SELECT f, 'uniform', 3 FROM fs UNION ALL SELECT f, 'identity', f FROM fs")
 def q_frame_binding(spark, d):
-    f = spark.range(81).select(F.col("id").cast("int").alias("f"))
+    f = voxels(spark, d).select("f").distinct()
     out = [P.bound(f, n, how, low=2, uniform=3).withColumn("how", F.lit(how)) for how, n in (("cycle", 5), ("uniform", 5), ("identity", 81))]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
@@ -344,18 +344,18 @@ def q_spread_colours(spark, d):
 
 @query("q_dither")
 def q_dither(spark, d):
-    small = S.box(dense_cube(spark, "wave").where("f < 3"), 81, 27)
+    small = S.box(filled(spark, d), 81, 27)
     return G.dithered(small, G.argb_list(palette(spark, d, 16)), 27)
 
 
 @query("q_dither_adaptive")
 def q_dither_adaptive(spark, d):
-    small = S.box(dense_cube(spark, "wave").where("f < 3"), 81, 27).withColumn("weight", (F.col("x") + F.col("y")) / 54.0)
+    small = S.box(filled(spark, d), 81, 27).withColumn("weight", (F.col("x") + F.col("y")) / 54.0)
     return G.dithered(small, G.argb_list(palette(spark, d, 16)), 27, "weight")
 
 
-def raster(spark, d, n: int = 4) -> DataFrame:
-    return G.rasters(N.by_lookup(dense_cube(spark, "wave").where(f"f < {n}"), palette(spark, d)).select("f", "y", "x", "idx"))
+def raster(spark, d) -> DataFrame:
+    return G.rasters(N.by_lookup(filled(spark, d), palette(spark, d)).select("f", "y", "x", "idx"))
 
 
 @query("q_lzw_roundtrip", f"WITH {PAL} SELECT doc_id, octet_length(encode(text)) AS n, true AS same FROM documents WHERE strlen(text) > 0".replace(f"WITH {PAL} ", ""))
@@ -367,11 +367,11 @@ def q_lzw_roundtrip(spark, d):
 
 @query("q_compression_stats")
 def q_compression_stats(spark, d):
-    c = raster(spark, d, 9).select(F.octet_length("indices").alias("raw"), F.octet_length(G.lzw_encoded(F.col("indices"))).alias("coded"))
+    c = raster(spark, d).select(F.octet_length("indices").alias("raw"), F.octet_length(G.lzw_encoded(F.col("indices"))).alias("coded"))
     return c.agg(F.sum("raw").alias("raw"), F.sum("coded").alias("coded"), F.round(F.sum("coded") / F.sum("raw"), 6).alias("ratio"), F.sum(F.ceil(F.col("coded") / 255)).alias("sub_blocks"), F.count_if(F.col("coded") == 0).alias("empty"))
 
 
-@query("q_gif_roundtrip", "SELECT 0 AS part, true AS valid, CAST(81 AS INT) AS width, CAST(81 AS INT) AS height, CAST(4 AS INT) AS frames")
+@query("q_gif_roundtrip", f"WITH {FILLED} SELECT 0 AS part, true AS valid, max(x) + 1 AS width, max(y) + 1 AS height, CAST(count(DISTINCT f) AS INT) AS frames FROM cube")
 def q_gif_roundtrip(spark, d):
     files = G.gifs(raster(spark, d).withColumn("part", F.lit(0)), ["part"], G.argb_list(palette(spark, d)), 81, 81)
     r = files.select("part", G.gif_report(F.col("gif")).alias("r"))

@@ -90,14 +90,21 @@ def q_share_codes(spark, d):
     return s.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("cube://g/"), F.substring(F.sha2("s_name", 256), 1, 8), F.lpad(F.least(F.lit(99), F.col("s_suppkey") % 120).cast("string"), 2, "0")).alias("code"))
 
 
-@query("q_soft_stones", """WITH v AS (SELECT i, (i * 7 % 256) AS r, (i * 13 % 256) AS g, (i * 29 % 256) AS b FROM range(512) t(i)), f AS (SELECT i, (r + g + b) / 765.0::DOUBLE AS l, CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b)::DOUBLE ELSE 0 END AS s, greatest(r, g, b) / 255.0::DOUBLE AS e, r, g, b FROM v),
+COLOURS = "v AS (SELECT DISTINCT CAST(r * 65536 + g * 256 + b AS INT) AS i, r, g, b FROM voxel)"
+
+
+def colours(spark, d) -> DataFrame:
+    """i, r, g, b: the distinct colours of the table, by number."""
+    return voxels(spark, d).select("r", "g", "b").distinct().withColumn("i", K.pack(*(F.col(c) for c in "rgb"), None).cast("int"))
+
+
+@query("q_soft_stones", f"WITH {VOXEL}, {COLOURS}" + """, f AS (SELECT i, (r + g + b) / 765.0::DOUBLE AS l, CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b)::DOUBLE ELSE 0 END AS s, greatest(r, g, b) / 255.0::DOUBLE AS e, r, g, b FROM v),
  q AS (SELECT *, 0.6 * l + 0.4 * e AS x, 0.7 * (1 - l) AS y, 0.5 - abs(l - 0.5) * 0.3 + s * 0.2 AS z FROM f), e AS (SELECT *, exp((x - greatest(x, y, z)) / 0.5) AS ex, exp((y - greatest(x, y, z)) / 0.5) AS ey, exp((z - greatest(x, y, z)) / 0.5) AS ez FROM q)
  SELECT CAST(i AS INT) AS i, round(ex / (ex + ey + ez), 9) AS black, round(ey / (ex + ey + ez), 9) AS white, round(ez / (ex + ey + ez), 9) AS empty,
  (['white','white','empty','white','empty','empty','empty','empty','black','white','empty','empty','empty','empty','empty','empty','empty','black','empty','empty','black','empty','empty','black','black','black','black'])[CAST(least(2, r // 85) * 9 + least(2, g // 85) * 3 + least(2, b // 85) + 1 AS INT)] AS codon,
  CASE WHEN r < 85 THEN 'black' WHEN r < 170 THEN 'white' ELSE 'empty' END AS of_index FROM e""")
 def q_soft_stones(spark, d):
-    i = F.col("i")
-    v = spark.range(512).select(F.col("id").cast("int").alias("i")).withColumns({"r": i * 7 % 256, "g": i * 13 % 256, "b": i * 29 % 256})
+    v = colours(spark, d)
     c = [F.col(x) for x in "rgb"]
     p = R.soft_stones(K.brightness(*c), K.saturation(*c), F.greatest(*c) / 255.0, 0.6, 0.3, 0.5)
     return v.select("i", *[F.round(x, 9).alias(n) for x, n in zip(p, ("black", "white", "empty"), strict=True)], R.codon_stone(*c).alias("codon"), R.stone_of_index(F.col("r")).alias("of_index"))
@@ -180,24 +187,22 @@ def q_delta_e(spark, d):
     return s.groupBy("t").agg(F.round(F.avg("delta"), 6).alias("delta_e"))
 
 
-@query("q_lab", """WITH v AS (SELECT CAST(i AS INT) AS i, i * 37 % 256 AS r, i * 59 % 256 AS g, i * 83 % 256 AS b FROM range(256) t(i)),
+@query("q_lab", f"WITH {VOXEL}, {COLOURS}" + """,
  l AS (SELECT i, CASE WHEN r / 255.0::DOUBLE > 0.04045 THEN pow((r / 255.0::DOUBLE + 0.055) / 1.055, 2.4) ELSE r / 255.0::DOUBLE / 12.92 END * 100 AS r, CASE WHEN g / 255.0::DOUBLE > 0.04045 THEN pow((g / 255.0::DOUBLE + 0.055) / 1.055, 2.4) ELSE g / 255.0::DOUBLE / 12.92 END * 100 AS g, CASE WHEN b / 255.0::DOUBLE > 0.04045 THEN pow((b / 255.0::DOUBLE + 0.055) / 1.055, 2.4) ELSE b / 255.0::DOUBLE / 12.92 END * 100 AS b FROM v),
  x AS (SELECT i, (r * 0.4124564 + g * 0.3575761 + b * 0.1804375) / 95.047 AS x, (r * 0.2126729 + g * 0.7151522 + b * 0.0721750) / 100 AS y, (r * 0.0193339 + g * 0.1191920 + b * 0.9503041) / 108.883 AS z FROM l),
  f AS (SELECT i, CASE WHEN x > 0.008856 THEN pow(x, 1.0::DOUBLE / 3) ELSE 7.787 * x + 16.0::DOUBLE / 116 END AS x, CASE WHEN y > 0.008856 THEN pow(y, 1.0::DOUBLE / 3) ELSE 7.787 * y + 16.0::DOUBLE / 116 END AS y, CASE WHEN z > 0.008856 THEN pow(z, 1.0::DOUBLE / 3) ELSE 7.787 * z + 16.0::DOUBLE / 116 END AS z FROM x)
  SELECT i, round(116 * y - 16, 6) AS l, round(500 * (x - y), 6) AS a, round(200 * (y - z), 6) AS b FROM f""")
 def q_lab(spark, d):
-    i = F.col("i")
-    v = spark.range(256).select(F.col("id").cast("int").alias("i"))
-    out = K.lab(i * 37 % 256, i * 59 % 256, i * 83 % 256)
+    v = colours(spark, d)
+    out = K.lab(*(F.col(c) for c in "rgb"))
     return v.select("i", *[F.round(x, 6).alias(n) for x, n in zip(out, "lab", strict=True)])
 
 
-@query("q_contrast", """WITH v AS (SELECT CAST(i AS INT) AS i, i * 37 % 256 AS r, i * 59 % 256 AS g, i * 83 % 256 AS b FROM range(256) t(i)),
+@query("q_contrast", f"WITH {VOXEL}, {COLOURS}" + """,
  l AS (SELECT i, 0.2126 * CASE WHEN r / 255.0::DOUBLE <= 0.03928 THEN r / 255.0::DOUBLE / 12.92 ELSE pow((r / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END + 0.7152 * CASE WHEN g / 255.0::DOUBLE <= 0.03928 THEN g / 255.0::DOUBLE / 12.92 ELSE pow((g / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END + 0.0722 * CASE WHEN b / 255.0::DOUBLE <= 0.03928 THEN b / 255.0::DOUBLE / 12.92 ELSE pow((b / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END AS l FROM v)
  SELECT i, round(l, 6) AS luminance, round(1.05 / (l + 0.05), 6) AS on_white, CASE WHEN 1.05 / (l + 0.05) > 4.5 THEN 'white' ELSE 'black' END AS text FROM l""")
 def q_contrast(spark, d):
-    i = F.col("i")
-    v = spark.range(256).select(F.col("id").cast("int").alias("i")).withColumn("l", K.relative_luminance(i * 37 % 256, i * 59 % 256, i * 83 % 256))
+    v = colours(spark, d).withColumn("l", K.relative_luminance(*(F.col(c) for c in "rgb")))
     return v.select("i", F.round("l", 6).alias("luminance"), F.round(K.contrast_ratio(F.col("l"), F.lit(1.0)), 6).alias("on_white"), K.text_on(F.col("l")).alias("text"))
 
 

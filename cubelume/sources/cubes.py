@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ready
@@ -64,6 +64,16 @@ def dense_cube(spark: SparkSession, pattern: str = "gradient", side: int = SIDE)
     return keys.withColumns({"r": r.cast("int"), "g": g.cast("int"), "b": b.cast("int")})
 
 
+def filled(spark: SparkSession, sf_dir: str, side: int = 81) -> DataFrame:
+    """f, y, x, r, g, b of every place of a cube from the table: the mean colour of a place's voxels; a place without any has that of the nearest
+    earlier frame that has some there, or else of the nearest later one; black where no frame has."""
+    means = voxels(spark, sf_dir).groupBy("f", "y", "x").agg(*[F.expr(f"CAST(sum({c}) div count(*) AS INT)").alias(c) for c in "rgb"])
+    every = dense_cube(spark, "solid", side).select("f", "y", "x").join(means, ["f", "y", "x"], "left")
+    w = Window.partitionBy("y", "x").orderBy("f")  # a row a frame
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    return every.select("f", "y", "x", *[F.coalesce(F.last(c, True).over(before), F.first(c, True).over(after), F.lit(0)).alias(c) for c in "rgb"])
+
+
 def rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, ts, content, ssim, delta_e, rating (nullable), edited, accepted, bytes from events."""
     e, i = load(spark, sf_dir, "events"), F.col("event_id")
@@ -91,6 +101,14 @@ CELLS = (
  FROM (SELECT *, CAST(round(1000000 * exp(-((x % 9 - 4) * (x % 9 - 4) + (y % 9 - 4) * (y % 9 - 4)) / 12.5) * exp(-((f % 9 - 4) * (f % 9 - 4)) / 8.0)) AS BIGINT) AS w FROM voxel)
  GROUP BY ALL_KEYS)""".replace("GROUP BY ALL_KEYS", "GROUP BY f // 9, y // 9, x // 9")
 )
+FILLED = (
+    VOXEL
+    + """, vm AS (SELECT f, y, x, CAST(sum(r) // count(*) AS INT) AS r, CAST(sum(g) // count(*) AS INT) AS g, CAST(sum(b) // count(*) AS INT) AS b FROM voxel GROUP BY f, y, x),
+ cube AS (SELECT p.f, p.y, p.x, """
+    + ", ".join(f"coalesce(last_value(vm.{c} IGNORE NULLS) OVER before, first_value(vm.{c} IGNORE NULLS) OVER after, 0) AS {c}" for c in "rgb")
+    + """ FROM (SELECT CAST(i // 6561 AS INT) AS f, CAST(i // 81 % 81 AS INT) AS y, CAST(i % 81 AS INT) AS x FROM range(531441) t(i)) p LEFT JOIN vm ON p.f = vm.f AND p.y = vm.y AND p.x = vm.x
+ WINDOW before AS (PARTITION BY p.y, p.x ORDER BY p.f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), after AS (PARTITION BY p.y, p.x ORDER BY p.f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+)
 GRADIENT = "cube AS (SELECT CAST(i // 6561 AS INT) AS f, CAST(i // 81 % 81 AS INT) AS y, CAST(i % 81 AS INT) AS x, CAST(i % 81 * 255 // 80 AS INT) AS r, CAST(i // 81 % 81 * 255 // 80 AS INT) AS g, CAST(i // 6561 * 255 // 80 AS INT) AS b FROM range(531441) t(i))"
 RINGS = "cube AS (SELECT f, y, x, CAST((d + f * 5) % 256 AS INT) AS r, CAST(d * 2 % 256 AS INT) AS g, CAST(d * 3 % 256 AS INT) AS b FROM (SELECT f, y, x, (x - 40) * (x - 40) + (y - 40) * (y - 40) AS d FROM (SELECT CAST(i // 6561 AS INT) AS f, CAST(i // 81 % 81 AS INT) AS y, CAST(i % 81 AS INT) AS x FROM range(531441) t(i))))"
 REWARD = """reward AS (SELECT event_id AS id, ts, CASE WHEN event_id % 7 <> 0 THEN event_type END AS content, (event_id * 37 % 1000) / 1000.0::DOUBLE AS ssim, (event_id * 53 % 500) / 10.0::DOUBLE AS delta_e,
