@@ -32,7 +32,7 @@ def batch_gradients(samples: DataFrame, by: str, *order: str) -> DataFrame:
 
     Samples over the gate stand in one order, and each BATCH of them is a batch of all types; what is left over at the end isn't one yet. A type's gradient in a
     batch is the mean push of its samples, its importance the mean squared push. Samples with a null type, score or variances push nothing, but fill batches."""
-    b = batches_of(samples.where(F.col("total") >= GATE), BATCH, *order)
+    b = batches_of(samples.where(F.round("total", 9) >= GATE), BATCH, *order)
     full = b.groupBy("batch").agg(F.count("*").alias("__size")).where(F.col("__size") == BATCH).select("batch")
     away, seen = F.col("total") - NEUTRAL, F.col("perceptual") - NEUTRAL
     push = [away * F.when(F.col("variances")[t] > FOCUSED, ALPHA).otherwise(-ALPHA) for t in range(SLICES)]

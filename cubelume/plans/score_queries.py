@@ -233,11 +233,10 @@ def q_knn_embeddings(spark, d):
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "neighbour"))).where("rank <= 5")
 
 
-@query("q_knn_all", KNN.replace("WHERE vec_id % 100 = 0", ""))
+@query("q_knn_all", KNN.replace("WHERE vec_id % 100 = 0", "").replace(", 6) AS score", ", 9) AS score"))
 def q_knn_all(spark, d):
-    """The five nearest of every vector (twenty before scores are rounded)."""
-    found = all_neighbours(load(spark, d, "embeddings"), 20).withColumn("score", F.round("score", 6))
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "neighbour"))).where("rank <= 5")
+    """The five nearest of every vector."""
+    return all_neighbours(load(spark, d, "embeddings"), 5)
 
 
 @query("q_label_centroid", "WITH x AS (SELECT label, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings) SELECT label, CAST(i AS INT) AS i, round(avg(v::DOUBLE), 6) AS mean, count(*) AS n FROM x GROUP BY label, i")
@@ -280,16 +279,16 @@ def samples(spark, d) -> DataFrame:
     return scored(spark, d).withColumn("variances", F.array(*[F.col("id") * (2 * t + 3) % 100 / 400.0 for t in range(9)]))
 
 
-@query("q_gene_gradients", f"""WITH {SCORES}, o AS (SELECT *, (row_number() OVER (ORDER BY ts, id) - 1) // 10 AS batch, count(*) OVER () AS every FROM s WHERE total >= 0.1)
- SELECT CAST(batch AS BIGINT) AS batch, content, count(*) AS n, round(avg((total - 0.5) * CASE WHEN (id * 3 % 100) / 400.0::DOUBLE > 0.1 THEN 0.1::DOUBLE ELSE -0.1::DOUBLE END), 8) AS first_slice,
- round(avg((total - 0.5) * CASE WHEN (id * 19 % 100) / 400.0::DOUBLE > 0.1 THEN 0.1::DOUBLE ELSE -0.1::DOUBLE END), 8) AS last_slice, round(avg((total - 0.5) * 0.02::DOUBLE), 8) AS temperature, round(avg((perceptual - 0.5) * 0.01::DOUBLE), 8) AS black, round(avg(power((total - 0.5) * 0.1::DOUBLE, 2)), 8) AS importance
+@query("q_gene_gradients", f"""WITH {SCORES}, o AS (SELECT *, (row_number() OVER (ORDER BY ts, id) - 1) // 10 AS batch, count(*) OVER () AS every FROM s WHERE round(total, 9) >= 0.1)
+ SELECT CAST(batch AS BIGINT) AS batch, content, count(*) AS n, round(avg((total - 0.5) * CASE WHEN (id * 3 % 100) / 400.0::DOUBLE > 0.1 THEN 0.1::DOUBLE ELSE -0.1::DOUBLE END), 12) AS first_slice,
+ round(avg((total - 0.5) * CASE WHEN (id * 19 % 100) / 400.0::DOUBLE > 0.1 THEN 0.1::DOUBLE ELSE -0.1::DOUBLE END), 12) AS last_slice, round(avg((total - 0.5) * 0.02::DOUBLE), 12) AS temperature, round(avg((perceptual - 0.5) * 0.01::DOUBLE), 12) AS black, round(avg(power((total - 0.5) * 0.1::DOUBLE, 2)), 12) AS importance
  FROM o WHERE content IS NOT NULL AND batch < every // 10 GROUP BY batch, content""")
 def q_gene_gradients(spark, d):
     from ..operators.training import batch_gradients
 
     g = batch_gradients(samples(spark, d), "content", "ts", "id")
-    at = lambda i: F.round(F.col("gradient")[i], 8)
-    return g.select("batch", "content", "n", at(0).alias("first_slice"), at(8).alias("last_slice"), at(9).alias("temperature"), at(10).alias("black"), F.round(F.col("importance")[0], 8).alias("importance"))
+    at = lambda i: F.round(F.col("gradient")[i], 12)
+    return g.select("batch", "content", "n", at(0).alias("first_slice"), at(8).alias("last_slice"), at(9).alias("temperature"), at(10).alias("black"), F.round(F.col("importance")[0], 12).alias("importance"))
 
 
 @query("q_gene_training")
