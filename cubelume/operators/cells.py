@@ -162,3 +162,34 @@ def index_formula(cells: DataFrame) -> DataFrame:
 def lineage(frames: DataFrame) -> DataFrame:
     """frame -> layer, offset and the 81 cells it is in."""
     return frames.select("f", at("f").alias("layer"), (F.col("f") % 9).alias("offset"), F.explode(F.sequence(F.lit(0), F.lit(80))).alias("i")).select("f", "layer", "offset", (F.col("layer") * 81 + F.col("i")).cast("int").alias("cell"))
+
+
+def rgb_summary(voxels: DataFrame, *by: str) -> DataFrame:
+    """Least, most, mean and population deviation of each channel, and the number of colours. Sums are of whole numbers, so that they are exact."""
+    c = {x: F.col(x).cast("long") for x in "rgb"}
+    sums = [f for x in "rgb" for f in (F.min(x).alias(f"min_{x}"), F.max(x).alias(f"max_{x}"), F.sum(c[x]).alias(f"s_{x}"), F.sum(c[x] * c[x]).alias(f"q_{x}"))]
+    s = voxels.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(pack(c["r"], c["g"], c["b"], None)).alias("colours"), *sums)
+    n = F.col("n")
+    shown = [f for x in "rgb" for f in (f"min_{x}", f"max_{x}", F.round(F.col(f"s_{x}") / n, 6).alias(f"mean_{x}"), F.round(F.sqrt((n * F.col(f"q_{x}") - F.col(f"s_{x}") * F.col(f"s_{x}")).cast("double")) / n, 6).alias(f"deviation_{x}"))]
+    return s.select(*by, "n", "colours", *shown)
+
+
+def with_cell_weight(voxels: DataFrame, cells: DataFrame) -> DataFrame:
+    """voxels with the weight of the cell they are in (0 where that has none); cells are a cube's, 729 at most by their key."""
+    w = cells.groupBy("cell").agg(F.max("w").alias("cell_weight"))
+    return voxels.withColumn("cell", cell_key(at("f"), at("y"), at("x"))).join(F.broadcast(w), "cell", "left").withColumn("cell_weight", F.coalesce("cell_weight", F.lit(0).cast("long")))
+
+
+def looked_up(keys: DataFrame, cells: DataFrame, default: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
+    """keys (t, y, x) with r, g, b, w of their cell; keys beyond the cube, null keys and cells without voxels have the default and no weight."""
+    c = cells.groupBy("t", "y", "x").agg(*[F.max(v).alias(v) for v in ("r", "g", "b", "w")])  # 729 rows
+    out = keys.join(F.broadcast(c), ["t", "y", "x"], "left")
+    return out.withColumns({x: F.coalesce(x, F.lit(v).cast("int")) for x, v in zip("rgb", default, strict=True)} | {"w": F.coalesce("w", F.lit(0).cast("long"))})
+
+
+def whole_capture(voxels: DataFrame, frames: int = 81) -> DataFrame:
+    """frames found, missing and beyond, and whether there are exactly those from 0 to frames - 1."""
+    f = F.col("f")
+    inside, beyond = f.between(0, frames - 1), (f < 0) | (f >= frames)
+    s = voxels.agg(F.count_distinct(F.when(inside, f)).alias("found"), F.count_distinct(F.when(beyond, f)).alias("beyond"))
+    return s.select("found", (frames - F.col("found")).alias("missing"), "beyond", ((F.col("found") == frames) & (F.col("beyond") == 0)).alias("exact"))

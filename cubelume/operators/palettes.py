@@ -185,3 +185,15 @@ def override_frames(errors: DataFrame, threshold: float, most: int) -> DataFrame
 def sources_of_cells(cells: DataFrame) -> DataFrame:
     """cell with the ranges of frames, rows and columns it is made of (both ends in)."""
     return cells.select("cell", *[x for c, n in (("t", "f"), ("y", "y"), ("x", "x")) for x in ((F.col(c) * 9).cast("int").alias(f"{n}_first"), (F.col(c) * 9 + 8).cast("int").alias(f"{n}_last"))])
+
+
+def most_common(indexed: DataFrame, top: int, index: str = "idx") -> DataFrame:
+    """One row: the commonest indices with their counts, as [index]=count, ties by index."""
+    n = indexed.groupBy(index).agg(F.count("*").alias("n")).orderBy(F.desc("n"), index).limit(top)
+    e = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col(index).alias("i"))))  # top rows
+    return n.agg(F.array_join(F.transform(e, lambda x: F.concat(F.lit("["), x["i"].cast("string"), F.lit("]="), (-x["k"]).cast("string"))), ", ").alias("common"))
+
+
+def not_black(palette: DataFrame, least: int = 5) -> DataFrame:
+    """One row: colours of a palette of which a channel is above least."""
+    return palette.agg(F.count_if(F.greatest("r", "g", "b") > least).alias("not_black"))

@@ -266,10 +266,10 @@ def q_vector_merges(spark, d):
     return p.select("id", shown(V.slerp(a, b, 0.3)).alias("slerp"), shown(V.ties(a, b, 0.6)).alias("ties"), shown(V.crossover(a, b, F.col("id"), 0.5)).alias("crossover"), shown(V.mutated(a, F.col("id"), 0.1, 0.05)).alias("mutated"), shown(V.soup(F.array(a, b))).alias("soup"), shown(V.clipped(a, 0.5)).alias("clipped"), F.round(V.penalty(a, b, F.transform(a, lambda x: F.abs(x.cast("double"))), 0.4), 6).alias("penalty"))
 
 
-@query("q_low_rank")
+@query("q_low_rank", "WITH e AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS s FROM embeddings) SELECT vec_id, list_transform(range(8), lambda i: round((s * (i % 3) - 0.5::DOUBLE * s * (i % 2)) * 0.5::DOUBLE, 6)) AS out FROM e")
 def q_low_rank(spark, d):
     e = load(spark, d, "embeddings")
-    rows = F.array(*[F.transform(F.col("embedding"), lambda x, k=k: x.cast("double") * k) for k in (1.0, -0.5)])
+    rows = F.array(V.scaled(F.col("embedding"), F.lit(1.0)), V.scaled(F.col("embedding"), F.lit(-0.5)))
     up = F.array(*[F.array(F.lit(float(i % 3)), F.lit(float(i % 2))) for i in range(8)])
     return e.select("vec_id", F.transform(V.low_rank(rows, up, F.col("embedding"), 0.5), lambda x: F.round(x, 6)).alias("out"))
 

@@ -113,3 +113,17 @@ GRADIENT = "cube AS (SELECT CAST(i // 6561 AS INT) AS f, CAST(i // 81 % 81 AS IN
 RINGS = "cube AS (SELECT f, y, x, CAST((d + f * 5) % 256 AS INT) AS r, CAST(d * 2 % 256 AS INT) AS g, CAST(d * 3 % 256 AS INT) AS b FROM (SELECT f, y, x, (x - 40) * (x - 40) + (y - 40) * (y - 40) AS d FROM (SELECT CAST(i // 6561 AS INT) AS f, CAST(i // 81 % 81 AS INT) AS y, CAST(i % 81 AS INT) AS x FROM range(531441) t(i))))"
 REWARD = """reward AS (SELECT event_id AS id, ts, CASE WHEN event_id % 7 <> 0 THEN event_type END AS content, (event_id * 37 % 1000) / 1000.0::DOUBLE AS ssim, (event_id * 53 % 500) / 10.0::DOUBLE AS delta_e,
  CASE WHEN event_id % 3 <> 0 THEN CAST(event_id % 5 + 1 AS INT) END AS rating, event_id % 4 = 0 AS edited, event_id % 5 <> 0 AS accepted, event_id * 7919 % 2000000 AS bytes FROM events)"""
+
+
+def from_rows(data: Column, width: int, height: int, stride: int, depth: int = 4) -> Column:
+    """r, g, b bytes of width x height pixels out of rows of `stride` bytes with b, g, r first in each pixel of `depth` bytes. A pixel whose
+    three bytes the data doesn't hold is black; no data is a black frame."""
+    digits = F.hex(F.coalesce(data, F.lit(b"")))
+    has = F.coalesce(F.octet_length(data), F.lit(0))
+
+    def pixel(i: Column) -> Column:
+        at = F.floor(i / width) * stride + i % width * depth
+        one = lambda k: F.substring(digits, ((at + k) * 2 + 1).cast("int"), F.lit(2))
+        return F.when(at + 3 <= has, F.concat(one(2), one(1), one(0))).otherwise("000000")
+
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), pixel), ""))

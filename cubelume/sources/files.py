@@ -21,18 +21,42 @@ def search(items: DataFrame, name: str, tags: Column, text: str, any_tag: tuple[
     return items.where(F.contains(F.lower(name), F.lit(text.lower())) & tagged)
 
 
+def places(items: DataFrame, key: str, orders: dict[str, list[Column]], k: int) -> DataFrame:
+    """key and its place in each order, of all that are in the first k of any; ties go by key. The rows are numbered in each order by ranges (no global
+    window); the keys that are kept, k for each order at most, are broadcast to the orders."""
+    found = {c: kept(numbered(items, *order, key, out=c).select(key, c), "places") for c, order in orders.items()}
+    ids = reduce(DataFrame.union, [p.where(F.col(c) <= k).select(key) for c, p in found.items()]).distinct()
+    out = ids
+    for p in found.values():
+        out = out.join(p.join(F.broadcast(ids), key, "left_semi"), key)
+    return out.select(key, *[F.col(c).cast("int").alias(c) for c in orders])
+
+
 def sorted_tops(orders: DataFrame, k: int) -> DataFrame:
-    """id and its place in four orders, of all that are in the first k of any. The rows are numbered in each order by ranges (no global
-    window); the ids that are kept, 4 k at most, are broadcast to the orders."""
     by = {"newest": [F.desc("o_orderdate")], "oldest": [F.col("o_orderdate")], "largest": [F.desc("o_totalprice")], "name": [F.col("o_orderpriority")]}
-    places = {}
-    for c, order in by.items():
-        places[c] = kept(numbered(orders.select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority"), *order, "o_orderkey", out=c).select(F.col("o_orderkey").alias("id"), c), "places")
-    ids = reduce(DataFrame.union, [p.where(F.col(c) <= k).select("id") for c, p in places.items()]).distinct()
-    out = ids
-    for p in places.values():
-        out = out.join(p.join(F.broadcast(ids), "id", "left_semi"), "id")
-    return out.select("id", *[F.col(c).cast("int").alias(c) for c in by])
+    return places(orders.select(F.col("o_orderkey").alias("id"), "o_orderdate", "o_totalprice", "o_orderpriority"), "id", by, k)
+
+
+# fixed values: widths up to which an item is small and from which it is large
+SMALL, LARGE = 80, 128
+
+
+def gallery_orders() -> dict[str, list[Column]]:
+    """The five orders of a gallery of items with created, bytes and frames."""
+    return {"date_newest": [F.desc("created")], "date_oldest": [F.col("created")], "size_smallest": [F.col("bytes")], "size_largest": [F.desc("bytes")], "frame_count": [F.desc("frames")]}
+
+
+def gallery(items: DataFrame, size: str = "all", order: str | None = None, key: str = "id") -> DataFrame:
+    """Items of a size (all, small, large; by width), in one of gallery_orders(), ties by key. An item without a width is in all only."""
+    where = {"all": F.lit(True), "small": F.col("width") <= SMALL, "large": F.col("width") >= LARGE}[size]
+    return items.where(where) if order is None else items.where(where).orderBy(*gallery_orders()[order], key)
+
+
+def capture_statistics(frames: DataFrame, by: str, ts: str, target: int) -> DataFrame:
+    """by, frames, target, complete, seconds (from the first frame to the last) and fps (0 where no time has passed). Frames without a time count as frames."""
+    s = frames.groupBy(by).agg(F.count("*").alias("frames"), (F.max(ts) - F.min(ts)).cast("interval second").cast("decimal(20,6)").cast("double").alias("seconds"))
+    seconds = F.coalesce("seconds", F.lit(0.0))
+    return s.select(by, "frames", F.lit(target).alias("target"), (F.col("frames") >= target).alias("complete"), seconds.alias("seconds"), F.when(seconds > 0, F.col("frames") / seconds).otherwise(0.0).alias("fps"))
 
 
 def byte_size(n: Column) -> Column:
