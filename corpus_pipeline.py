@@ -8,6 +8,10 @@ stage's docs. All but the last return the columns of docs as they are.
 3. decontamination: documents that hold an item of the benchmark go.
 4. mixing: each document is there as often as its source's rate takes it, which may be not at all.
 5. token_ids: the ids of all documents are written and read back: doc_id, start, n_tokens, ids_crc32.
+
+Defined results: null and empty texts have no language and go in stage 1 (unless there is nothing to learn a language from); repeated rows are one document to stage 2, which keeps
+one of them; rows without doc_id go through all stages as documents of their own; ties between near-duplicates go to the least doc_id; very long texts are read whole
+by every stage; further columns and columns of clashing names are kept as they are up to stage 4; an empty table gives no rows.
 """
 
 from __future__ import annotations

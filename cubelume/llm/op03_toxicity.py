@@ -12,9 +12,9 @@ standard error of the least.
 Training reads a bounded sample: the first FIT_TOXIC toxic and FIT_CLEAN other texts in order of a hash of the id.
 
 Defined results: a text without words (null, empty) has the score of no evidence; without training rows
-every score is 0; a label that is null is no label; an id labelled twice counts once per row; a row without doc_id isn't held out and has
-no label; a score equal to the threshold is predicted 1; very long texts are read whole; repeated rows score alike; further columns are
-ignored.
+every score is 0; an empty table gives no rows; a label that is null is no label; an id that has both labels counts as both; a row without doc_id isn't held
+out and has no label; a score equal to the threshold is predicted 1; very long texts are read whole; repeated rows score alike and are learned from once; texts that
+share an id are all candidates, and the sample stays within its bound; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -417,9 +417,14 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = FIT_TOXIC, most_
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([sorted(r.words(t.as_py())) for t in b.column("text")], pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
 
-    texts = docs.select(col(docs, "doc_id").alias("doc_id"), col(docs, "text").alias("text")).join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("string"), "toxic", "text")
+    texts = docs.select(col(docs, "doc_id").alias("doc_id"), col(docs, "text").alias("text")).join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("string"), "toxic", "text").distinct()
     rows = written(texts.mapInArrow(restored, "doc_id string, toxic int, words array<string>").withColumn("row", F.monotonically_increasing_id()), "toxic-words")
-    n = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0)).alias("c")).first()
+    number = (F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0)).alias("c"))
+    n = rows.agg(*number).first()
+    if n.t > most_toxic or n.c > most_clean:  # texts that share an id may be more than were picked
+        order = (F.xxhash64("doc_id", "words"), "doc_id", "words", "row")
+        rows = written(rows.where("toxic = 1").orderBy(*order).limit(most_toxic).unionByName(rows.where("toxic = 0").orderBy(*order).limit(most_clean)), "toxic-rows")
+        n = rows.agg(*number).first()
     if not n.t or not n.c:
         return Model(lm, {}, None)
     prefixes = [F.when(F.length("word") >= k, F.concat(F.lit(f"{k}:"), F.substring("word", 1, k))) for k in PREFIXES]

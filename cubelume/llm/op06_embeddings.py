@@ -12,7 +12,7 @@ follows that number, one of the few pairs that are missed in one table may be fo
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do vectors of
 different lengths; repeated rows are copies that link; a vec_id stands for one vector; a vector without
-vec_id has a null component and is kept; further columns are ignored.
+vec_id has a null component and is kept; an empty table gives no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

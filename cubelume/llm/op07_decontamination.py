@@ -14,7 +14,8 @@ Frequencies are counted by Spark over all items. The index is broadcast in slice
 passes over the documents, with the same scores.
 
 Defined results: null, empty and wordless texts have no leaks, items without words match nothing; equal rows give equal rows;
-very long texts are cut in windows like others; items of one text are all found; further columns are ignored.
+very long texts are cut in windows like others; items of one text are all found; empty tables on either side give no rows (and no document is
+leaked); a document without doc_id has its leaks under null; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

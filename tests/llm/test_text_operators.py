@@ -337,3 +337,89 @@ def test_language_of_rows_without_id_and_of_clashing_names(spark, sf_dir):
     df = spark.createDataFrame([(None, "the river runs", "en", 1), (5, "der Fluss", "de", 2)], "doc_id long, text string, lang string, language_found int")
     out = O10.with_language(df, O10.train(df), "l", "s")
     assert out.columns == [*df.columns, "l", "s"] and sorted(r.language_found for r in out.collect()) == [1, 2]
+
+
+def plain_leaks(items, texts):
+    """Every window of every text against every item: BM25 shares, then subsequences in stretches of twice the item's length."""
+    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+    both = {i: [words(x) for x in O7.parts(t)] for i, t in items.items()}
+    of = {i: q + a for i, (q, a) in both.items() if q + a}
+    mean, n, found = sum(map(len, of.values())) / len(of), len(of), {}
+    idf = {w: np.log(1 + (n - c + 0.5) / (c + 0.5)) for w in {w for x in of.values() for w in x} for c in [sum(w in x for x in of.values())]}
+    weight = {i: {w: idf[w] * x.count(w) * 2.2 / (x.count(w) + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w in x} for i, x in of.items()}
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1] / len(a) if a else 1.0
+
+    kind = lambda x: max(5, (len(x) - 1).bit_length())
+    for i, x in of.items():
+        longest, m = max(len(y) for y in of.values() if kind(y) == kind(x)), len(x)
+        for d, t in texts.items():
+            said = words(t)
+            for at in range(-longest, len(said), longest):
+                passage = said[max(at, 0) : at + 2 * longest] if at >= 0 else []
+                score = sum(v for w, v in weight[i].items() if w in set(passage)) / sum(weight[i].values())
+                if score < 0.7 - 1e-9:
+                    continue
+                for b in range(0, max(len(passage) - m, 1), -(-m // 2)):
+                    shares = tuple(common(y, passage[b : b + 2 * m]) for y in both[i])
+                    if min(shares) >= 0.8:
+                        found[d, i] = max(found.get((d, i), (0.0,)), (score, *shares))
+    return found
+
+
+def test_changed_items_against_plain_scores(spark):
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("abcdefghijklm") for _ in range(4)) for _ in range(150)]
+    said = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = {i: " ".join(said(r.randrange(4, 45))) + ". " + " ".join(said(r.randrange(1, 12))) + "?" for i in range(40)}
+    items[40] = items[3]
+    items[41] = " ".join(said(9))
+    texts = {}
+    for d in range(120):
+        x = items[r.randrange(42)].split()
+        for _ in range(int(len(x) * r.choice([0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.5]))):
+            at = r.randrange(len(x))
+            what = r.randrange(4)
+            if what == 0:
+                x[at] = r.choice(vocabulary)
+            elif what == 1:
+                x.insert(at, r.choice(vocabulary))
+            elif what == 2 and len(x) > 1:
+                del x[at]
+            else:
+                x[at], x[-1 - at] = x[-1 - at], x[at]
+        texts[d] = " ".join(said(r.randrange(0, 120)) + x + said(r.randrange(0, 90)))
+    want = plain_leaks(items, texts)
+    docs, table = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.score, x.question, x.answer) for x in O7.leaks(docs, table).collect()}
+    assert got.keys() == want.keys() and 30 < len(got) < 120
+    for k, v in got.items():
+        assert v == pytest.approx(want[k], abs=1e-6)
+
+
+def test_the_sample_stays_within_its_bound(spark):
+    """One clean id has thousands of texts, and one of them thousands of times."""
+    rows = [(1, f"plain words number {i % 700}") for i in range(3000)] + [(2, "plain words")] * 2000 + [(i, "you moron" if i % 2 else "fine day") for i in range(3, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 and i > 2)) for i in range(1, 60)], "doc_id long, toxic int")
+    seen = []
+    fitted = O3._fitted
+
+    def watched(y, top, n):
+        seen.append((int(y.sum()), len(y)))
+        return fitted(y, top, n)
+
+    O3._fitted = watched
+    try:
+        m = O3.train(docs, labels, most_toxic=50, most_clean=100)
+    finally:
+        O3._fitted = fitted
+    assert seen and all(t == 29 and n == 129 for t, n in seen)
+    assert m.score("you moron") > 0.5 > m.score("fine day")
