@@ -1,7 +1,7 @@
 """Toxicity scores after noisy-channel deobfuscation.
 
-Channel: a writer hides a word by signs that look like letters, by blanks or signs between its letters or between pieces of up
-to PIECE letters, and by letters repeated. A suspicious stretch is turned into a lattice of what each place may stand for, and Viterbi's algorithm finds the
+Channel: a writer hides a word by signs that look like letters, by blanks or signs between its letters or between pieces of
+any length, and by letters repeated. A suspicious stretch is turned into a lattice of what each place may stand for, and Viterbi's algorithm finds the
 reading of least cost under a character trigram model, which is counted over all documents. Words of letters alone, none
 of them doubled and without a sign at either end that may be a letter, are their own only reading, so they skip the search. The restored words (and the stretch's own) are then scored: a word's weight is the lower bound of
 the log odds (less some standard errors) that it, or its first 4, 5 or 6 letters, occur in toxic rather than in other training texts; a document's
@@ -9,6 +9,10 @@ score is a logistic function of its largest weight and of its number of weighted
 own counts left out. How many standard errors: the most of ERRORS whose loss over the training texts, scored in that way, is within one
 standard error of the least.
 
+Scoring follows each beginning of a weighted word from piece to piece, with all readings of signs at once. Where one goes on beyond
+the piece in which it began, every stretch from there on is searched, as far as the longest weighted word reaches. White space of
+any kind and length is one blank. Learning takes words of tokens and of stretches of pieces of up to PIECE letters.
+
 Training reads a bounded sample: the first FIT_TOXIC toxic and FIT_CLEAN other texts in order of a hash of the id.
 
 Defined results: a text without words (null, empty) has the score of no evidence; without training rows
@@ -47,10 +51,16 @@ _LEET_COST, _DROP_COST, _REPEAT_COST, _BREAK_COST = 0.7, 0.3, 0.3, 0.7
 _EDGE = " .,;:!?\"'()[]{}<>-_*~`|/\\&%#=+…“”„«»‘’¡¿"
 _NO_LETTER = "".join(c for c in _EDGE if c not in LEET)
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~]{1,2}[^\W_@$!]){2,}(?![^\W_])")
-#: Stretches of short pieces; those of single letters lie within them.
+#: Stretches of short pieces, from which words are learned; those of single letters lie within them.
 PIECE = 4
 _PIECES = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+(€]){1,%d}(?:[ .\-_*~]{1,2}(?:[^\W_]|[@$!|+(€]){1,%d})+(?![^\W_])" % (PIECE, PIECE))
 _PART = re.compile(r"(?:[^\W_]|[@$!|+(€])+")
+#: Stretches of pieces of any length.
+_STRETCH = re.compile(r"(?:[^\W_]|[@$!|+(€])+(?:[ .\-_*~]{1,2}(?:[^\W_]|[@$!|+(€])+)+")
+_GAP, _MOST_GAP, _SIGNS = " .-_*~", 2, "@$!|+(€"
+_START = frozenset([""])
+#: Least number of letters (without repetitions) that stretches are searched for before their last piece.
+REACH = 12
 #: Longer stretches hardly ever return, so that their readings aren't kept.
 _KEPT = 16
 _DOUBLED = re.compile(r"([^\W\d_])\1")
@@ -243,6 +253,36 @@ class Restorer:
                 self.stretches[stretch] = got
         return got
 
+    def windows(self, text: str, reach: int, border: int | None = None) -> set[str]:
+        """Words of all stretches of two neighbouring pieces or more that have fewer than reach letters before the last one and, if there
+        is a border, lie on both sides of it. A piece with only one reading that stays apart from what is before it ends the search, as
+        nothing that follows changes that."""
+        out: set[str] = set()
+        for run in _STRETCH.finditer(text):
+            spans = [m.span() for m in _PART.finditer(text, *run.span())]
+            sizes = [len(once(text[a:b])) for a, b in spans]
+            apart = [False, *(self.apart(text[a:b], text[b:c], text[c:d]) for (a, b), (c, d) in zip(spans, spans[1:], strict=False))]
+            for i in range(len(spans) - 1):
+                if border is not None and spans[i][0] >= border:
+                    break
+                before = sizes[i]
+                for j in range(i + 1, len(spans)):
+                    if before >= reach or apart[j]:
+                        break
+                    if border is None or spans[j][0] >= border:
+                        words, last = self._reading(text[spans[i][0] : spans[j][1]]), text[slice(*spans[j])]
+                        out.update(words)
+                        if words and words[-1] == last and len(last) > 1 and self._settled(last):
+                            break
+                    before += sizes[j]
+        return out
+
+    def apart(self, left: str, gap: str, right: str) -> bool:
+        """Whether two pieces that have only one reading each stay apart, whatever stands around them."""
+        if len(left) < 2 or len(right) < 2 or "*" in gap or not (self._settled(left) and self._settled(right)):
+            return False
+        return not self._joins(left[-2:], len(gap), right[:2])
+
     def _joins(self, left: str, n: int, right: str) -> bool:
         if (got := self.gaps.get((left, n, right))) is None:
             a, b = (_symbol(left[0]) << 6 | _symbol(left[1])), _symbol(right[0])
@@ -310,11 +350,17 @@ class Model:
             else:
                 self._short.add(bare)
         self._begins = [(n, some) for n, some in begins.items() if some]
-        # tokens and runs of short pieces already searched, and the weighted words of those that have any
+        self._full = frozenset().union(*begins.values())
+        self._nodes = frozenset(x[:n] for x in self._full | self._short for n in range(1, len(x) + 1))
+        self._reach = max([REACH, *map(len, self._whole)])
+        # tokens already searched, the weighted words of those that have any, and what is begun at the end of a token
         self._tokens: set[str] = set()
-        self._runs: set[str] = set()
         self._of_token: dict[str, tuple] = {}
-        self._of_run: dict[str, tuple] = {}
+        self._open: dict[str, tuple[frozenset[str], int]] = {}
+        # neighbours in which a beginning ends, and in which one goes on
+        self._ended: set[tuple[str, str]] = set()
+        self._led: set[tuple[str, str]] = set()
+        self._of_stretch: dict[str, tuple] = {}
         self._restorer: Restorer | None = None
 
     def word_weight(self, word: str) -> float:
@@ -332,23 +378,97 @@ class Model:
         groups = _LETTERS.findall(stretch)
         return any(self._may_begin(groups, i) for i in range(len(groups)))
 
-    def may_join(self, run: str, r: Restorer) -> bool:
-        """The same for pieces() of a run: plain pieces that don't join with the next one are no words of it."""
-        if _SIGN.search(run):
-            return True
-        spans = [m.span() for m in _LETTERS.finditer(run)]
-        groups = [run[a:b] for a, b in spans]
-        plain = [len(p) > 1 and not _DOUBLED.search(p) for p in groups]
-        for i, one in enumerate(plain):
-            if one:
-                if i + 1 == len(groups):
-                    break
-                a, b = spans[i][1], spans[i + 1][0]
-                if plain[i + 1] and not r._joins(run[a - 2 : a], b - a, run[b : b + 2]):
-                    continue
-            if self._may_begin(groups, i):
-                return True
-        return False
+    def _follow(self, signs: str, over: frozenset[str], gap: int, fresh: bool) -> tuple[bool, frozenset[str], int]:
+        """All readings of signs at once. over: beginnings of weighted words (without repetitions) that come from earlier pieces, after
+        gap signs without a piece. fresh: whether words may begin here, too. -> whether a weighted word may have been said over a gap,
+        what is begun and how many signs follow the last piece."""
+        here: frozenset[str] = frozenset()
+        reached = False
+        for c in signs:
+            if not fresh and (reached or not over):  # nothing more to learn
+                break
+            piece = c.isalnum() or c in _SIGNS
+            if piece:
+                if gap and fresh:
+                    here = _START
+                gap = 0
+            else:
+                gap = gap + 1 if c in _GAP else _MOST_GAP + 1
+                over, here = over | (here - _START), frozenset()
+            if not c.isalpha():  # it may be a break, at which a word of few letters ends
+                reached = reached or not over.isdisjoint(self._short)
+                if gap > _MOST_GAP:
+                    over = frozenset()
+            letters = c if c.isalpha() else LEET.get(c, "")
+            if letters and over:
+                on = self._step(over, letters)
+                reached = reached or not on.isdisjoint(self._full)
+                over = on if c.isalpha() else over | on
+            if piece and (here or fresh):
+                on = self._step(here, letters)
+                here = on if c.isalpha() else here | on | (_START if fresh else frozenset())
+        return reached, over | (here - _START), gap
+
+    def _step(self, begun: frozenset[str], letters: str) -> frozenset[str]:
+        return frozenset(x for b in begun for c in letters if (x := b if b.endswith(c) else b + c) in self._nodes)
+
+    def _token(self, t: str, r: Restorer) -> None:
+        got = self.token_weights(r.token(t)) if self.may(t) else ()
+        word = t[:-1] if t[-1] in _GAP else t
+        if word.isalpha():  # the only beginning is the word itself
+            begun = once(word)
+            reached, over, gap = False, frozenset([begun]) if begun in self._nodes else frozenset(), 1 + len(t) - len(word)
+        else:
+            reached, over, gap = self._follow(t + " ", frozenset(), 1, True)
+        if reached:
+            got += self.token_weights(r.windows(t, self._reach))
+        if got:
+            self._of_token[t] = got
+        if over:
+            self._open[t] = over, gap
+
+    def _stay(self, t: str, after: str, r: Restorer) -> bool:
+        """Whether the last piece of a token and the first of the next one stay apart."""
+        left, right = self._last(t), self._first(after)
+        return bool(left and right) and r.apart(left[0], left[1] + " " + right[1], right[0])
+
+    @staticmethod
+    def _last(t: str) -> tuple[str, str] | None:
+        """The last piece of a token and what follows it."""
+        if t.isalpha():
+            return t, ""
+        said = _PART.findall(t)
+        return (said[-1], t[t.rindex(said[-1]) + len(said[-1]) :]) if said else None
+
+    @staticmethod
+    def _first(t: str) -> tuple[str, str] | None:
+        """The first piece of a token and what is before it."""
+        if t.isalpha():
+            return t, ""
+        m = _PART.search(t)
+        return (m[0], t[: m.start()]) if m else None
+
+    def _leads(self, t: str, after: str, r: Restorer) -> bool:
+        if self._stay(t, after, r):
+            return False
+        reached, over, _ = self._follow(after + " ", *self._open[t], False)
+        return reached or bool(over)
+
+    def _joined(self, tokens: list[str], i: int, r: Restorer) -> tuple[tuple[str, float], ...]:
+        """Weighted words that begin in token i and end in a later one."""
+        (over, gap), reached, k, size = self._open[tokens[i]], False, i + 1, 0
+        while k < len(tokens) and size < self._reach and (over or reached):
+            pieces = "".join(_PART.findall(tokens[k]))
+            hit, over, gap = self._follow(tokens[k] + " ", over, gap, False)
+            reached, size, k = reached or hit, size + len(once(pieces)), k + 1
+            if not pieces and not over or pieces and k < len(tokens) and self._stay(tokens[k - 1], tokens[k], r):
+                break
+        if not reached:
+            return ()
+        stretch = " ".join(tokens[i:k])
+        if (got := self._of_stretch.get(stretch)) is None:
+            got = self._of_stretch[stretch] = self.token_weights(r.windows(stretch, self._reach, len(tokens[i])))
+        return got
 
     def _may_begin(self, groups: list[str], i: int) -> bool:
         said, j = once(groups[i]), i + 1
@@ -361,32 +481,34 @@ class Model:
     def score(self, text: str | None) -> float:
         if self.beta is None:
             return 0.0
+        hits, b = self.hits(text), self.beta
+        top = max(hits.values(), default=0.0)
+        return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, b[0] + b[1] * top + b[2] * math.log1p(len(hits))))))
+
+    def hits(self, text: str | None) -> dict[str, float]:
+        """Weighted words of the readings of a text."""
         r = self._restorer = self._restorer or Restorer(self.lm)
         text = (text or "").lower()
         hits: dict[str, float] = {}
-        tokens, known, found = set(text.split()), self._tokens, self._of_token
+        said, known = text.split(), self._tokens
+        tokens = set(said)
         for t in tokens.difference(known):
-            if got := self.token_weights(r.token(t)) if self.may(t) else ():
-                found[t] = got
+            self._token(t, r)
             known.add(t)
-        for t in found.keys() & tokens:
-            hits.update(found[t])
-        runs, seen, found = {m[0] for m in _PIECES.finditer(text)}, self._runs, self._of_run
-        for run in runs.difference(seen):
-            got = self.token_weights(r.pieces(run)) if self.may_join(run, r) else ()
-            hits.update(got)
-            if len(run) <= _KEPT:
-                if got:
-                    found[run] = got
-                seen.add(run)
-        for run in found.keys() & runs:
-            hits.update(found[run])
-        if len(known) + len(seen) > 2 * REMEMBERED:
-            for x in (known, seen, self._of_token, self._of_run, r.gaps):
+        for t in self._of_token.keys() & tokens:
+            hits.update(self._of_token[t])
+        if opened := self._open.keys() & tokens:
+            pairs = {p for p in zip(said, said[1:], strict=False) if p[0] in opened}
+            for p in pairs.difference(self._ended, self._led):
+                (self._led if self._leads(*p, r) else self._ended).add(p)
+            if led := pairs & self._led:
+                for i, p in enumerate(zip(said, said[1:], strict=False)):
+                    if p in led:
+                        hits.update(self._joined(said, i, r))
+        if len(known) + len(self._ended) + len(self._led) + len(self._of_stretch) > 2 * REMEMBERED:
+            for x in (known, self._of_token, self._open, self._ended, self._led, self._of_stretch):
                 x.clear()
-        top = max(hits.values(), default=0.0)
-        b = self.beta
-        return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, b[0] + b[1] * top + b[2] * math.log1p(len(hits))))))
+        return hits
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:

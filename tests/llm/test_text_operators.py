@@ -169,11 +169,43 @@ def test_what_is_passed_over_has_no_weighted_reading():
         for _ in range(r.randrange(2, 6)):
             run += "".join(r.choice(["stu", "pid", "id", "iot", "mo", "ron", "fo", "ol", "a", "s", "oo", "the", "ss", "t"])[:4]) + r.choice([" ", "-", ". "])
         run = run.rstrip(" -.")
-        assert m.token_weights(restorer.pieces(run)) == () or m.may_join(run, restorer), run
+        most = max((x for _, x in m.token_weights(restorer.pieces(run))), default=0.0)
+        assert most <= max(m.hits(run).values(), default=0.0), run
         for t in run.split():
             assert m.token_weights(restorer.token(t)) == () or m.may(t), t
 
 
+@pytest.mark.parametrize("text, word", [("stupi d man", "stupid"), ("the s tupid", "stupid"), ("yesterd ay", "yesterday"), ("a yest-erday", "yesterday"), ("some\nthing", "something"), ("$tupi  d", "stupid"), ("the yes.terd. ay house", "yesterday"), ("y e s t e r d a y", "yesterday"), ("peopl 3", "people")])
+def test_pieces_of_any_length_are_joined(text, word):
+    m = O3.Model(model_of(WORDS), {word: 3.0}, (-2.0, 2.0, 0.0))
+    assert word in m.hits(text) and m.score(text) > 0.9
+    assert m.hits("the green river, people") == {w: 3.0 for w in ["people"] if w == word}
+
+
+def test_search_of_pieces_against_every_stretch():
+    """Every stretch of neighbouring tokens' pieces is read; each first word that is longer than its first piece and has a weight is found."""
+    lm, r = model_of(WORDS), random.Random(21)
+    m = O3.Model(lm, {"idiot": 2.0, "5:stupi": 1.5, "6:yester": 1.2, "something": 1.1, "moron": 1.3, "of": 1.4}, (-2.0, 2.0, 0.1))
+    found = 0
+    for _ in range(600):
+        said = []
+        for _ in range(r.randrange(2, 6)):
+            w = r.choice([*WORDS, "1d10t", "m0ron", "st*pid", "yesterrday"])
+            cut = r.randrange(1, len(w))
+            said += [w[:cut], w[cut:]] if r.random() < 0.6 else [w]
+        text = "".join(x + r.choice([" ", " ", "-", ". ", ", "]) for x in said)
+        got = m.hits(text)
+        for run in O3._STRETCH.finditer(text):
+            spans = [x.span() for x in O3._PART.finditer(text, *run.span())]
+            for i in range(len(spans)):
+                for j in range(i + 1, len(spans)):
+                    words = O3.viterbi(text[spans[i][0] : spans[j][1]], lm).split()
+                    if words and len(O3.once(words[0])) > spans[i][1] - spans[i][0] and (x := m.word_weight(words[0])) > 0:
+                        found += 1
+                        assert m.word_weight(words[0]) == x and words[0] in got, (text, words)
+    assert found > 100
+
+
 def test_long_stretches_take_time_in_proportion():
     import time
 
