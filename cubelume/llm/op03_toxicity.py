@@ -350,7 +350,8 @@ class Model:
             else:
                 self._short.add(bare)
         self._begins = [(n, some) for n, some in begins.items() if some]
-        self._full = frozenset().union(*begins.values())
+        # beginnings that have a weight of their own, and whole words
+        self._full = frozenset([*(once(x) for some in self._starts.values() for x in some), *(x for w in self._whole if len(x := once(w)) >= 6)])
         self._nodes = frozenset(x[:n] for x in self._full | self._short for n in range(1, len(x) + 1))
         self._reach = max([REACH, *map(len, self._whole)])
         # tokens already searched, the weighted words of those that have any, and what is begun at the end of a token
@@ -414,7 +415,7 @@ class Model:
 
     def _token(self, t: str, r: Restorer) -> None:
         got = self.token_weights(r.token(t)) if self.may(t) else ()
-        word = t[:-1] if t[-1] in _GAP else t
+        word = t[:-1] if t[-1] in _GAP and t[-1] not in LEET else t
         if word.isalpha():  # the only beginning is the word itself
             begun = once(word)
             reached, over, gap = False, frozenset([begun]) if begun in self._nodes else frozenset(), 1 + len(t) - len(word)

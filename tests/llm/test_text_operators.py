@@ -186,7 +186,7 @@ def test_search_of_pieces_against_every_stretch():
     """Every stretch of neighbouring tokens' pieces is read; each first word that is longer than its first piece and has a weight is found."""
     lm, r = model_of(WORDS), random.Random(21)
     m = O3.Model(lm, {"idiot": 2.0, "5:stupi": 1.5, "6:yester": 1.2, "something": 1.1, "moron": 1.3, "of": 1.4}, (-2.0, 2.0, 0.1))
-    found = 0
+    costs, found = lm.ravel().tolist(), 0
     for _ in range(600):
         said = []
         for _ in range(r.randrange(2, 6)):
@@ -199,10 +199,11 @@ def test_search_of_pieces_against_every_stretch():
             spans = [x.span() for x in O3._PART.finditer(text, *run.span())]
             for i in range(len(spans)):
                 for j in range(i + 1, len(spans)):
-                    words = O3.viterbi(text[spans[i][0] : spans[j][1]], lm).split()
+                    words = O3.best_reading(text[spans[i][0] : spans[j][1]], costs).split()
                     if words and len(O3.once(words[0])) > spans[i][1] - spans[i][0] and (x := m.word_weight(words[0])) > 0:
                         found += 1
-                        assert m.word_weight(words[0]) == x and words[0] in got, (text, words)
+                        # where the first piece has the weighted beginning, the word may be found under a shorter name
+                        assert words[0] in got or any(words[0].startswith(w) and y >= x for w, y in got.items()), (text, words)
     assert found > 100
 
 
