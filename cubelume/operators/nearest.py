@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import pack, squared_distance
-from ..functions.vectors import cosine, l2
 from ..runtime import kept
 
 SIZE = 256
@@ -112,15 +111,6 @@ def errors(recon: DataFrame) -> DataFrame:
     return s.select("n", F.round(mse, 6).alias("mse"), F.round(F.when(mse == 0, float("inf")).otherwise(10 * F.log10(65025.0 / mse)), 6).alias("psnr"), F.round(F.col("gap") / (3.0 * F.col("n")), 6).alias("mean_error"), F.col("largest").cast("int").alias("largest"), F.round(F.col("close") / F.col("n"), 6).alias("close"))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, blend: bool = True) -> DataFrame:
-    """query, neighbour, score, rank: the k vectors of least L2 x (2 - cosine) (or L2) for a stated, bounded set of queries."""
-    q = F.broadcast(queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")))
-    d = l2(F.col("embedding"), F.col("q"))
-    score = d * (2 - cosine(F.col("embedding"), F.col("q"))) if blend else d
-    met = vectors.join(q, F.col("vec_id") != F.col("query")).select("query", F.col("vec_id").alias("neighbour"), F.round(score, 9).alias("score"))
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "neighbour"))).where(F.col("rank") <= k)
-
-
 def distances(palette: DataFrame) -> DataFrame:
     """Upper triangle of the squared distances of a palette."""
     return palette.select("idx", "r", "g", "b").join(_small(palette.withColumnRenamed("idx", "other").withColumnRenamed("other", "idx")).withColumnRenamed("idx", "other"), F.col("idx") < F.col("other")).select("idx", "other", squared_distance(tuple(F.col(c) for c in "rgb"), tuple(F.col(f"p{c}") for c in "rgb")).alias("dist"))

@@ -1,8 +1,9 @@
-"""The k nearest of all vectors to all vectors, exact, by pivots and the triangle inequality.
+"""The k nearest vectors of all vectors, or of some that ask, exact, by blocks, pivots and the triangle inequality.
 
-Each vector belongs to the cell of its nearest pivot, and a cell's rows stand in blocks of bounded size. A vector is compared with its own block first: the k-th score found is a
-bound for its neighbours. It then goes to the blocks of those cells only that may hold something nearer, as far as its distance to the cell's pivot and the cell's
-radius tell. The score L2 x (2 - cosine) is never less than L2, so that bounds of L2 hold for it too.
+Each vector belongs to the cell of its nearest pivot, and a cell's rows are packed into blocks of bounded size, a row a block. Blocks that ask meet all blocks, and a task holds the
+k best so far of those that ask: their k-th is a bound. A block is passed over for those that are farther from its pivot than that bound and its radius; for the others, distances
+by one matrix product, with the product's error taken off, tell which few vectors are scored in full. The score L2 x (2 - cosine) is never less than L2, so that bounds of L2
+hold for it too.
 """
 
 from __future__ import annotations
@@ -18,9 +19,14 @@ from ..runtime import kept
 
 #: Pivots at most; each vector is compared with all of them.
 PIVOTS = 1024
-#: Rows of a block, about (twice that by chance at most).
-BLOCK = 2048
+#: Rows of a block, about (twice that by chance at most), and its numbers.
+BLOCK, NUMBERS = 8192, 1 << 19
+#: Blocks that a task holds beside those that ask.
+HELD = 16
+#: Numbers of a piece of a matrix of distances.
+PIECE = 1 << 18
 FOUND = "query long, neighbour long, score double"
+PACKED = "cell int, ids binary, x binary"
 _SLACK = 1e-9
 
 
@@ -37,120 +43,215 @@ def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scores(x: np.ndarray, y: np.ndarray, blend: bool) -> np.ndarray:
-    far = _far(x, y)
-    if not blend:
-        return np.round(far, 9)
-    sizes = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None]
-    cosine = np.divide(x @ y.T, sizes, out=np.zeros_like(far), where=sizes > 0)
-    return np.round(far * (2 - cosine), 9)
-
-
-def _first(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, neighbour, score): the k least of each row but itself, ties by id."""
-    out = []
-    for row, me in zip(scores, own, strict=True):
-        at = np.flatnonzero(ids != me)
-        if len(at) > k:
-            kth = np.partition(row[at], k - 1)[k - 1]
-            at = at[row[at] <= kth]
-        at = at[np.lexsort((ids[at], row[at]))][:k]
-        out += [(int(me), int(ids[i]), float(row[i])) for i in at]
-    return out
+def _rounded(s: np.ndarray, digits: int) -> np.ndarray:
+    """Halves go up, as in SQL."""
+    t = s * 10.0**digits
+    whole = np.floor(t)
+    return (whole + (t - whole >= 0.5)) / 10.0**digits
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query", "neighbour", "score"])
+def _scores(x: np.ndarray, y: np.ndarray, blend: bool, digits: int) -> np.ndarray:
+    """Of each row of x and the same row of y, in full."""
+    far = np.sqrt(((x - y) ** 2).sum(1))
+    if blend:
+        sizes = np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))
+        far *= 2 - np.divide((x * y).sum(1), sizes, out=np.zeros_like(far), where=sizes > 0)
+    return _rounded(far, digits)
 
 
-def all_neighbours(vectors: DataFrame, k: int, blend: bool = True) -> DataFrame:
-    """vectors (vec_id, embedding) -> query, neighbour, score, rank: for each vector its k of least L2 x (2 - cosine), or L2; ties by id.
+class _Best:
+    """The k best so far of some that ask; ties by id."""
 
-    Defined results: vectors that are null, empty or hold null or non-finite components, and rows without vec_id, are neither queries nor
-    neighbours; a vector isn't its own neighbour, nor is another of its vec_id; of vectors of different lengths only those of the commonest take part
-    (the shorter of equally many); the cosine of a zero vector is 0."""
-    spark = vectors.sparkSession
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, blend: bool, digits: int):
+        self.ids, self.x, self.k, self.blend, self.digits = ids, x, k, blend, digits
+        self.size = (x * x).sum(1)
+        self.score, self.neighbour = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def meet(self, ids: np.ndarray, y: np.ndarray, pivot: np.ndarray, radius: float) -> None:
+        """A block, its rows in order of id."""
+        bound = self.score[:, -1] * (1 + _SLACK) + _SLACK + 10.0**-self.digits
+        rows = np.flatnonzero(_far(self.x, pivot[None])[:, 0] - radius <= bound)
+        size = (y * y).sum(1)
+        # products in single precision, but for sizes whose products it doesn't hold
+        kind = np.float32 if all(((s == 0) | ((s > 1e-12) & (s < 1e12))).all() for s in (size, self.size)) else np.float64
+        turned = np.ascontiguousarray(y.T, kind)
+        over = np.divide(1.0, np.sqrt(size), out=np.zeros_like(size), where=size > 0)
+        step = max(1, PIECE // len(y))
+        for i in range(0, len(rows), step):
+            self._piece(rows[i : i + step], ids, y, turned, size, over)
+
+    def _piece(self, at: np.ndarray, ids: np.ndarray, y: np.ndarray, turned: np.ndarray, size: np.ndarray, over: np.ndarray) -> None:
+        kind = turned.dtype
+        x, own = self.x[at], self.size[at]
+        unsure = float(2 * (x.shape[1] + 8) * np.finfo(kind).eps)  # of a squared distance by products, as a share of the squared sizes
+        dots = x.astype(kind) @ turned
+        least = dots * kind.type(-2)
+        least += (size * (1 - unsure)).astype(kind)[None]
+        least += (own * (1 - unsure)).astype(kind)[:, None]
+        np.maximum(least, 0, out=least)
+        np.sqrt(least, out=least)
+        if self.blend:
+            dots *= over.astype(kind)[None]
+            dots *= np.divide(-1.0, np.sqrt(own), out=np.zeros_like(own), where=own > 0).astype(kind)[:, None]
+            dots += kind.type(2 - 1e-12 - 2 * unsure)
+            least *= dots
+        first, after = np.searchsorted(ids, self.ids[at]), np.searchsorted(ids, self.ids[at], "right")
+        for i in np.flatnonzero(after > first):
+            least[i, first[i] : after[i]] = np.inf
+        bound = self.score[at, -1]
+        open_ = np.flatnonzero(np.isinf(bound))
+        if len(open_) and len(ids) > self.k:
+            kth = np.partition(least[open_], self.k - 1, 1)[:, self.k - 1].astype(float)
+            bound[open_] = kth * (1 + 4 * unsure) + 6 * np.sqrt(unsure * (own[open_] + size.max()))
+        bound = bound * (1 + _SLACK) + 10.0**-self.digits
+        with np.errstate(over="ignore"):
+            bound = np.nextafter(bound.astype(kind), kind.type(np.inf))
+        row, column = np.divmod(np.flatnonzero(least <= bound[:, None]), len(ids))
+        for i in range(0, len(row), 100_000):
+            r, c = row[i : i + 100_000], column[i : i + 100_000]
+            if np.isinf(bound).any():
+                seen = np.isfinite(least[r, c])
+                r, c = r[seen], c[seen]
+            self._keep(at[r], _scores(x[r], y[c], self.blend, self.digits), ids[c])
+
+    def _keep(self, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        if not len(row):
+            return
+        some = np.unique(row)
+        row = np.concatenate([row, np.repeat(some, self.k)])
+        score, ids = np.concatenate([score, self.score[some].ravel()]), np.concatenate([ids, self.neighbour[some].ravel()])
+        order = np.lexsort((ids, score, row))
+        row = row[order]
+        start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        first = order[(start[:, None] + np.arange(self.k)).ravel()]  # each row has k at least: those so far
+        self.score[some], self.neighbour[some] = score[first].reshape(-1, self.k), ids[first].reshape(-1, self.k)
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        row, column = np.nonzero(self.score < np.inf)
+        for i in range(0, len(row), 50_000):
+            r, c = row[i : i + 50_000], column[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[r]), pa.array(self.neighbour[r, c]), pa.array(self.score[r, c])], ["query", "neighbour", "score"])
+
+
+def _few_of_equals(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Places of rows, in order of id: of equal vectors only as many as a query's neighbours and itself."""
+    if not len(ids):
+        return np.zeros(0, np.int64)
+    same = np.unique(x + 0.0, axis=0, return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, same))
+    s, i = same[order], ids[order]
+    new = np.r_[True, s[1:] != s[:-1]]
+    copy = np.maximum.accumulate(np.where(new | np.r_[True, i[1:] != i[:-1]], np.arange(len(s)), 0))
+    often = int((np.arange(len(s)) - copy).max()) + 1  # rows of one id and one vector
+    place = np.arange(len(s)) - np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+    return np.sort(order[place < k + often])
+
+
+def _sound(vectors: DataFrame) -> tuple[DataFrame, int, int]:
+    """id, e of the vectors that take part; how many, and their length."""
     v = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
     sound = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e150))
     v = v.where(F.col("id").isNotNull() & F.coalesce(F.col("e").isNotNull() & (F.size("e") > 0) & sound, F.lit(False)))
     common = v.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if common is None:
-        return spark.createDataFrame([], FOUND + ", rank int")
-    d = common.d
-    v = v.where(F.size("e") == d)
-    most = int(max(1, min(PIVOTS, (common["count"] / (4 * k)) ** 0.5 * 2)))
-    pivots = np.array([r.e for r in v.orderBy(F.xxhash64("id"), "id").select("e").limit(most).collect()])  # PIVOTS at most
+    return (v, 0, 0) if common is None else (v.where(F.size("e") == common.d), common["count"], common.d)
+
+
+def _neighbours(v: DataFrame, n: int, d: int, k: int, blend: bool, digits: int, asks: str | None) -> DataFrame:
+    """The k nearest of the rows of v (id, e) of which `asks` holds (all if None)."""
+    spark = v.sparkSession
+    size = max(1, min(BLOCK, NUMBERS // d))
+    pivots = np.array([r.e for r in v.orderBy(F.xxhash64("id"), "id").select("e").limit(min(PIVOTS, 1 + n * 2 // size)).collect()])  # PIVOTS at most
+    turned, sizes = pivots.T, (pivots * pivots).sum(1)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            far = _far(_matrix(b.column("e"), d), pivots) if b.num_rows else np.zeros((0, len(pivots)))
-            cell = far.argmin(1) if b.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("e"), pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])], ["id", "e", "cell", "away"])
+            x = _matrix(b.column("e"), d) if b.num_rows else np.zeros((0, d))
+            cell = (sizes[None] - 2 * (x @ turned)).argmin(1)
+            away = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("e"), pa.array(cell.astype(np.int32)), pa.array(away)], ["id", "e", "cell", "away"])
 
     rows = kept(v.mapInArrow(dealt, "id long, e array<double>, cell int, away double"), "knn-cells")
-    cells = rows.groupBy("cell").agg(F.max("away").alias("radius"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).collect()  # a row a pivot
-    blocks, radius = np.zeros(len(pivots), np.int64), np.full(len(pivots), -np.inf)
-    for c in cells:
-        blocks[c.cell], radius[c.cell] = c.blocks, c.radius
-    n_blocks = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
-    rows = kept(rows.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int")), "knn-blocks")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Tables of one block each; rows come sorted by it."""
-        waiting: pa.Table | None = None
-        for b in batches:
-            t = pa.Table.from_batches([b]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([b])])
-            key = np.stack([t.column(c).to_numpy() for c in ("cell", "block")], 1) if len(t) else np.zeros((0, 2))
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            edges = [0, *cuts.tolist()]
-            for x, y in zip(edges, edges[1:], strict=False):
-                yield t.slice(x, y - x)
-            waiting = t.slice(edges[-1])
-        if waiting is not None and len(waiting):
-            yield waiting
-
-    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The cells that each vector has to be compared with."""
-        gap = np.zeros(0)
-        for t in grouped(batches):
-            t = t.combine_chunks()
-            ids, x = t.column("id").to_numpy(), _matrix(t.column("e").combine_chunks(), d)
-            scores = _scores(x, x, blend)
-            scores[ids[:, None] == ids[None]] = np.inf
-            kth = np.partition(scores, k - 1, 1)[:, k - 1] if len(ids) >= k else np.full(len(ids), np.inf)
-            gap = _far(x, pivots) - radius[None]
-            who, cell = np.nonzero((gap <= kth[:, None] * (1 + _SLACK) + _SLACK) & (blocks > 0)[None])
-            for i in range(0, len(who), 20_000):
-                w = pa.array(who[i : i + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(ids).take(w), t.column("e").combine_chunks().take(w), pa.array(cell[i : i + 20_000].astype(np.int32))], ["id", "e", "cell"])
-
-    sorted_rows = rows.select("id", "e", "cell", "block").repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "id")
-    asked = sorted_rows.mapInArrow(bounds, "id long, e array<double>, cell int")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1))).withColumn("asks", F.lit(True))
-    both = rows.select("id", "e", "cell", "block").withColumn("asks", F.lit(False)).unionByName(asked)
-    both = both.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "asks", "id")
+    radius = np.zeros(len(pivots))
+    blocks = np.ones(len(pivots), np.int64)
+    for c in rows.groupBy("cell").agg(F.max("away").alias("radius"), F.ceil(F.count("*") / size).alias("blocks")).collect():  # a row a pivot
+        radius[c.cell], blocks[c.cell] = c.radius, c.blocks
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(blocks.sum()))
+
+    def packed(df: DataFrame, n_blocks: np.ndarray, most: int | None) -> DataFrame:
+        """PACKED: a row a block, of equal vectors `most` and itself if that is stated."""
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, ids, x = None, [], []
+
+            def block() -> pa.RecordBatch:
+                i, e = np.concatenate(ids), np.concatenate(x)
+                few = _few_of_equals(i, e, most) if most is not None else np.arange(len(i))
+                return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([i[few].tobytes()], pa.binary()), pa.array([e[few].tobytes()], pa.binary())], ["cell", "ids", "x"])
+
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                at = np.stack([b.column(c).to_numpy() for c in ("cell", "block")], 1)
+                i, e = b.column("id").to_numpy(), _matrix(b.column("e"), d)
+                edges = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)]
+                for m, j in zip(edges, edges[1:], strict=False):
+                    if key != tuple(at[m]):
+                        if key is not None:
+                            yield block()
+                        key, ids, x = tuple(at[m]), [], []
+                    ids.append(i[m:j])
+                    x.append(e[m:j])
+            if key is not None:
+                yield block()
+
+        of = F.element_at(F.array(*[F.lit(int(b)) for b in n_blocks]), F.col("cell") + 1)
+        dealt_rows = df.select("id", "e", "cell", F.pmod(F.xxhash64("id"), of).cast("int").alias("block"))
+        return dealt_rows.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "id").mapInArrow(pack, PACKED)
+
+    held = kept(packed(rows, blocks, k), "knn-blocks")
+    if asks is None:
+        asking = kept(packed(rows, blocks, None), "knn-asking")
+    else:
+        some = rows.where(asks)
+        asking = kept(packed(some.withColumn("cell", F.lit(0)), np.array([1 + some.count() // size]), None), "knn-asking")
+    n_asking, n_held = asking.count(), held.count()
+    cores = spark.sparkContext.defaultParallelism
+    left = asking.select(F.col("ids").alias("asks"), F.col("x").alias("q")).repartition(max(1, min(n_asking, 512)))
+    right = held.repartition(max(1, min(n_held, max(-(-n_held // HELD), -(-3 * cores // max(1, n_asking))))))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A block's own rows come first and are held; those that ask are read batch by batch."""
-        key, ids, held = None, [], []
-        y = np.zeros((0, d))
+        """The blocks that one which asks meets come one after another."""
+        key, best = None, None
         for b in batches:
-            cell, block, asks, who = (b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "block", "asks", "id"))
-            x = _matrix(b.column("e"), d)
-            change = np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])) + 1
-            edges = [0, *change.tolist(), b.num_rows] if b.num_rows else [0]
-            for i, j in zip(edges, edges[1:], strict=False):
-                if key != (cell[i], block[i]):
-                    key, ids, held = (cell[i], block[i]), [], []
-                if not asks[i]:
-                    ids.append(who[i:j])
-                    held.append(x[i:j])
-                    continue
-                base, y = np.concatenate(ids), np.concatenate(held)
-                for m in range(i, j, 1024):
-                    yield _batch(_first(_scores(x[m : min(j, m + 1024)], y, blend), base, who[m : min(j, m + 1024)], k))
+            for i in range(b.num_rows):
+                asker = b.column("asks")[i].as_py(), b.column("q")[i].as_py()
+                if key != asker:
+                    if best is not None:
+                        yield from best.found()
+                    key = asker
+                    best = _Best(np.frombuffer(key[0], np.int64), np.frombuffer(key[1], np.float64).reshape(-1, d), k, blend, digits)
+                cell = b.column("cell")[i].as_py()
+                best.meet(np.frombuffer(b.column("ids")[i].as_buffer(), np.int64), np.frombuffer(b.column("x")[i].as_buffer(), np.float64).reshape(-1, d), pivots[cell], radius[cell])
+        if best is not None:
+            yield from best.found()
 
-    met = both.mapInArrow(compared, FOUND)
+    met = left.hint("shuffle_replicate_nl").crossJoin(right).mapInArrow(compared, FOUND)
     rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "neighbour"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def all_neighbours(vectors: DataFrame, k: int, blend: bool = True) -> DataFrame:
+    """vectors (vec_id, embedding) -> query, neighbour, score, rank: for each vector its k of least L2 x (2 - cosine), or L2; ties by id.
+
+    Defined results: vectors that are null, empty or hold null or non-finite components, and rows without vec_id, are neither queries nor
+    neighbours; a vector isn't its own neighbour, nor is another of its vec_id; of vectors of different lengths only those of the commonest take part
+    (the shorter of equally many); the cosine of a zero vector is 0."""
+    return knn(vectors, None, k, blend)
+
+
+def knn(vectors: DataFrame, asks: str | None, k: int, blend: bool = True, digits: int = 9) -> DataFrame:
+    """The same for the vectors whose id is so (a condition on id), against all; scores are rounded to `digits` before they are ranked."""
+    v, n, d = _sound(vectors)
+    if not n:
+        return vectors.sparkSession.createDataFrame([], FOUND + ", rank int")
+    return _neighbours(v, n, d, k, blend, digits, asks)

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color as K
 from ..functions import scoring as R
 from ..functions import vectors as V
 from ..operators import cells as C
-from ..operators import nearest as N
 from ..operators import windows as W
-from ..operators.neighbours import all_neighbours
+from ..operators.neighbours import all_neighbours, knn
 from ..operators.ordered import running, trailing_max
 from ..sources.cubes import CELLS, REWARD, VOXEL, load, rewards, voxels
 from .cube_queries import EDGE, MOVE, cells
@@ -228,9 +227,7 @@ KNN = """WITH q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE
 
 @query("q_knn_embeddings", KNN)
 def q_knn_embeddings(spark, d):
-    e = load(spark, d, "embeddings")
-    found = N.knn(e, e.where("vec_id % 100 = 0"), 20).withColumn("score", F.round("score", 6))
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "neighbour"))).where("rank <= 5")
+    return knn(load(spark, d, "embeddings"), "id % 100 = 0", 5, digits=6)
 
 
 @query("q_knn_all", KNN.replace("WHERE vec_id % 100 = 0", "").replace(", 6) AS score", ", 9) AS score"))

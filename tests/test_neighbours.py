@@ -53,3 +53,22 @@ def test_far_clusters(spark):
     r = np.random.default_rng(3)
     x = np.repeat(r.normal(size=(10, 6)) * 100, 40, 0) + r.normal(size=(400, 6)) * 0.05
     held(spark, [(i, v.tolist()) for i, v in enumerate(x)], 3)
+
+
+def test_some_that_ask(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 64)
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(400, 6)), np.repeat(r.normal(size=(2, 6)), 150, 0), r.normal(size=(100, 6)) * 1e-7])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for q in N.knn(spark.createDataFrame(rows, SCHEMA), "id % 50 = 0", 5, digits=6).orderBy("query", "rank").collect():
+        got.setdefault(q.query, []).append((q.score, q.neighbour))
+    # scores that agree in six digits are ordered by id, however many there are
+    want = {i: sorted((round(s, 6), j) for s, j in v)[:5] for i, v in plain(rows, len(rows), True).items() if i % 50 == 0}
+    assert {i: [j for _, j in v] for i, v in got.items()} == {i: [j for _, j in v] for i, v in want.items()}
+
+
+def test_blocks_hold_few_of_equals(spark):
+    ids, x = np.array([1, 1, 2, 3, 4, 5, 6, 7]), np.array([[1.0], [1.0], [1.0], [0.0], [1.0], [1.0], [-0.0], [1.0]])
+    assert N._few_of_equals(ids, x, 1).tolist() == [0, 1, 2, 3, 6]
+    assert N._few_of_equals(ids[:0], x[:0], 1).tolist() == []
