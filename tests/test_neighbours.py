@@ -72,3 +72,16 @@ def test_blocks_hold_few_of_equals(spark):
     ids, x = np.array([1, 1, 2, 3, 4, 5, 6, 7]), np.array([[1.0], [1.0], [1.0], [0.0], [1.0], [1.0], [-0.0], [1.0]])
     assert N._few_of_equals(ids, x, 1).tolist() == [0, 1, 2, 3, 6]
     assert N._few_of_equals(ids[:0], x[:0], 1).tolist() == []
+
+
+def test_no_vector_is_written_for_each_cell(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(300, 4)))]
+    plan = N.all_neighbours(spark.createDataFrame(rows, SCHEMA), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+
+
+def test_sizes_that_single_precision_does_not_hold(spark):
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.normal(size=(40, 4)) * 1e-5, r.normal(size=(40, 4)) * 1e6, r.normal(size=(40, 4)), r.normal(size=(40, 4)) * 1e-3 + 1e4])
+    held(spark, [(i, v.tolist()) for i, v in enumerate(x)], 3, False)
