@@ -146,7 +146,7 @@ FEATURES = f"""{CELLS}{MOVE}{EDGE}, {HSV}, ft AS (SELECT round(avg(v), 6) AS mea
  ang AS (SELECT sum(sin(a)) AS y, sum(cos(a)) AS x, count(*) AS n FROM (SELECT CASE WHEN h0 < 0 THEN h0 + 1 ELSE h0 END * 2 * pi() AS a FROM hsv WHERE s > 0.1)),
  cnt AS (SELECT round(count(DISTINCT r // 8 * 1024 + g // 8 * 32 + b // 8)::DOUBLE / count(*), 6) AS unq FROM cells), mot AS (SELECT round(avg(motion) FILTER (t > 0), 6) AS motion FROM m), edg AS (SELECT round(avg(d) / 441.67::DOUBLE, 6) AS edge FROM (
  SELECT sqrt((a.r - b.r) * (a.r - b.r) + (a.g - b.g) * (a.g - b.g) + (a.b - b.b) * (a.b - b.b)) AS d FROM cells a JOIN cells b ON a.t = 4 AND b.t = 4 AND a.y < 8 AND a.x < 8 AND ((b.y = a.y AND b.x = a.x + 1) OR (b.y = a.y + 1 AND b.x = a.x)))),
- feat AS (SELECT mean_v, var_v, mean_s, var_s, round((atan2(y, x) / (2 * pi()) + 1) % 1, 6) AS hue, round(1 - sqrt(x * x + y * y) / n, 6) AS spread, edge, motion, unq FROM ft, ang, cnt, mot, edg)"""
+ feat AS (SELECT mean_v, var_v, mean_s, var_s, CASE WHEN n > 0 THEN round((atan2(y, x) / (2 * pi()) + 1) % 1, 6) ELSE 0 END AS hue, CASE WHEN n > 0 THEN round(1 - sqrt(x * x + y * y) / n, 6) ELSE 0 END AS spread, edge, motion, unq FROM ft, ang, cnt, mot, edg)"""
 
 
 def features(spark, d) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from oracle import TABLES, same
 from pyspark.sql import functions as F
 
 from cubelume.operators import digests as D
@@ -93,3 +94,20 @@ def test_palettes_of_too_many_colours_are_errors(spark):
         P.similar_pairs(big, big.limit(3)).collect()
     with pytest.raises(ValueError, match="more than 256 colours"):
         G.argb_list(spark.range(300).selectExpr("cast(id as int) idx", "0 r", "0 g", "0 b"))
+
+
+@pytest.fixture(scope="module")
+def greys(spark, sf_dir, tmp_path_factory):
+    """A table whose voxels are all black: no cell has a hue."""
+    d = tmp_path_factory.mktemp("greys")
+    for t in set(TABLES) - {"lineitem"}:
+        (d / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    rows = spark.range(81 * 81).selectExpr("id * 256 AS l_orderkey", "id % 81 * 256 AS l_partkey", "id div 81 * 256 AS l_suppkey", "0 AS l_linenumber")
+    rows.write.parquet(f"{d}/lineitem.parquet")
+    return str(d)
+
+
+def test_content_without_any_hue(spark, greys):
+    r = catalog.QUERIES["q_content_features"](spark, greys).first()
+    assert (r.hue, r.hue_spread, r.mean_s) == (0.0, 0.0, 0.0)
+    same(catalog.QUERIES["q_content_features"](spark, greys), catalog.ORACLE["q_content_features"], greys)
