@@ -111,3 +111,7 @@ def test_content_without_any_hue(spark, greys):
     r = catalog.QUERIES["q_content_features"](spark, greys).first()
     assert (r.hue, r.hue_spread, r.mean_s) == (0.0, 0.0, 0.0)
     same(catalog.QUERIES["q_content_features"](spark, greys), catalog.ORACLE["q_content_features"], greys)
+
+
+def test_scores_of_content_without_any_hue(spark, greys):
+    same(catalog.QUERIES["q_content_scores"](spark, greys), catalog.ORACLE["q_content_scores"], greys)
