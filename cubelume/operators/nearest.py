@@ -1,12 +1,16 @@
-"""Nearest-colour joins. The side of the colours is reduced to distinct ones before it meets the palette. A palette of at most SIZE
-colours (it is written and counted first) is broadcast as one row; a larger one of any size is met cell by cell of a grid."""
+"""Nearest-colour joins. A palette of at most SIZE
+colours (it is written and counted first) goes to the tasks, which multiply their rows by it; a larger one of any size is met cell by cell of a grid."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.color import pack, squared_distance
 from ..runtime import kept
@@ -40,10 +44,32 @@ def _least(colours: DataFrame, lists: str) -> DataFrame:
     return met.select("r", "g", "b", F.col("__key").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("idx"), F.shiftright("__key", 32).alias("dist"))
 
 
-def _by_broadcast(colours: DataFrame, palette: DataFrame) -> DataFrame:
-    """The palette is one broadcast row, a list, and each colour takes the least of its distances: no shuffle and no row for a pair."""
-    one = palette.agg(F.collect_list(_packed(palette)).alias("__palette"))
-    return _least(colours.crossJoin(F.broadcast(one)), "__palette").where("idx IS NOT NULL")
+def _colours_of(palette: DataFrame) -> np.ndarray:
+    """idx, r, g, b in order of idx, of a counted palette of at most SIZE colours."""
+    return np.array(sorted(tuple(r) for r in palette.select("idx", "r", "g", "b").collect()), np.int64).reshape(-1, 4)
+
+
+def _by_product(voxels: DataFrame, p: np.ndarray) -> DataFrame:
+    """voxels with idx and dist, where they have a colour. A task multiplies a batch's rows by the palette: |p|² - 2 c p is least for the nearest colour, and whole numbers
+    are exact in doubles. No shuffle, and no row for a pair."""
+    idx, colours = p[:, 0], p[:, 1:].astype(float)
+    turned, sizes = np.ascontiguousarray(-2 * colours.T), (colours * colours).sum(1)
+    schema = T.StructType([*(f for f in voxels.schema if f.name not in ("idx", "dist")), T.StructField("idx", T.IntegerType()), T.StructField("dist", T.LongType())])
+    names = [f.name for f in schema][:-2]
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                c = np.stack([b.column(x).to_numpy(zero_copy_only=False) for x in "rgb"], 1).astype(float)
+                away = c @ turned
+                away += sizes
+                best = away.argmin(1)  # the first of equals, so the least idx
+                dist = away[np.arange(len(c)), best] + (c * c).sum(1)
+                found = [pa.array(idx[best].astype(np.int32)), pa.array(dist.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *found], [f.name for f in schema])
+
+    return voxels.where(" AND ".join(f"{c} IS NOT NULL" for c in "rgb")).mapInArrow(met, schema)
 
 
 def _by_grid(colours: DataFrame, palette: DataFrame, n: int) -> DataFrame:
@@ -68,17 +94,28 @@ def _by_grid(colours: DataFrame, palette: DataFrame, n: int) -> DataFrame:
     return done
 
 
+def _counted(palette: DataFrame) -> tuple[DataFrame, int]:
+    p = kept(palette.select("idx", "r", "g", "b").where("r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL"), "palette")
+    return p, p.count()
+
+
 def best(colours: DataFrame, palette: DataFrame) -> DataFrame:
     """colours (distinct r, g, b) with idx and dist (squared) of the nearest palette colour, the least idx of equals; exact. An empty palette
     has no nearest colour, so that no row is left."""
-    p = kept(palette.select("idx", "r", "g", "b").where("r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL"), "palette")
-    n = p.count()
-    return _by_broadcast(colours, p) if n <= SIZE else _by_grid(colours, p, n)
+    p, n = _counted(palette)
+    if n > SIZE:
+        return _by_grid(colours, p, n)
+    found = _by_product(colours.select("r", "g", "b"), _colours_of(p) if n else np.zeros((1, 4)))
+    return found if n else found.limit(0)
 
 
 def nearest(voxels: DataFrame, palette: DataFrame) -> DataFrame:
-    """voxels with idx and dist, exact."""
-    return voxels.join(best(voxels.select("r", "g", "b").distinct(), palette), ["r", "g", "b"])
+    """voxels with idx and dist, exact: a small palette meets all of them in place, a larger one meets their distinct colours."""
+    p, n = _counted(palette)
+    if n > SIZE:
+        return voxels.join(_by_grid(voxels.select("r", "g", "b").distinct(), p, n), ["r", "g", "b"])
+    found = _by_product(voxels, _colours_of(p) if n else np.zeros((1, 4)))
+    return found if n else found.limit(0)
 
 
 def lookup_table(palette: DataFrame) -> DataFrame:

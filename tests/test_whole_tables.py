@@ -78,3 +78,14 @@ def test_no_palette_is_cut(spark):
     assert N.nearest(colours(300).drop("idx"), colours(300)).where("dist = 0").count() == 300 and N.lookup_table(colours(300)).count() == 4096
     with pytest.raises(Exception, match="more than 256 colours"):
         N.distances(colours(300)).collect()
+
+
+def test_small_palettes_meet_voxels_in_place(spark):
+    """No shuffle and no interpreted lambda; equals go to the least idx, colours beyond a byte and rows without one as before, other columns stay."""
+    v = spark.createDataFrame([(1, "a", 0, 0, 0), (2, None, 10, 0, 0), (3, "c", 300, -5, 7), (4, "d", None, 1, 1), (1, "a", 0, 0, 0)], "f int, name string, r int, g int, b int")
+    p = spark.createDataFrame([(9, 0, 0, 0), (4, 20, 0, 0), (2, 255, 0, 0), (1, None, 9, 9)], "idx int, r int, g int, b int")
+    found = N.nearest(v, p)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "lambda" not in plan and "Aggregate" not in plan
+    assert sorted((r.f, r.name or "", r.idx, r.dist) for r in found.collect()) == [(1, "a", 9, 0), (1, "a", 9, 0), (2, "", 4, 100), (3, "c", 2, 45**2 + 25 + 49)]
+    assert N.nearest(v, p.limit(0)).count() == 0 and N.best(v.select("r", "g", "b").distinct(), p).count() == 3
