@@ -50,20 +50,23 @@ def _colours_of(palette: DataFrame) -> np.ndarray:
 
 
 def _by_product(voxels: DataFrame, p: np.ndarray) -> DataFrame:
-    """voxels with idx and dist, where they have a colour. A task multiplies a batch's rows by the palette: |p|² - 2 c p is least for the nearest colour, and whole numbers
-    are exact in doubles. No shuffle, and no row for a pair."""
-    idx, colours = p[:, 0], p[:, 1:].astype(float)
+    """voxels with idx and dist, where they have a colour. A task multiplies a batch's rows by the palette: |p|² - 2 c p is least for the nearest colour, and its whole
+    numbers are exact, for bytes in single precision. No shuffle, and no row for a pair."""
+    idx, colours = p[:, 0], p[:, 1:]
     turned, sizes = np.ascontiguousarray(-2 * colours.T), (colours * colours).sum(1)
+    bytes_ = bool(((colours >= 0) & (colours <= 255)).all())
     schema = T.StructType([*(f for f in voxels.schema if f.name not in ("idx", "dist")), T.StructField("idx", T.IntegerType()), T.StructField("dist", T.LongType())])
     names = [f.name for f in schema][:-2]
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                b = whole.slice(at, 4096)
-                c = np.stack([b.column(x).to_numpy(zero_copy_only=False) for x in "rgb"], 1).astype(float)
-                away = c @ turned
-                away += sizes
+            for at in range(0, whole.num_rows, 1024):  # a piece's distances stay in the cache
+                b = whole.slice(at, 1024)
+                c = np.stack([b.column(x).to_numpy(zero_copy_only=False) for x in "rgb"], 1)
+                kind = np.float32 if bytes_ and c.min() >= 0 and c.max() <= 255 else np.float64
+                c = c.astype(kind)
+                away = c @ turned.astype(kind)
+                away += sizes.astype(kind)
                 best = away.argmin(1)  # the first of equals, so the least idx
                 dist = away[np.arange(len(c)), best] + (c * c).sum(1)
                 found = [pa.array(idx[best].astype(np.int32)), pa.array(dist.astype(np.int64))]
