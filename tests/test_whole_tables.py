@@ -89,3 +89,10 @@ def test_small_palettes_meet_voxels_in_place(spark):
     assert "Join" not in plan and "lambda" not in plan and "Aggregate" not in plan
     assert sorted((r.f, r.name or "", r.idx, r.dist) for r in found.collect()) == [(1, "a", 9, 0), (1, "a", 9, 0), (2, "", 4, 100), (3, "c", 2, 45**2 + 25 + 49)]
     assert N.nearest(v, p.limit(0)).count() == 0 and N.best(v.select("r", "g", "b").distinct(), p).count() == 3
+
+
+@pytest.mark.parametrize("name", ["q_quantisation_error", "q_lut_vs_nn"])
+def test_no_lambda_and_no_join_of_voxels(spark, sf_dir, name):
+    """At most the joins with a look-up table of 4 096 rows are left."""
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("Join") == (name == "q_lut_vs_nn")
