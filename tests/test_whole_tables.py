@@ -91,7 +91,7 @@ def test_small_palettes_meet_voxels_in_place(spark):
     assert N.nearest(v, p.limit(0)).count() == 0 and N.best(v.select("r", "g", "b").distinct(), p).count() == 3
 
 
-@pytest.mark.parametrize("name", ["q_quantisation_error", "q_lut_vs_nn"])
+@pytest.mark.parametrize("name", ["q_quantisation_error", "q_lut_vs_nn", "q_nearest"])
 def test_no_lambda_and_no_join_of_voxels(spark, sf_dir, name):
     """At most the joins with a look-up table of 4 096 rows are left."""
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
