@@ -1,9 +1,9 @@
 """The k nearest vectors of all vectors, or of some that ask, exact, by blocks, pivots and the triangle inequality.
 
 Each vector belongs to the cell of its nearest pivot, and a cell's rows are packed into blocks of bounded size, a row a block. Blocks that ask meet all blocks, and a task holds the
-k best so far of those that ask: their k-th is a bound. A block is passed over for those that are farther from its pivot than that bound and its radius; for the others, distances
-by one matrix product, with the product's error taken off, tell which few vectors are scored in full. The score L2 x (2 - cosine) is never less than L2, so that bounds of L2
-hold for it too.
+k best so far of those that ask: their k-th is a bound. A block is passed over for those that are farther from its pivot than that bound and its radius; for the others, cosines
+by one matrix product in single precision are held against the least one that may meet the bound (one number a row, as a piece's vectors are alike in size), less the product's
+error: one comparison a pair. The few that are left are scored in full. The score L2 x (2 - cosine) is never less than L2, so that bounds of L2 hold for it too.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ PIVOTS = 1024
 BLOCK, NUMBERS = 8192, 1 << 19
 #: Blocks that a task holds beside those that ask.
 HELD = 16
-#: Numbers of a piece of a matrix of distances.
-PIECE = 1 << 18
+#: Numbers of a piece of a matrix of cosines, and its columns; their sizes are within a share of each other. Squares of smaller sizes than TINY aren't held in full.
+PIECE, COLUMNS, ALIKE, TINY = 1 << 19, 2048, 1.1, 1e-140
 FOUND = "query long, neighbour long, score double"
 PACKED = "cell int, ids binary, x binary"
 _SLACK = 1e-9
@@ -43,6 +43,11 @@ def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _unit(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rows over their sizes, in single precision; a zero vector stays."""
+    return (x / np.where(size > 0, size, 1)[:, None]).astype(np.float32)
+
+
 def _rounded(s: np.ndarray, digits: int) -> np.ndarray:
     """Halves go up, as in SQL."""
     t = s * 10.0**digits
@@ -59,60 +64,88 @@ def _scores(x: np.ndarray, y: np.ndarray, blend: bool, digits: int) -> np.ndarra
     return _rounded(far, digits)
 
 
+def _least_cosine(own: np.ndarray, low: float, high: float, bound: np.ndarray, blend: bool) -> np.ndarray:
+    """The least cosine with which a vector of a size of low to high may score the bound against one of a size of its own; from below. The score falls as
+    the cosine rises, and for one cosine the size nearest to own x cosine has the least."""
+
+    def may(c: np.ndarray) -> np.ndarray:
+        size = np.clip(own * c, low, high)
+        gap = np.maximum(np.abs(own - size) - 1e-13 * (own + size), 0)
+        least = gap * gap + 2 * own * size * (1 - c)
+        return (least * (2 - c) ** 2 if blend else least) <= bound * bound
+
+    below, above = np.full(len(own), -1.0), np.full(len(own), 1.0)
+    for _ in range(22):
+        middle = (below + above) / 2
+        found = may(middle)
+        below, above = np.where(found, below, middle), np.where(found, middle, above)
+    return np.where(may(np.ones(len(own))) | (below < 0.99), below, np.inf)
+
+
+def _slices(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Of sorted sizes: pieces of COLUMNS at most, in which sizes are within ALIKE of each other."""
+    i = 0
+    while i < len(size):
+        j = int(np.searchsorted(size, size[i] * ALIKE if size[i] > TINY else TINY if size[i] > 0 else 0, "right"))
+        j = min(j, i + COLUMNS)
+        yield i, j
+        i = j
+
+
 class _Best:
     """The k best so far of some that ask; ties by id."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, blend: bool, digits: int):
         self.ids, self.x, self.k, self.blend, self.digits = ids, x, k, blend, digits
-        self.size = (x * x).sum(1)
+        self.size = np.sqrt((x * x).sum(1))
+        self.unit = _unit(x, self.size)
+        self.unsure = float((x.shape[1] + 8) * np.finfo(np.float32).eps)  # of a cosine by products
         self.score, self.neighbour = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
 
+    def _bound(self, rows: np.ndarray) -> np.ndarray:
+        return self.score[rows, -1] * (1 + _SLACK) + _SLACK + 10.0**-self.digits
+
     def meet(self, ids: np.ndarray, y: np.ndarray, pivot: np.ndarray, radius: float) -> None:
-        """A block, its rows in order of id."""
-        bound = self.score[:, -1] * (1 + _SLACK) + _SLACK + 10.0**-self.digits
-        rows = np.flatnonzero(_far(self.x, pivot[None])[:, 0] - radius <= bound)
-        size = (y * y).sum(1)
-        # products in single precision, but for sizes whose products it doesn't hold
-        kind = np.float32 if all(((s == 0) | ((s > 1e-12) & (s < 1e12))).all() for s in (size, self.size)) else np.float64
-        turned = np.ascontiguousarray(y.T, kind)
-        over = np.divide(1.0, np.sqrt(size), out=np.zeros_like(size), where=size > 0)
-        step = max(1, PIECE // len(y))
-        for i in range(0, len(rows), step):
-            self._piece(rows[i : i + step], ids, y, turned, size, over)
-
-    def _piece(self, at: np.ndarray, ids: np.ndarray, y: np.ndarray, turned: np.ndarray, size: np.ndarray, over: np.ndarray) -> None:
-        kind = turned.dtype
-        x, own = self.x[at], self.size[at]
-        unsure = float(2 * (x.shape[1] + 8) * np.finfo(kind).eps)  # of a squared distance by products, as a share of the squared sizes
-        dots = x.astype(kind) @ turned
-        least = dots * kind.type(-2)
-        least += (size * (1 - unsure)).astype(kind)[None]
-        least += (own * (1 - unsure)).astype(kind)[:, None]
-        np.maximum(least, 0, out=least)
-        np.sqrt(least, out=least)
-        if self.blend:
-            dots *= over.astype(kind)[None]
-            dots *= np.divide(-1.0, np.sqrt(own), out=np.zeros_like(own), where=own > 0).astype(kind)[:, None]
-            dots += kind.type(2 - 1e-12 - 2 * unsure)
-            least *= dots
-        first, after = np.searchsorted(ids, self.ids[at]), np.searchsorted(ids, self.ids[at], "right")
-        for i in np.flatnonzero(after > first):
-            least[i, first[i] : after[i]] = np.inf
-        bound = self.score[at, -1]
-        open_ = np.flatnonzero(np.isinf(bound))
-        if len(open_) and len(ids) > self.k:
-            kth = np.partition(least[open_], self.k - 1, 1)[:, self.k - 1].astype(float)
-            bound[open_] = kth * (1 + 4 * unsure) + 6 * np.sqrt(unsure * (own[open_] + size.max()))
-        bound = bound * (1 + _SLACK) + 10.0**-self.digits
-        with np.errstate(over="ignore"):
-            bound = np.nextafter(bound.astype(kind), kind.type(np.inf))
-        row, column = np.divmod(np.flatnonzero(least <= bound[:, None]), len(ids))
+        """A block."""
+        rows = np.flatnonzero(_far(self.x, pivot[None])[:, 0] - radius <= self._bound(np.arange(len(self.ids))))
+        if not len(rows):
+            return
+        size = np.sqrt((y * y).sum(1))
+        order = np.argsort(size, kind="stable")
+        ids, y, size = ids[order], y[order], size[order]
+        unit = _unit(y, size)
+        often = int(np.unique(ids, return_counts=True)[1].max())
+        for i, j in _slices(size):
+            least = self._cosines(rows, size[i], size[j - 1], self._bound(rows))
+            turned = np.ascontiguousarray(unit[i:j].T)
+            step = max(1, PIECE // (j - i))
+            for at in range(0, len(rows), step):
+                self._piece(rows[at : at + step], least[at : at + step], ids[i:j], y[i:j], turned, size[i], size[j - 1], often)
+
+    def _cosines(self, rows: np.ndarray, low: float, high: float, bound: np.ndarray) -> np.ndarray:
+        """What a product in single precision has at least where the bound may be met; of sizes whose squares aren't held, nothing is known."""
+        own = self.size[rows]
+        known = np.isfinite(bound) & ((own == 0) | (own > TINY)) & ((high == 0) | (low > TINY))
+        out = np.full(len(rows), -np.inf)
+        out[known] = _least_cosine(own[known], low, high, bound[known], self.blend) - self.unsure
+        return out
+
+    def _piece(self, at: np.ndarray, least: np.ndarray, ids: np.ndarray, y: np.ndarray, turned: np.ndarray, low: float, high: float, often: int) -> None:
+        cosines = self.unit[at] @ turned
+        open_ = np.flatnonzero(np.isinf(self.score[at, -1]))
+        if len(open_) and len(ids) >= self.k + often and low > TINY:
+            # as many as the bound needs have this cosine, those of the same id apart, and score no more than with it at either size
+            kth = np.partition(cosines[open_], len(ids) - self.k - often, 1)[:, len(ids) - self.k - often] - self.unsure
+            own = self.size[at[open_]]
+            far = np.sqrt(np.max([(own - b) ** 2 + 2 * own * b * (1 - kth) for b in (low, high)], 0)) * ((2 - kth) if self.blend else 1)
+            least[open_] = self._cosines(at[open_], low, high, far * (1 + _SLACK) + _SLACK + 10.0**-self.digits)
+        down = np.nextafter(least.astype(np.float32), np.float32(-np.inf))
+        row, column = np.divmod(np.flatnonzero(cosines >= down[:, None]), len(ids))
         for i in range(0, len(row), 100_000):
             r, c = row[i : i + 100_000], column[i : i + 100_000]
-            if np.isinf(bound).any():
-                seen = np.isfinite(least[r, c])
-                r, c = r[seen], c[seen]
-            self._keep(at[r], _scores(x[r], y[c], self.blend, self.digits), ids[c])
+            others = self.ids[at[r]] != ids[c]
+            r, c = r[others], c[others]
+            self._keep(at[r], _scores(self.x[at[r]], y[c], self.blend, self.digits), ids[c])
 
     def _keep(self, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         if not len(row):

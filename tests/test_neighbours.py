@@ -85,3 +85,23 @@ def test_sizes_that_single_precision_does_not_hold(spark):
     r = np.random.default_rng(9)
     x = np.concatenate([r.normal(size=(40, 4)) * 1e-5, r.normal(size=(40, 4)) * 1e6, r.normal(size=(40, 4)), r.normal(size=(40, 4)) * 1e-3 + 1e4])
     held(spark, [(i, v.tolist()) for i, v in enumerate(x)], 3, False)
+
+
+@pytest.mark.parametrize("blend", [True, False])
+def test_least_cosine_is_below_all_that_meet_the_bound(blend):
+    r = np.random.default_rng(11)
+    own, size, c = r.lognormal(0, 2, 2000), r.uniform(1.0, 1.1, 2000), r.uniform(-1, 1, 2000)
+    own[:5], c[:5] = 0, 0
+    for cosine in (c, 1 - np.abs(c) * 1e-9):
+        score = np.sqrt((own - size) ** 2 + 2 * own * size * (1 - cosine)) * ((2 - cosine) if blend else 1)
+        least = N._least_cosine(own, 1.0, 1.1, score * (1 + 1e-9) + 1e-9, blend)
+        assert (least <= cosine).all()
+    assert np.isinf(N._least_cosine(np.array([5.0]), 1.0, 1.1, np.array([3.5]), blend)).all()
+    assert N._least_cosine(np.array([1.0]), 1.0, 1.0, np.array([1.0]), False) == pytest.approx(0.5, abs=1e-6)
+
+
+@pytest.mark.parametrize("blend", [True, False])
+def test_vectors_of_all_sizes_in_one_block(spark, blend):
+    r = np.random.default_rng(13)
+    x = r.normal(size=(200, 6)) * r.lognormal(0, 3, size=(200, 1))
+    held(spark, [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, x[:20] * 2, np.zeros((2, 6)), x[:3] * 1e-145]))], 4, blend)
