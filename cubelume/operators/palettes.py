@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,13 +86,49 @@ def similar_pairs(a: DataFrame, b: DataFrame, most: float = 5.0) -> DataFrame:
     return met.groupBy("a", "b").agg(F.min("delta").alias("delta")).where(F.col("delta") < most)
 
 
+#: Frames of a number of bits, beside the one before.
+FRAMES = 62
+_NONE = -(1 << 62)
+
+
+def _frames_of_colours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch's argb and frames as argb, block, bits: a row a colour and block of frames. Bit 0 is the frame before the block."""
+    for b in batches:
+        f, colour = b.column("f").to_numpy(), b.column("argb").to_numpy()
+        block, at = np.divmod(f, FRAMES)
+        last = at == FRAMES - 1  # it is the one before the next block, too
+        colour, block, bits = np.r_[colour, colour[last]], np.r_[block, block[last] + 1], np.r_[np.int64(1) << (at + 1), np.ones(int(last.sum()), np.int64)]
+        order = np.lexsort((block, colour))
+        colour, block, bits = colour[order], block[order], bits[order]
+        start = np.flatnonzero(np.r_[True, (colour[1:] != colour[:-1]) | (block[1:] != block[:-1])][: len(colour)])
+        met = np.bitwise_or.reduceat(bits, start) if len(start) else bits
+        yield pa.RecordBatch.from_arrays([pa.array(colour[start]), pa.array(block[start]), pa.array(met)], ["argb", "block", "bits"])
+
+
+def _counted_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a batch's colours: those of a frame and of the one before, and those of both."""
+    for b in batches:
+        block = b.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        block = block[order]
+        start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(block)])
+        if not len(start):
+            continue
+        n, both = (np.add.reduceat(np.unpackbits(b.column(c).to_numpy()[order].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), start, 0, np.int64) for c in ("bits", "both"))
+        f = block[start, None] * FRAMES + np.arange(FRAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (f, n[:, 1 : FRAMES + 1] + n[:, :FRAMES], both[:, 1 : FRAMES + 1])], ["f", "sides", "both"])
+
+
 def transitions(df: DataFrame) -> DataFrame:
-    """f, colours that come and go against the frame before, and 1 - their share of all: a full join of each frame with the next."""
-    here = argb(df).select("f", "argb").distinct()
-    before = here.select((F.col("f") + 1).alias("f"), F.col("argb"), F.lit(1).alias("was"))
-    both = here.withColumn("is", F.lit(1)).join(before, ["f", "argb"], "full")
-    last = here.agg(F.max("f")).first()[0]
-    out = both.where((F.col("f") > 0) & (F.col("f") <= (last if last is not None else 0))).groupBy("f").agg(F.count_if(F.col("is").isNull() | F.col("was").isNull()).alias("changed"), F.count("*").alias("of"))
+    """f, colours that come and go against the frame before, and 1 - their share of all. A colour's frames are bits of one number for each FRAMES of them, so that
+    there is one shuffle (of batches' colours, so that a common one is no one task's) and as many rows as colours and blocks, however many voxels; a null colour is in no two frames."""
+    here = argb(df).where("f IS NOT NULL").select(F.col("f").cast("long").alias("f"), F.coalesce(F.col("argb").cast("long"), F.lit(_NONE)).alias("argb"))
+    last = df.agg(F.max("f")).first()[0]
+    bits = here.mapInArrow(_frames_of_colours, "argb long, block long, bits long").repartition("argb").groupBy("argb", "block").agg(F.bit_or("bits").alias("bits"))
+    bits = bits.withColumn("both", F.when(F.col("argb") == _NONE, F.lit(0).cast("long")).otherwise(F.col("bits").bitwiseAND(F.shiftleft("bits", 1))))
+    k = bits.select("block", "bits", "both").mapInArrow(_counted_frames, "f long, sides long, both long").groupBy(F.col("f").cast("int").alias("f")).agg(F.sum("sides").alias("sides"), F.sum("both").alias("both"))
+    out = k.where((F.col("f") > 0) & (F.col("f") <= (last if last is not None else 0)) & (F.col("sides") > 0))
+    out = out.select("f", (F.col("sides") - 2 * F.col("both")).alias("changed"), (F.col("sides") - F.col("both")).alias("of"))
     return out.withColumn("stability", F.round(1 - F.col("changed") / F.col("of"), 6))
 
 

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from cubelume.operators import nearest as N
+from cubelume.operators import palettes as P
 from cubelume.plans import catalog
 from cubelume.plans.palette_queries import palette
 from cubelume.sources.cubes import voxels
@@ -96,3 +97,17 @@ def test_no_lambda_and_no_join_of_voxels(spark, sf_dir, name):
     """At most the joins with a look-up table of 4 096 rows are left."""
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan and plan.count("Join") == (name == "q_lut_vs_nn")
+
+
+def test_transitions_by_bits(spark):
+    """Over borders of blocks of frames, gaps, null colours and rows without a frame; neither join nor sort."""
+    f = [0, 0, 1, 1, 60, 61, 61, 62, 62, 63, 123, 124, 125, 200, 61, 62, None, -3, 2, 1]
+    r = [1, 2, 2, 3, 5, 5, 6, 5, 7, 300, 7, 7, 8, 1, None, None, 4, 1, None, 2]
+    df = spark.createDataFrame([(i, c, 0, 1) for i, c in zip(f, r, strict=True)], "f int, r int, g int, b int")
+    sets = {i: {(c if c is not None else (i, None)) for j, c in zip(f, r, strict=True) if j == i} for i in range(-3, 202)}
+    want = [(i, len(sets[i] ^ sets[i - 1]), len(sets[i] | sets[i - 1])) for i in range(1, 201) if sets[i] | sets[i - 1]]
+    found = P.transitions(df)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan
+    assert sorted((x.f, x.changed, x.of) for x in found.collect()) == want
+    assert P.transitions(df.limit(0)).count() == 0
