@@ -5,14 +5,20 @@ up, so that all levels below some depth are folded whole, all above it aren't to
 Which level that is follows from the number of nodes of each level, and only that level's nodes (8 k at most) and their parents (k) are ranked.
 
 Boxes of a median cut are cut in rounds: sums and bounds of each new box, weights by value of its longest axis, and the order of the colours of one value only. A round cuts
-all boxes that the next cuts may fall on, so that k boxes take some log k rounds; which cuts count is decided from the boxes (some k rows a group).
+all boxes that the next cuts may fall on, so that k boxes take some log k rounds; which cuts count is decided from the boxes (some k rows a group). Where there are few boxes and
+colours are bytes, the cuts so far go to the tasks, which find each row's box and count its values by themselves: rows are written once, and neither joined nor shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.color import luma_milli
 from ..runtime import kept
@@ -137,11 +143,153 @@ def _followed(boxes: pd.DataFrame, k: int) -> tuple[list[str], list[str]]:
     return leaves, []
 
 
+class _Cuts:
+    """The cuts of a forest so far, for tasks: a node's axis (less than 0: it isn't cut), the key of the last colour of its lower half, and its halves."""
+
+    def __init__(self, groups: int):
+        self.axis, self.cut, self.halves = np.full(groups, -1), np.zeros(groups, np.int64), np.zeros((groups, 2), np.int64)
+        self.of = [(g, "") for g in range(groups)]
+
+    def add(self, node: int, axis: int, cut: int) -> list[int]:
+        new = [len(self.of), len(self.of) + 1]
+        self.of += [(self.of[node][0], self.of[node][1] + half) for half in "01"]
+        self.axis, self.cut, self.halves = np.r_[self.axis, -1, -1], np.r_[self.cut, 0, 0], np.r_[self.halves, [[0, 0]] * 2]
+        self.axis[node], self.cut[node], self.halves[node] = axis, cut, new
+        return new
+
+    def boxes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each row of packed voxels: the node each voxel is in, and the three channels."""
+        for b in batches:
+            for groups, colours in zip(b.column("groups"), b.column("colours"), strict=True):
+                yield self._of(np.frombuffer(groups.as_buffer(), np.int32).astype(np.int64), np.frombuffer(colours.as_buffer(), np.int32).astype(np.int64))
+
+    def _of(self, node: np.ndarray, rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = np.stack([rgb >> 16, rgb >> 8 & 255, rgb & 255])
+        while len(at := np.flatnonzero(self.axis[node] >= 0)):
+            here = node[at]
+            node[at] = self.halves[here, ((c[self.axis[here], at] << 24 | rgb[at]) > self.cut[here]).astype(int)]
+        return node, c
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch of voxels (group, rgb) a row, which is read many times."""
+    for b in batches:
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(c).to_numpy().astype(np.int32).tobytes()], pa.binary()) for c in ("group", "rgb")], ["groups", "colours"])
+
+
+def _measured_in_place(rows: DataFrame, cuts: _Cuts, new: list[int]) -> dict[int, tuple]:
+    """node -> width, axis, cut, n, r, g, b of new boxes, as in _measured: one scan for the values of all axes, one for the colours of one value only."""
+    slot = np.full(len(cuts.of), -1)
+    slot[new] = np.arange(len(new))
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cells(sums: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(at // 768), pa.array(at // 256 % 3), pa.array(at % 256), pa.array(sums)], ["slot", "axis", "value", "n"])
+
+        whole = np.zeros(len(new) * 768, np.int64) if len(new) <= HELD else None
+        for node, c in cuts.boxes(batches):
+            inside = np.flatnonzero(slot[node] >= 0)
+            at = slot[node[inside]] * 768 + np.array([[0], [256], [512]]) + c[:, inside]
+            if whole is not None:
+                np.add.at(whole, at.ravel(), 1)
+            else:
+                few, sums = np.unique(at.ravel(), return_counts=True)
+                yield cells(sums, few)
+        if whole is not None and len(at := np.flatnonzero(whole)):
+            yield cells(whole[at], at)
+
+    def box(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
+        axes = [d[d.axis == i].sort_values("value") for i in range(3)]
+        wide = [int(x.value.iloc[-1] - x.value.iloc[0]) for x in axes]
+        axis, n = wide.index(max(wide)), int(axes[0].n.sum())
+        run = axes[axis].n.cumsum()
+        at = int(np.argmax((run * 2 >= n).to_numpy()))
+        v = axes[axis].value
+        return pd.DataFrame([[key[0], max(wide), axis, n, *(int((x.value * x.n).sum()) for x in axes), int(v.iloc[at]), int(run.iloc[at] - axes[axis].n.iloc[at]), int(v.iloc[-1])]], columns=[c.split()[0] for c in PLACED.split(", ")])
+
+    counts = rows.mapInArrow(values, "slot long, axis long, value long, n long").groupBy("slot", "axis", "value").agg(F.sum("n").alias("n"))
+    found = {r["slot"]: r for r in counts.groupBy("slot").applyInPandas(box, PLACED).collect()}  # a row a box
+    axis, value = np.full(len(new), -1), np.full(len(new), -1)
+    for i, r in found.items():
+        if r["width"]:
+            axis[i], value[i] = r["axis"], r["at"]
+
+    def ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, c in cuts.boxes(batches):
+            i = slot[node]
+            tied = np.flatnonzero((i >= 0) & (axis[i] >= 0) & (c[axis[i], np.arange(len(i))] == value[i]))
+            rgb = c[0, tied] * 65536 + c[1, tied] * 256 + c[2, tied]
+            both, n = np.unique(i[tied] << 24 | rgb, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(both >> 24), pa.array(both & 0xFFFFFF), pa.array(n)], ["slot", "rgb", "n"])
+
+    tied = rows.mapInArrow(ties, "slot long, rgb long, n long").groupBy("slot", "rgb").agg(F.sum("n").alias("n"))
+    places = rows.sparkSession.createDataFrame([(i, r["before"], r["n"]) for i, r in found.items()], "slot long, before long, of long")
+    w = Window.partitionBy("slot")
+    run = F.col("before") + F.sum("n").over(w.orderBy("rgb").rowsBetween(Window.unboundedPreceding, 0))
+    tied = tied.join(F.broadcast(places), "slot").withColumns({"run": run, "top": F.max("rgb").over(w)}).where("run * 2 >= of")
+    first = {r["slot"]: r for r in tied.groupBy("slot").agg(F.min("rgb").alias("rgb"), F.max("top").alias("top")).collect()}  # a row a box
+    out = {}
+    for i, r in found.items():
+        cut = None
+        if r["width"]:
+            t = first[i]
+            cut = (r["at"] << 24 | t["rgb"]) - (r["at"] == r["last"] and t["rgb"] == t["top"])
+        out[new[i]] = (r["width"], r["axis"], cut, r["n"], r["r"], r["g"], r["b"])
+    return out
+
+
+PACKED = "groups binary, colours binary"
+PLACED = "slot long, width long, axis long, n long, r long, g long, b long, at long, before long, last long"
+#: Boxes whose values a task counts in an array of its own (6 kB each).
+HELD = 2048
+
+
+def _cut_in_place(rows: DataFrame, groups: int, k: int) -> list[tuple]:
+    """rows (PACKED), colours bytes -> group, idx, r, g, b. The driver has the boxes, 2 k a group."""
+    cuts, known, new = _Cuts(groups), {}, list(range(groups))
+    boxes: list[dict] = [{} for _ in range(groups)]
+    while new:
+        known |= _measured_in_place(rows, cuts, new)
+        for node in new:
+            g, box = cuts.of[node]
+            boxes[g][box] = node
+        new = []
+        for g in range(groups):
+            shown = pd.DataFrame({"box": list(boxes[g]), "width": [known[x][0] for x in boxes[g].values()]})
+            for box in _followed(shown, k)[1]:
+                node = boxes[g][box]
+                new += cuts.add(node, known[node][1], known[node][2])
+    out = []
+    for g in range(groups):
+        shown = pd.DataFrame({"box": list(boxes[g]), "width": [known[x][0] for x in boxes[g].values()]})
+        for idx, box in enumerate(_followed(shown, k)[0]):
+            n, *sums = known[boxes[g][box]][3:]
+            out.append((g, idx, *(x // n for x in sums)))
+    return out
+
+
 def median_cut(df: DataFrame, by: list[str], k: int, weight: str | None = None) -> DataFrame:
     """by..., idx, r, g, b: means of up to k boxes of each group, in the order of their cuts: the widest box is cut at its weighted median
     until there are k.
 
     Defined results: rows without a colour aren't counted; boxes of one colour aren't cut; null groups are groups."""
+    known = df.where("r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL")
+    most = BOXES_BROADCAST // (2 * k)
+    bounds = known.groupBy(*by).agg(F.min(F.least("r", "g", "b")).alias("__low"), F.max(F.greatest("r", "g", "b")).alias("__high")).limit(most + 1).collect()
+    bounds = [x for x in bounds if x["__low"] is not None]
+    if weight or len(bounds) > most or any(x["__low"] < 0 or x["__high"] > 255 for x in bounds):
+        return _median_cut_by_joins(df, by, k, weight)
+    spark, kinds = df.sparkSession, [T.StructField(f"__{c}", df.schema[c].dataType) for c in by]
+    groups = spark.createDataFrame([(i, *(x[c] for c in by)) for i, x in enumerate(bounds)], T.StructType([T.StructField("group", T.IntegerType()), *kinds]))
+    met = known.join(F.broadcast(groups), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]) if by else known.withColumn("group", F.lit(0))
+    rows = kept(met.select("group", F.expr("CAST(r * 65536 + g * 256 + b AS INT)").alias("rgb")).mapInArrow(_packed, PACKED), "box-colours")
+    found = spark.createDataFrame(_cut_in_place(rows, len(bounds), k), "group int, idx int, r int, g int, b int")
+    return found.join(F.broadcast(groups), "group").select(*[F.col(f"__{c}").alias(c) for c in by], "idx", "r", "g", "b")
+
+
+def _median_cut_by_joins(df: DataFrame, by: list[str], k: int, weight: str | None = None) -> DataFrame:
+    """The same with any number of groups, weights and any colours."""
     n = F.sum(weight).cast("long") if weight else F.count("*")
     known = df.where("r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL")
     group = F.to_json(F.struct(*by)) if by else F.lit("{}")  # never null, so that it joins

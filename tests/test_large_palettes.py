@@ -102,3 +102,16 @@ def test_median_cut_by_rounds(spark, k):
 
 def test_median_cut_of_none(spark):
     assert T.median_cut(frame(spark, []), [], 4).count() == 0
+
+
+@pytest.mark.parametrize("held", [2048, 2])
+def test_median_cut_in_place_equals_that_by_joins(spark, monkeypatch, held):
+    """Of unweighted bytes: no table of colours is joined or rewritten, whatever the number of boxes a task counts at once."""
+    monkeypatch.setattr(T, "HELD", held)
+    rows = [(i % 3 or None, i * i % 256, i * 37 % 256 // (1 + i % 3 * 60), 7 if i % 3 == 1 else i * 91 % 256) for i in range(3000)] + [(4, 9, 9, 9), (5, None, 1, 1)]
+    df = spark.createDataFrame(rows, "part int, r int, g int, b int")
+    want = sorted(map(tuple, T._median_cut_by_joins(df, ["part"], 7).collect()), key=str)
+    with monkeypatch.context() as m:
+        m.setattr(T, "_beside", None)
+        assert sorted(map(tuple, T.median_cut(df, ["part"], 7).collect()), key=str) == want
+    assert len(want) == 22
