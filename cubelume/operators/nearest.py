@@ -59,18 +59,18 @@ def _by_product(voxels: DataFrame, p: np.ndarray) -> DataFrame:
     names = [f.name for f in schema][:-2]
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):  # a piece's distances stay in the cache
-                b = whole.slice(at, 1024)
-                c = np.stack([b.column(x).to_numpy(zero_copy_only=False) for x in "rgb"], 1)
-                kind = np.float32 if bytes_ and c.min() >= 0 and c.max() <= 255 else np.float64
-                c = c.astype(kind)
-                away = c @ turned.astype(kind)
-                away += sizes.astype(kind)
-                best = away.argmin(1)  # the first of equals, so the least idx
-                dist = away[np.arange(len(c)), best] + (c * c).sum(1)
-                found = [pa.array(idx[best].astype(np.int32)), pa.array(dist.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *found], [f.name for f in schema])
+        for b in batches:
+            c = np.stack([b.column(x).to_numpy(zero_copy_only=False) for x in "rgb"], 1)
+            kind = np.float32 if bytes_ and len(c) and c.min() >= 0 and c.max() <= 255 else np.float64
+            c, by, size = c.astype(kind), turned.astype(kind), sizes.astype(kind)
+            best, dist = np.empty(len(c), np.int64), (c * c).sum(1)
+            for at in range(0, len(c), 1024):  # a piece's distances stay in the cache
+                away = c[at : at + 1024] @ by
+                away += size
+                k = best[at : at + 1024] = away.argmin(1)  # the first of equals, so the least idx
+                dist[at : at + 1024] += away[np.arange(len(k)), k]
+            found = [pa.array(idx[best].astype(np.int32)), pa.array(dist.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *found], [f.name for f in schema])
 
     return voxels.where(" AND ".join(f"{c} IS NOT NULL" for c in "rgb")).mapInArrow(met, schema)
 

@@ -24,17 +24,31 @@ def histogram(df: DataFrame, weight: Column | None = None) -> DataFrame:
     return argb(df).groupBy("argb").agg(F.sum(w).cast("long").alias("weight"), F.count("*").alias("n"))
 
 
+def colours(df: DataFrame, weight: Column) -> DataFrame:
+    """r, g, b, argb, weight: a row a colour, of channels from -256 to 255 (remainders by 256 may be negative), which are grouped as one number. Rows that lack a
+    channel make one row without a colour."""
+    key = sum(((F.col(c) + 256) * (1 << s) for c, s in zip("rgb", (18, 9, 0), strict=True)), F.lit(0))
+    by_colour = df.groupBy(key.alias("key")).agg(F.sum(weight).cast("long").alias("weight"))
+    r, g, b = (F.shiftright("key", s).bitwiseAND(F.lit(511)) - 256 for s in (18, 9, 0))
+    return by_colour.select(r.alias("r"), g.alias("g"), b.alias("b"), "weight").withColumn("argb", F.expr("r * 65536L + g * 256 + b"))
+
+
 def top(hist: DataFrame, k: int = SIZE, score: str = "weight") -> DataFrame:
-    """The k colours of largest score (ties by colour), in order of luminance: idx, argb, r, g, b, weight."""
-    r, g, b = unpack(F.col("argb"))
-    best = hist.orderBy(F.desc(score), "argb").limit(k).withColumns({"r": r, "g": g, "b": b})
-    return by_luminance(best).select("idx", "argb", "r", "g", "b", score)
+    """The k colours of largest score (ties by colour), in order of luminance: idx, argb, r, g, b, weight. Of argb, or of argb, r, g, b. Luma is in the one
+    projection on the limit, so that Spark keeps k rows a task; with a second one it would deal out and sort all colours."""
+    rgb = tuple(F.col(c) for c in "rgb") if "r" in hist.columns else unpack(F.col("argb"))
+    best = hist.orderBy(F.desc(score), "argb").limit(k).select("argb", score, *[v.alias(c) for c, v in zip("rgb", rgb, strict=True)], luma_milli(*rgb).alias("luma"))
+    return _in_order(best).select("idx", "argb", "r", "g", "b", score)
+
+
+def _in_order(palette: DataFrame) -> DataFrame:
+    return palette.withColumn("idx", (F.row_number().over(Window.orderBy("luma", "argb")) - 1).cast("int"))
 
 
 def by_luminance(palette: DataFrame) -> DataFrame:
     """Of at most a few hundred colours: idx from 0."""
     luma = luma_milli(F.col("r"), F.col("g"), F.col("b"))
-    return palette.withColumn("luma", luma).withColumn("idx", (F.row_number().over(Window.orderBy("luma", "argb")) - 1).cast("int"))
+    return _in_order(palette.withColumn("luma", luma))
 
 
 def padded(palette: DataFrame, size: int = SIZE) -> DataFrame:

@@ -31,6 +31,11 @@ def palette(spark, d, k: int = 64) -> DataFrame:
     return P.top(P.histogram(voxels(spark, d), 1 + F.col("f") % 9), k)
 
 
+def colours(spark, d) -> DataFrame:
+    """All colours with their weights, from one scan and one shuffle, written once (at most a row for each of 256³) for queries that take a palette from them and meet it again."""
+    return kept(P.colours(voxels(spark, d), 1 + F.col("f") % 9), "colours")
+
+
 @query("q_weighted_hist_topk", f"WITH {PAL} SELECT idx, argb, r, g, b, weight FROM pal")
 def q_weighted_hist_topk(spark, d):
     return palette(spark, d)
@@ -45,7 +50,8 @@ def q_bucket_palette(spark, d):
 
 @query("q_nearest", f"WITH {NEAR} SELECT r, g, b, idx, CAST(dist AS BIGINT) AS dist FROM nn")
 def q_nearest(spark, d):
-    return N.best(voxels(spark, d).select("r", "g", "b").distinct(), palette(spark, d))
+    c = colours(spark, d)
+    return N.best(c, P.top(c, 64))
 
 
 EVEN = "pal AS (SELECT CAST(row_number() OVER (ORDER BY r, g, b) - 1 AS INT) AS idx, r, g, b FROM (SELECT r, g, b FROM voxel WHERE f % 2 = 0 GROUP BY r, g, b ORDER BY count(*) DESC, r, g, b LIMIT 2048))"
