@@ -72,8 +72,9 @@ def q_lut_map(spark, d):
 
 @query("q_lut_vs_nn", f"WITH {NEAR}, {LUT[len(PAL) + 2:]} SELECT count(*) AS colours, count(*) FILTER (n.idx <> l.idx) AS differ FROM nn n JOIN lut l ON n.r // 16 = kr AND n.g // 16 = kg AND n.b // 16 = kb")
 def q_lut_vs_nn(spark, d):
-    p = kept(palette(spark, d), "palette")
-    exact = N.best(voxels(spark, d).select("r", "g", "b").distinct(), p).withColumnRenamed("idx", "exact")
+    c = colours(spark, d)
+    p = kept(P.top(c, 64), "palette")
+    exact = N.best(c, p).withColumnRenamed("idx", "exact")
     return N.by_lookup(exact, p).agg(F.count("*").alias("colours"), F.count_if(F.col("idx") != F.col("exact")).alias("differ"))
 
 

@@ -16,7 +16,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["q_nearest"])
+@pytest.mark.parametrize("name", ["q_nearest", "q_lut_vs_nn"])
 def test_voxels_are_read_once(spark, sf_dir, name):
     """The query reads the colours that were written, and deals out nothing for them again."""
     df = catalog.QUERIES[name](spark, sf_dir)
